@@ -65,7 +65,7 @@ def canonical(kind: Column, m: Column) -> Column:
     named = F.regexp_replace(m, rf"(?U)^(?:{_TITLES})\.? ", "")
     gender = F.when(m.rlike(rf"(?U)^(?:{'|'.join(FEMALE)})\.? "), "f").otherwise("m")
     return (
-        F.when(kind == "email", F.lower(m)).when(kind.isin("ip", "secret"), m).when(kind == "name", F.concat(gender, F.lit(" "), named)).when(kind == "iban", F.upper(bare)).otherwise(bare)
+        F.when(kind == "email", F.lower(m)).when(kind.isin("ip", "secret"), m).when(kind == "name", F.concat(F.when(named.contains(" "), gender).otherwise("-"), F.lit(" "), named)).when(kind == "iban", F.upper(bare)).otherwise(bare)
     )
 
 
