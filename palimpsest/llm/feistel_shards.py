@@ -78,6 +78,8 @@ def shards(docs: DataFrame, n_shards: int = 8, key: str = "shards-v1") -> DataFr
     if outside := a * b - n:
         walk = f"aggregate(sequence(0, {min(outside, 64)}), id, (v, i) -> CASE WHEN v >= {n}L THEN {permuted('v', a, b, key)} ELSE v END)"
         table = rows.sparkSession.range(n, a * b).select(F.col("id").alias("p"), F.expr(walk).alias("q"))
-        table = table.withColumn("q", F.when(F.col("q") < n, F.col("q")).otherwise(F.raise_error(F.lit("cycle walk too long; use another key")).cast("long")))
-        once = once.join(F.broadcast(table), "p", "left").withColumn("p", F.coalesce("q", "p"))
+        # cells whose whole cycle lies outside are never walked from inside
+        inside = F.coalesce(F.when(F.col("p") < n, F.col("p")), F.col("q"))
+        once = once.join(F.broadcast(table.where(F.col("q") < n)), "p", "left")
+        once = once.withColumn("p", F.coalesce(inside, F.raise_error(F.lit("cycle walk too long; use another key")).cast("long")))
     return once.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("p") % n_shards).cast("int").alias("shard"), F.expr(f"p div {n_shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
