@@ -22,6 +22,8 @@ clashing names included; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,20 @@ from .store import written
 _D, _H = "__dedup_doc", "__dedup_hash"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often a lambda in it uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _places(lines: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(lines) - 1)
+
+
+def _solid(lines: Column) -> Column:
+    """Positions of the non-blank lines."""
+    return F.filter(_places(lines), lambda i: lines[i].rlike(r"\S"))
+
+
 def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Replace ``keys`` by an order-preserving rank ``r``, keeping only ranks that at least two positions share; ``first`` is the earliest."""
     place = F.struct(_D, _H, "seq")
@@ -61,13 +77,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, text: str = "text", counts:
     gone = gone.groupBy(_D, _H).agg(F.collect_set("seq").alias("__gone"))
     keyed = docs.withColumn(_H, F.xxhash64(f"`{text}`"))
     left = keyed.alias("l").join(gone.alias("g"), F.col("l.doc_id").eqNullSafe(F.col(f"g.{_D}")) & (F.col(f"l.{_H}") == F.col(f"g.{_H}")), "left")
-    split = F.split(F.col(f"l.`{text}`"), "\n", -1)
-    places = F.sequence(F.lit(0), F.size(split) - 1)
-    solid = F.filter(places, lambda i: split[i].rlike(r"\S"))
-    dropped = F.transform("__gone", lambda s: solid[s])
-    kept = F.array_join(F.transform(F.array_except(places, dropped), lambda i: split[i]), "\n")
+    lines = F.split(F.col(f"l.`{text}`"), "\n", -1)
+    kept = _let(lines, lambda ls: _let(_solid(ls), lambda at: F.array_join(F.transform(F.array_except(_places(ls), F.transform("__gone", lambda s: at[s])), lambda i: ls[i]), "\n")))
     new: Column = F.when(F.col("__gone").isNull(), F.col(f"l.`{text}`")).otherwise(kept)
     columns = [new.alias(c) if c == text else F.col(f"l.`{c}`") for c in docs.columns]
     if counts:
-        columns += [F.coalesce(F.size(solid), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")]
+        n_lines = F.size(F.filter(lines, lambda x: x.rlike(r"\S")))
+        columns += [F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")]
     return left.select(*columns)
