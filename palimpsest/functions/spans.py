@@ -71,17 +71,24 @@ def ordered(spans: Column) -> Column:
     return F.transform(keyed, lambda k: span(k.c, k.a, k.b, -k.d, k.e))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body (or a lambda in it) uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def best(spans: Column, by_source: bool = False) -> Column:
     """The best-scored span of each (entity, start, end), or also of each source."""
     key = lambda s: F.struct(s.start.alias("a"), s.end.alias("b"), s.entity_type.alias("c"), *([s.source.alias("e")] if by_source else []))
-    keys = F.array_sort(F.array_distinct(F.transform(spans, key)))
 
-    def top(k: Column) -> Column:
-        same = F.filter(spans, lambda s: key(s) == k)
-        low = F.array_min(F.transform(same, lambda s: F.struct((-s.score).alias("d"), s.source.alias("e"))))
-        return span(k.c, k.a, k.b, -low.d, low.e)
+    def of(all_: Column) -> Column:
+        def top(k: Column) -> Column:
+            same = F.filter(all_, lambda s: key(s) == k)
+            low = F.array_min(F.transform(same, lambda s: F.struct((-s.score).alias("d"), s.source.alias("e"))))
+            return span(k.c, k.a, k.b, -low.d, low.e)
+
+        return F.transform(F.array_sort(F.array_distinct(F.transform(all_, key))), top)
 
-    return F.transform(keys, top)
+    return let(spans, of)
 
 
 def invalid(spans: Column, text: Column) -> Column:

@@ -54,11 +54,9 @@ def scored_rules(policy: Policy) -> Detector:
     custom = [c for c in policy.custom_recognizers if c.entity in selected and set(c.languages) & set(languages)]
 
     def run(text: Column) -> Column:
-        index = context.words(text)
-        parts = [_scored(text, index, r, languages) for r in rules]
-        parts += [spans.pattern_spans(text, c.entity, c.regex, c.score, "deterministic") for c in custom]
-        kept = F.filter(spans.union(parts), lambda s: (s.score > 0) & (s.score >= policy.score_threshold))
-        return spans.best(kept)
+        built = spans.let(context.words(text), lambda index: spans.union([_scored(text, index, r, languages) for r in rules])) if rules else spans.no_spans()
+        own = [spans.pattern_spans(text, c.entity, c.regex, c.score, "deterministic") for c in custom]
+        return spans.best(F.filter(spans.union([built, *own]), lambda s: (s.score > 0) & (s.score >= policy.score_threshold)))
 
     return run
 

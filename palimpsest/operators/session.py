@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def episodes(df: DataFrame, key: str, time: str, ttl_seconds: int) -> Column:
     """Number of the stretch, within a session, without a gap of more than ``ttl_seconds``."""
     w = Window.partitionBy(key).orderBy(time)
-    gap = F.unix_micros(F.col(time)) - F.unix_micros(F.lag(time).over(w))
+    gap = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))
     return F.sum(F.when(gap > ttl_seconds * 1_000_000, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 

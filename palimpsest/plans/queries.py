@@ -457,7 +457,7 @@ def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("c_custkey", F.round("s.score", 6).alias("score"))
 
 
-@register(r"""SELECT conv_id, turn, list_filter([lower(w) FOR w IN regexp_extract_all(text, '[\p{L}\p{N}]+')][-5:], lambda x: true) AS words FROM conversations WHERE role = 'user'""")
+@register(r"""SELECT conv_id, turn, list_filter([replace(lower(w), 'ß', 'ss') FOR w IN regexp_extract_all(text, '[\p{L}\p{N}]+')][-5:], lambda x: true) AS words FROM conversations WHERE role = 'user'""")
 def context_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last five words of each user turn."""
     index = context.words(F.col("text"))
@@ -503,7 +503,7 @@ def sticky_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.when(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > 6 * 3600 * 1_000_000, 1).otherwise(0)
+    gap = F.when(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp")) > 6 * 3600 * 1_000_000, 1).otherwise(0)
     df = df.withColumn("ep", F.sum(gap).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("stretch", F.struct("user_id", "ep"))
     return session.sticky(df, key="stretch", order="place").select("user_id", "event_id", "from_cache")
 
