@@ -216,7 +216,8 @@ def decided(requests: DataFrame, policy: Policy, detector: detect.Detector, keys
     ]
     if diagnostics:
         columns += diagnosed(policy, plans)
-    return df.select(*columns)
+    # a generator row: filters of callers are not rewritten into the long chain of expressions above
+    return df.select(F.inline(F.array(F.struct(*columns))))
 
 
 def digests_nonce(keys: transform.Keys) -> Column:
