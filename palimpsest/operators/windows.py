@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPAN
+from ..functions.spans import SPAN, let
 
 #: Default window and overlap, in characters.
 SIZE, OVERLAP = 900_000, 10_000
@@ -34,18 +34,21 @@ def owned(spans: Column, window_start: Column, owned_start: Column, owned_end: C
 
 def token_windows(offsets: Column, length: Column, window: int = 480, overlap: int = 64) -> Column:
     """``array<struct<start, end>>`` of windows of at most ``window`` tokens over token ``offsets`` (array<struct<start, end>>), covering all characters."""
-    n = F.size(offsets)
     step = window - overlap
-    last = F.greatest(F.ceil((n - window) / step).cast("int"), F.lit(0)) * step
-    starts = F.sequence(F.lit(0), last, F.lit(step))
 
-    def one(i: Column) -> Column:
-        start = F.when(i == 0, 0).otherwise(F.get(offsets, i).start)
-        end = F.when(i + window >= n, length).otherwise(F.get(offsets, i + window).start)
-        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    def cut(tokens: Column) -> Column:
+        n = F.size(tokens)
+        last = F.greatest(F.ceil((n - window) / step).cast("int"), F.lit(0)) * step
 
-    whole = F.array(F.struct(F.lit(0).alias("start"), length.cast("int").alias("end")))
-    return F.when(n <= window, whole).otherwise(F.transform(starts, one))
+        def one(i: Column) -> Column:
+            start = F.when(i == 0, 0).otherwise(F.get(tokens, i).start)
+            end = F.when(i + window >= n, length).otherwise(F.get(tokens, i + window).start)
+            return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+        whole = F.array(F.struct(F.lit(0).alias("start"), length.cast("int").alias("end")))
+        return F.when(n <= window, whole).otherwise(F.transform(F.sequence(F.lit(0), last, F.lit(step)), one))
+
+    return let(offsets, cut)
 
 
 def winning(probabilities: Column, labels: list[str]) -> Column:

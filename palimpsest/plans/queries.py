@@ -562,7 +562,7 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.size("w").alias("n_windows"), F.element_at("w", -1).getField("end").alias("last_end"))
 
 
-@register("""WITH t AS (SELECT l_orderkey AS k, l_linenumber AS i, CASE l_linenumber % 4 WHEN 0 THEN 'O' WHEN 1 THEN 'B-PER' ELSE 'I-PER' END AS label, l_quantity / 100 AS score FROM lineitem),
+@register("""WITH t AS (SELECT l_orderkey AS k, l_linenumber AS i, CASE l_linenumber % 4 WHEN 0 THEN 'O' WHEN 1 THEN 'B-PER' ELSE 'I-PER' END AS label, max(l_quantity) / 100 AS score FROM lineitem GROUP BY l_orderkey, l_linenumber),
 g AS (SELECT *, sum(CASE WHEN label <> 'I-PER' OR i = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS gid, lag(i) OVER (PARTITION BY k ORDER BY i) AS pi FROM t)
 SELECT k, CAST(min(i) * 10 AS INTEGER) AS start, CAST(max(i) * 10 + 8 AS INTEGER) AS "end", max(score) AS score FROM g WHERE label <> 'O' GROUP BY k, gid""")
 def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -570,7 +570,8 @@ def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("l_linenumber")
     label = F.expr("CASE l_linenumber % 4 WHEN 0 THEN 'O' WHEN 1 THEN 'B-PER' ELSE 'I-PER' END")
     token = F.struct((i * 10).alias("start"), (i * 10 + 8).alias("end"), label.alias("label"), (F.col("l_quantity") / 100).alias("score"))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+    each = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    rows = each.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(token)).alias("tokens"))
     each = rows.select("k", F.explode(windows.bio_spans(F.col("tokens"), {"PER": "PERSON_NAME"}, "transformer")).alias("s"))
     return each.select("k", "s.start", "s.end", "s.score")
 
