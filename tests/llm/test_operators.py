@@ -1,0 +1,337 @@
+"""The ten operators against brute force, on small tables with nulls, empty texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import decontam, feistel_shards, line_dedup, minhash_forest, packing, pii_surrogates, prefix_tokens, quality_gam, quality_rules, queries, substring_dedup
+from palimpsest.llm.text import chunks
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string"
+SF = "/root/testdata/sf0.001"
+EDGES = [(3, None), (4, ""), (5, " \n "), (6, "one"), (7, "a b a b a b a b a"), (7, "a b a b a b a b a"), (None, "x y z"), (8, "w " * 3000)]
+
+
+def key(row):
+    return tuple(str(x) for x in row)
+
+
+def documents(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def random_texts(n, alphabet="ab", most=14, seed=2):
+    r = random.Random(seed)
+    return [(100 + i, " ".join(r.choice(alphabet) for _ in range(r.randrange(most)))) for i in range(n)]
+
+
+# 1
+def test_classifier_accuracy_on_the_held_out_fold(spark):
+    d = "/root/testdata/sf0.01"
+    got = queries.op1_quality_gam(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").select("score", "quality").toPandas()
+    assert len(got) > 50 and ((got.score >= 0.5) == (got.quality == 1)).mean() > 0.93
+    assert got.score.between(0, 1).all()
+
+
+def test_classifier_edges(spark):
+    docs = spark.createDataFrame(EDGES, SCHEMA)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality_gam.train(docs, none)
+    assert {r.score for r in quality_gam.score(docs, model).collect()} == {0.5}
+    x = np.random.default_rng(0).normal(size=(400, len(quality_gam.FEATURES)))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)  # a pure interaction
+    assert ((quality_gam.fit(x, y).score(x) >= 0.5) == (y == 1)).mean() > 0.9
+    assert quality_gam.score(spark.createDataFrame([], SCHEMA), model).count() == 0
+
+
+# 2
+def edits(item, words):
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for w in words:
+        new = [row[0] + 1]
+        for j, x in enumerate(item):
+            new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != w)))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_decontamination_finds_exact_and_edited_passages(spark):
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    items = [(i, " ".join(r.choices(vocabulary, weights, k=r.randrange(8, 60)))) for i in range(60)]
+    rows, truth = [], {}
+    for d in range(500):
+        i, words = d % 60, items[d % 60][1].split()
+        for _ in range(r.randint(0, int(0.1 * len(words)))):
+            words[r.randrange(len(words))] = r.choice(vocabulary)
+        rows.append((d, " ".join(r.choices(vocabulary, weights, k=r.randrange(40)) + [w.upper() for w in words] + r.choices(vocabulary, weights, k=r.randrange(40)))))
+        truth[d] = i
+    rows += [(1000 + i, " ".join(r.choices(vocabulary, weights, k=80))) for i in range(200)] + [(None, None), (2000, "")]
+    benchmark = spark.createDataFrame([*items, (77, None), (78, "too short")], "item_id long, text string")
+    got = {x.doc_id: x for x in decontam.contaminations(spark.createDataFrame(rows, SCHEMA).withColumn("item", F.lit(1)), benchmark).collect()}
+    assert np.mean([truth[d] in got[d].item_ids for d in truth]) >= 0.9
+    assert all(not got[d].item_ids for d in got if d is None or d >= 1000)
+    assert "item" in got[0].asDict()
+    texts = dict(rows)
+    for d in list(truth)[:40]:
+        for i in got[d].item_ids:
+            words = texts[d].lower().split()
+            item = items[i][1].split()
+            assert min(edits(item, words[s : s + len(item) + 8]) for s in range(len(words))) <= int(0.1 * len(item))
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.clean(spark.createDataFrame(rows[:5], SCHEMA), empty).count() == 5
+
+
+# 3
+def repeats(rows, window):
+    words = [WORD.findall(t or "") for _, t in rows]
+    seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for (d, _), w in zip(rows, words, strict=True):
+        gone = {p for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for p in range(i, i + window)}
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=key)
+
+
+def test_repeats_equal_brute_force(spark):
+    rows = EDGES + random_texts(200)
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).withColumn("part", F.lit(1)), 7, 4).collect()
+    assert sorted(map(tuple, got), key=key) == repeats(rows, 7)
+    assert substring_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+# 4
+def test_rules_against_brute_force(spark):
+    rows = [*EDGES, *documents(spark)]
+    got = quality_rules.ledger(spark.createDataFrame(rows, SCHEMA).withColumn("n_words", F.lit("clash"))).collect()
+    want = []
+    for d, text in rows:
+        text = text or ""
+        words = WORD.findall(text)
+        grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        twice = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        want.append((d, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(twice), len(lines)))
+    cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+    assert sorted((tuple(r[c] for c in cols) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_policies_and_ablation(spark):
+    book = quality_rules.ledger(spark.createDataFrame(documents(spark), SCHEMA))
+    bits = [r.failure_bits for r in book.collect()]
+    mask = quality_rules.mask_of("v1")
+    got = {r.rule: r for r in quality_rules.ablation(book, "v1").collect()}
+    for k, rule in enumerate(quality_rules.RULES):
+        r = got[rule.name]
+        assert (r.failed, r.only_this, r.kept_without) == (sum(b >> k & 1 for b in bits), sum((b & mask) == 1 << k for b in bits), sum((b & mask & ~(1 << k)) == 0 for b in bits))
+    assert quality_rules.keep(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+# 5
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 200])
+def test_shards_are_even_gapless_and_repeatable(spark, n):
+    rows = (EDGES + random_texts(300))[:n]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("shard", F.lit("clash"))
+    got = feistel_shards.shards(docs).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    sizes = [len(slots[s]) for s in range(8)]
+    assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got if r.doc_id is not None) == sorted((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows if d is not None)
+    if n == 200:
+        again = feistel_shards.shards(docs.repartition(7)).collect()
+        assert sorted(map(key, again)) == sorted(map(key, got))
+        assert feistel_shards.shards(docs.limit(0)).count() == 0
+
+
+# 6
+def test_surrogates_keep_identity_format_and_secrets_out(spark):
+    text = "Mr. John Smith met Mrs. Anna Smith and Herr Müller, Frau Müller; Господин Иванов; DE89 3704 0044 0532 0130 00 or DE89370400440532013000; 4111-1111-1111-1111 or 4111 1111 1111 1111; 10.2.3.4; 123-45-6789; +1 (212) 555-1234; joe.doe7@mail9.example.com"
+    rows = [(1, text), (2, text), (3, None), (4, ""), (4, ""), (5, "clean words only"), (6, 'token = "12a239e530ce7f7290c2771adb1143bcbb9b6128"')]
+    rows += [(10 + i, f"{i % 10}.{i % 7}.1.{i % 5} u{i}@x.org") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("kind", F.lit("clash"))
+    got = {r.doc_id: r for r in pii_surrogates.replace_entities(docs, counts=True).collect()}
+    new = got[1].text
+    assert got[2].text == new and got[5].text == rows[5][1] and got[3].text is None and got[4].text == "" and got[1].kind == "clash"
+    for secret in ("Smith", "Müller", "Иванов", "3704", "1111", "10.2.3.4", "123-45", "555-1234", "joe.doe7", "12a239e5"):
+        assert secret not in new + got[6].text
+    a, b = re.search(r"Mr\. \w+ (\w+) met Mrs\. \w+ela (\w+)", new).groups()
+    assert a == b
+    herr, frau = re.search(r"Herr (\w+), Frau (\w+)", new).groups()
+    assert herr == frau and re.search(r"Господин [А-Я][а-я]+", new)
+    spaced, tight = re.search(r"(DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) or (DE\d{20})", new).groups()
+    assert spaced.replace(" ", "") == tight and int(tight[4:] + "1314" + tight[2:4]) % 97 == 1
+    dashed, blank = re.search(r"(\d{4}-\d{4}-\d{4}-\d{4}) or (\d{4} \d{4} \d{4} \d{4})", new).groups()
+    digits = dashed.replace("-", "")
+    assert digits == blank.replace(" ", "")
+    assert sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(digits)) % 10 == 0
+    before, after = {}, {}
+    for i in range(60):
+        old_ip, old_mail = rows[7 + i][1].split()
+        new_ip, new_mail = got[10 + i].text.split()
+        for old, fresh in ((old_ip, new_ip), (old_mail, new_mail)):
+            assert before.setdefault(old, fresh) == fresh and after.setdefault(fresh, old) == old
+    assert not set(before) & set(after)
+    assert pii_surrogates.replace_entities(docs.limit(0)).count() == 0
+
+
+# 7
+def test_token_counts_equal_the_library_at_every_prefix():
+    r = random.Random(3)
+    alphabet = list("ab  the▁\n\té日本😀<s>'sN9.%ﬁ")
+    texts = [None, "", " ", "   ", "▁", "a ", " a", "\n", "<s> </s>"] + ["".join(r.choice(alphabet) for _ in range(r.randrange(30))) for _ in range(300)]
+    c = prefix_tokens.counter(public_tokenizers.path("piece_bpe_32k.model"))
+    for i, _, t in chunks(pa.array(texts), 500):
+        ends, tokens, bounds = c.counts(prefix_tokens.unmarked(t))
+        for k in range(len(t)):
+            text = texts[i + k] or ""
+            assert (tokens[bounds[k + 1] - 1] if bounds[k + 1] > bounds[k] else 0) == len(c.model.encode(text))
+    for text in texts[1:120]:
+        assert c.prefixes(text) == [len(c.model.encode(text[:i])) for i in range(1, len(text) + 1)]
+
+
+def test_stored_prefixes_answer_truncation(spark):
+    rows = [*EDGES, (50, "the quick brown fox jumps over the lazy dog " * 20)]
+    c = prefix_tokens.counter(public_tokenizers.path("piece_bpe_32k.model"))
+    got = prefix_tokens.prefix_counts(spark.createDataFrame(rows, SCHEMA), public_tokenizers.path("piece_bpe_32k.model"))
+    cut = {r.doc_id: r for r in got.withColumn("cut", prefix_tokens.longest_within(50)).collect()}
+    text = rows[-1][1]
+    assert len(c.model.encode(text[: cut[50].cut])) <= 50 < len(c.model.encode(text[: cut[50].cut + 8]))
+    assert cut[3].n_tokens == 0 and cut[3].cut == 0
+
+
+# 8
+def line_runs(rows, m):
+    seen, out = set(), []
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        lines = text.split("\n")
+        solid = [i for i, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for i in range(len(solid) - m + 1):
+            run = tuple(lines[solid[i + k]] for k in range(m))
+            gone |= {solid[i + k] for k in range(m)} if run in seen else set()
+            seen.add(run)
+        out.append((d, "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 5])
+def test_line_runs_equal_brute_force(spark, m):
+    r = random.Random(m)
+    rows = [(i, "\n".join(r.choice(["a", "b", "c", "", "d e"]) for _ in range(r.randrange(16)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("seq", F.lit("clash"))
+    got = line_dedup.dedup_lines(docs, m)
+    assert got.columns == docs.columns
+    assert sorted((x.doc_id, x.text) for x in got.collect()) == line_runs(rows, m)
+
+
+def test_line_runs_edges(spark):
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, None), (None, "a\nb\nc"), (2, "")]
+    got = sorted(((x.doc_id, x.text) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), 3).collect()), key=key)
+    assert got == sorted([(1, ""), (1, ""), (None, None), (None, "a\nb\nc"), (2, "")], key=key)
+    assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+# 9
+def test_packing_equals_one_by_one_best_fit():
+    r = random.Random(1)
+    for _ in range(150):
+        capacity = r.choice([1, 5, 17, 64])
+        sizes = [r.randint(1, capacity) for _ in range(r.randrange(80))]
+        open_ = []
+        for s in sorted(sizes, reverse=True):
+            best = min((b for b in range(len(open_)) if open_[b] >= s), key=lambda b: open_[b], default=None)
+            if best is None:
+                open_.append(capacity - s)
+            else:
+                open_[best] -= s
+        fill, spans = Counter(), defaultdict(list)
+        for size, a, b, first, per, used in packing.best_fit_decreasing(Counter(sizes), capacity).tolist():
+            for rank in range(a, b):
+                s = first + (rank - a) // per
+                fill[s] += size
+                spans[s].append((used + (rank - a) % per * size, size))
+        assert sorted(capacity - v for v in fill.values()) == sorted(open_)
+        for v in spans.values():
+            v.sort()
+            assert v[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(v, v[1:], strict=False))
+
+
+def test_pieces_round_trip(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [*EDGES, *random_texts(60, ["alpha", "beta,", "Gamma's", "é"], 60), (900, "<|endoftext|> x<|endoftext|>y")]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA).withColumn("length", F.lit("clash")), path, 64).collect()
+    tokenizer = packing.word_ids(path).tokenizer
+    want = Counter()
+    for d, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, s in enumerate(range(0, len(ids), 64)):
+            piece = np.array(ids[s : s + 64], "<u4")
+            want[d, k, s, len(piece), zlib.crc32(piece.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for v in sequences.values():
+        v.sort()
+        assert v[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(v, v[1:], strict=False)) and v[-1][0] + v[-1][1] <= 64
+    assert packing.pack(spark.createDataFrame([], SCHEMA), path).count() == 0
+
+
+# 10
+def near(rows, width, percent=80):
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[find(i)] = min((x for x in (low.get(find(i)), d) if x is not None), default=None)
+    return sorted(((d, len(sets[i]), low[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows)), key=key)
+
+
+@pytest.mark.parametrize("forest", [minhash_forest.Forest(), minhash_forest.Forest(block=48, window=16)])
+def test_near_duplicates_equal_brute_force(spark, forest):
+    r = random.Random(2)
+    base = [r.choice("abcdefgh") for _ in range(60)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for _ in range(r.randrange(6)):
+            w[r.randrange(60)] = r.choice("xyzuvw")
+        rows.append((100 + i, " ".join(w)))
+    rows += [*EDGES, (None, " ".join(base)), (20, "A b"), (21, "a B"), (21, "a B")]
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA).withColumn("cid", F.lit("clash")), forest).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=key) == near(rows, 4)
+    assert all(x.kept == (x.component_id == x.doc_id) for x in got if x.doc_id is not None)
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert minhash_forest.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
