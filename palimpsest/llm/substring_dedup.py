@@ -118,7 +118,7 @@ def _shifted(keys: np.ndarray, bits: int) -> np.ndarray:
 #: Probes carry this many bits; a chance match only makes a document be looked at again.
 PROBE_BITS = 48
 #: Distinct places gathered before parcels are sent, and bytes of text in a written batch.
-PARCEL_KEYS, BATCH_BYTES = 2_000_000, 16 << 20
+PARCEL_KEYS, BATCH_BYTES = 2_000_000, 6 << 20
 
 
 def _probe_parcels(docs: DataFrame, block: int, n_parts: int) -> DataFrame:
