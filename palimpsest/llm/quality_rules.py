@@ -100,5 +100,6 @@ def ablation(book: DataFrame, policy: str) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """The documents that a policy keeps, with the columns they came with."""
-    book = ledger(docs, text, keep_text=True)
-    return book.where(~rejected(policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [f"__own{i}" for i in range(len(docs.columns))]  # so that no column is taken for a measurement
+    book = ledger(docs.toDF(*own), own[docs.columns.index(text)], keep_text=True)
+    return book.where(~rejected(policy)).select(*own).toDF(*docs.columns)

@@ -138,6 +138,8 @@ def test_policies_and_ablation(spark):
         r = got[rule.name]
         assert (r.failed, r.only_this, r.kept_without) == (sum(b >> k & 1 for b in bits), sum((b & mask) == 1 << k for b in bits), sum((b & mask & ~(1 << k)) == 0 for b in bits))
     assert quality_rules.keep(spark.createDataFrame([], SCHEMA)).count() == 0
+    kept = quality_rules.keep(spark.createDataFrame(documents(spark), SCHEMA).withColumn("n_words", F.lit("clash")))
+    assert {r.n_words for r in kept.collect()} == {"clash"} and kept.columns == ["doc_id", "text", "n_words"]
 
 
 # 5
