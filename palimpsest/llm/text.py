@@ -17,7 +17,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step handles; a single longer document is a step of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = (2 << 20) - 64
 
 
 def splitmix(seed: int, n: int) -> np.ndarray:
