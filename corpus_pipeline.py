@@ -24,8 +24,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of three lines or more go; so do documents left without a word."""
-    clean = line_dedup.dedup_lines(docs, 3)
+    """Later copies of runs of three lines or more, or of 50 words or more, go; so do documents left without a word."""
+    clean = line_dedup.dedup_lines(docs, 3, min_words=50)
     return clean.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -9,6 +9,9 @@ ranks would add is only the order within an interval. Each suffix of an interval
 starts a run that stood before; the union of these runs, the maximal repeated runs, is deleted.
 Suffixes whose rank is unique can start no repeated run and leave after every round.
 
+With ``min_words``, a shorter run is a repeat too where its lines have that many words together (words as in ``text``:
+what stands between white space). The depth then grows by one line a round, so that every length under ``min_lines`` is ranked.
+
 Groups are reduced by map-side aggregates (a minimum and a maximum position, one row per rank), so a line
 that holds a third of all rows is never gathered; the joins that carry ranks back are plain
 equi-joins, which adaptive execution can split.
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from .store import written
 
 _D, _H = "__dedup_doc", "__dedup_hash"
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,33 +51,50 @@ def _solid(lines: Column) -> Column:
 
 
 def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Replace ``keys`` by an order-preserving rank ``r``, keeping only ranks that at least two positions share; ``first`` is the earliest."""
+    """Replace ``keys`` by an order-preserving rank ``r``, keeping only ranks that at least two positions share; ``later``: not the earliest of them."""
     place = F.struct(_D, _H, "seq")
     groups = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
     ranks = written(groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), f"ranks-{name}")
-    return rows.join(ranks, keys).select(_D, _H, "seq", F.col("rank").alias("r"), "first")
+    others = [c for c in rows.columns if c not in (_D, _H, "seq", *keys)]
+    return rows.join(ranks, keys).select(_D, _H, "seq", *others, F.col("rank").alias("r"), (F.col("first") < place).alias("later"))
+
 
+def repeated_starts(docs: DataFrame, min_lines: int, text: str = "text", min_words: int | None = None) -> DataFrame:
+    """Positions (document key, seq) whose run of ``n`` non-blank lines also starts earlier, in any document.
 
-def repeated_starts(docs: DataFrame, min_lines: int, text: str = "text") -> DataFrame:
-    """Positions (document key, seq) whose run of ``min_lines`` non-blank lines also starts earlier, in any document."""
+    ``n`` is ``min_lines``, or less where the run has ``min_words`` words.
+    """
     lines = F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x: x.rlike(r"\S"))
     each = docs.select(F.col("doc_id").alias(_D), F.xxhash64(f"`{text}`").alias(_H), F.posexplode(lines).alias("seq", "line"))
-    ids = each.select(_D, _H, "seq", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
-    rows, depth = _ranked(ids, ["a", "b"], "1"), 1
+    # words of the position's own line, and of its run at the depth reached
+    words = [] if min_words is None else [F.regexp_count("line", F.lit(_WORD)).alias("own")]
+    ids = each.select(_D, _H, "seq", *words, F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    if min_words is not None:
+        ids = ids.withColumn("total", F.col("own").cast("long"))
+    rows, depth, short = _ranked(ids, ["a", "b"], "1"), 1, []
     while depth < min_lines:
-        target = min(2 * depth, min_lines)
+        target = min(2 * depth, min_lines) if min_words is None else depth + 1
         shift = target - depth
         ahead = Window.partitionBy(_D, _H).orderBy("seq").rangeBetween(shift, shift)
-        pairs = rows.select(_D, _H, "seq", "r", F.max("r").over(ahead).alias("r2")).where(F.col("r2").isNotNull())
-        pairs = written(pairs, f"pairs-{target}")
+        pairs = rows.withColumn("r2", F.max("r").over(ahead))
+        if min_words is None:
+            pairs = written(pairs.where(F.col("r2").isNotNull()).drop("later"), f"pairs-{target}")
+        else:
+            pairs = pairs.withColumn("rest", F.max("total").over(ahead)).withColumn("hit", F.col("later") & (F.col("total") >= min_words))
+            pairs = written(pairs.where("hit OR r2 IS NOT NULL").drop("later"), f"pairs-{target}")
+            short.append(pairs.where("hit").select(_D, _H, "seq", F.lit(depth).alias("n")))
+            pairs = pairs.where(F.col("r2").isNotNull()).select(_D, _H, "seq", "own", (F.col("own") + F.col("rest")).alias("total"), "r", "r2")
         rows, depth = _ranked(pairs, ["r", "r2"], str(target)), target
-    return rows.where(F.col("first") < F.struct(_D, _H, "seq")).select(_D, _H, "seq")
+    found = rows.where("later").select(_D, _H, "seq", F.lit(min_lines).alias("n"))
+    for hits in short:
+        found = found.union(hits)
+    return found
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 3, text: str = "text", counts: bool = False) -> DataFrame:
-    """``docs`` with later copies of line runs deleted from ``text``; with ``counts`` also ``n_lines`` and ``n_removed``."""
-    hits = repeated_starts(docs, min_lines, text)
-    gone = hits.select(_D, _H, F.explode(F.sequence("seq", F.col("seq") + min_lines - 1)).alias("seq"))
+def dedup_lines(docs: DataFrame, min_lines: int = 3, text: str = "text", counts: bool = False, min_words: int | None = None) -> DataFrame:
+    """``docs`` with later copies of line runs (of ``min_lines`` lines, or of ``min_words`` words) deleted from ``text``; with ``counts`` also ``n_lines`` and ``n_removed``."""
+    hits = repeated_starts(docs, min_lines, text, min_words)
+    gone = hits.select(_D, _H, F.explode(F.sequence("seq", F.col("seq") + F.col("n") - 1)).alias("seq"))
     gone = gone.groupBy(_D, _H).agg(F.collect_set("seq").alias("__gone"))
     keyed = docs.withColumn(_H, F.xxhash64(f"`{text}`"))
     left = keyed.alias("l").join(gone.alias("g"), F.col("l.doc_id").eqNullSafe(F.col(f"g.{_D}")) & (F.col(f"l.{_H}") == F.col(f"g.{_H}")), "left")

@@ -249,6 +249,28 @@ def test_line_runs_edges(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize(("m", "least"), [(1, 3), (3, 3), (3, 5), (5, 4)])
+def test_short_runs_of_many_words_equal_brute_force(spark, m, least):
+    r = random.Random(10 * m + least)
+    rows = [(i, "\n".join(r.choice(["a", "b", "c", "", "d e", "f g h", " i j k l m "]) for _ in range(r.randrange(16)))) for i in range(120)]
+    seen, want = set(), []
+    for d, text in rows:
+        ls = text.split("\n")
+        solid = [i for i, x in enumerate(ls) if x.strip()]
+        gone = set()
+        for i in range(len(solid)):
+            for n in range(1, min(m, len(solid) - i) + 1):
+                at = solid[i : i + n]
+                run = tuple(ls[k] for k in at)
+                if run in seen and (n == m or len(" ".join(run).split()) >= least):
+                    gone |= set(at)
+                seen.add(run)
+        want.append((d, "\n".join(x for i, x in enumerate(ls) if i not in gone)))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).withColumn("total", F.lit("clash")), m, min_words=least)
+    assert got.columns == ["doc_id", "text", "total"]
+    assert sorted((x.doc_id, x.text) for x in got.collect()) == want
+
+
 # 9
 def test_packing_equals_one_by_one_best_fit():
     r = random.Random(1)

@@ -59,3 +59,12 @@ def test_stages_take_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_long_passages_of_one_or_two_lines_go(spark, tmp_path):
+    r = random.Random(8)
+    one, two, brief = words(r, 50), words(r, 30) + "\n" + words(r, 20), words(r, 24) + "\n" + words(r, 25)
+    own = [text(r, 3) for _ in range(6)]
+    rows = [(i, own[i] + "\n" + p, "en", "s", 0) for i, p in enumerate([one, one, two, two, brief, brief])]
+    got = {x.doc_id: x.text for x in corpus_pipeline.lines(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    assert got == {i: own[i] if i in (1, 3) else rows[i][1] for i in range(6)}
