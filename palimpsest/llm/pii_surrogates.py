@@ -7,7 +7,9 @@ addresses, names keep title, gender and script. The mention's own separators are
 
 Collision checks run over the distinct values of the whole table: a surrogate that two values
 share, or that is itself a value of the table, is drawn again with the next attempt number,
-until none is left. So distinct values stay distinct and equal values stay equal.
+until none is left. So distinct values stay distinct and equal values stay equal. No format holds a draw up: a name
+gets one more syllable with each attempt, and from attempt ``ROOMY`` on other formats, which then must be
+crowded, are left: one more digit with each attempt, and for addresses 10.0.0.0/8, then all of IPv4, then 2001:db8::/32.
 
 Everything is built-in expressions. Only documents with an entity take part in joins.
 
@@ -34,6 +36,9 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": ("an", "ela"), "cyrillic": ("ан", "ела"), "greek": ("ανος", "ελα")}
 
+#: Attempts that stay in the format of the original.
+ROOMY = 10
+
 _TITLES = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{Ll}]{1,30}"
 #: Types in order of precedence; every pattern is bounded, so no text makes a match run long.
@@ -109,18 +114,23 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     d = _digest(key, kind, value, attempt.cast("string"))
     domain = F.substring_index(value, "@", -1)
     host = _alike(F.regexp_replace(domain, r"\.[a-z]+$", ""), _digest(key, F.lit("domain"), domain))
-    email = F.concat(_alike(F.substring_index(value, "@", 1), d), F.when(attempt > 0, attempt.cast("string")).otherwise(""), F.lit("@"), host, F.lit(".example"))
-    private = F.when(value.rlike(r"^(10|127)\."), F.substring_index(value, ".", 1)).when(value.rlike(r"^192\.168\."), F.lit("192.168"))
+    more = _digest(key, F.lit("more"), kind, value, attempt.cast("string"))
+    extra = F.when(attempt < ROOMY, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), attempt - ROOMY), lambda i: (_number(more, i) % 10).cast("string")), ""))
+    email = F.concat(_alike(F.substring_index(value, "@", 1), d), F.when(attempt > 0, attempt.cast("string")).otherwise(""), extra, F.lit("@"), host, F.lit(".example"))
+    inside = F.when(value.rlike(r"^(10|127)\."), F.substring_index(value, ".", 1)).when(value.rlike(r"^192\.168\."), F.lit("192.168"))
+    private = F.when(attempt < ROOMY, inside).when((attempt < 2 * ROOMY) & inside.isNotNull(), F.lit("10"))
     free = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == 0, 1 + _number(d, i) % 223).otherwise(_number(d, i) % 256).cast("string"))
     ip = F.when(private.isNull(), F.array_join(free, ".")).otherwise(F.concat_ws(".", private, F.array_join(F.slice(free, F.when(private == "192.168", 3).otherwise(2), F.when(private == "192.168", 2).otherwise(3)), ".")))
-    body = _alike(F.substr(value, F.lit(1), F.length(value) - 1), d)
+    six = F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.lower(F.hex(_number(d, i)))), ":"))
+    ip = F.when(attempt < 3 * ROOMY, ip).otherwise(six)
+    body = F.concat(_alike(F.substr(value, F.lit(1), F.length(value) - 1), d), extra)
     check = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: F.concat(body, x.cast("string"))), lambda x: F.call_function("luhn_check", x))[0]
-    card = F.when(F.call_function("luhn_check", value), check).otherwise(_alike(value, d))
-    country, rest = F.substring(value, 1, 2), _alike(F.substr(value, F.lit(5)), d)
+    card = F.when(F.call_function("luhn_check", value), check).otherwise(F.concat(_alike(value, d), extra))
+    country, rest = F.substring(value, 1, 2), F.concat(_alike(F.substr(value, F.lit(5)), d), extra)
     iban = F.concat(country, F.lpad((98 - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest)
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
-        .when(kind == "name", _named(value, key, attempt)).otherwise(_alike(value, d))
+        .when(kind == "name", _named(value, key, attempt)).otherwise(F.concat(_alike(value, d), extra))
     )
 
 
@@ -135,7 +145,9 @@ def _named(value: Column, key: str, attempt: Column) -> Column:
         def made(script: str) -> Column:
             pool = F.array(*[F.lit(s) for s in SYLLABLES[script]])
             ending = F.when(given & (gender == "f"), ENDINGS[script][1]).when(given, ENDINGS[script][0]).otherwise("")
-            return F.initcap(F.concat(*[pool[_number(d, k) % len(SYLLABLES[script])] for k in range(3)], ending))
+            more = F.transform(F.sequence(F.lit(3), attempt + 2), lambda k: pool[_number(d, k) % len(SYLLABLES[script])])
+            longer = F.when(attempt > 0, F.array_join(more, "")).otherwise("")
+            return F.initcap(F.concat(*[pool[_number(d, k) % len(SYLLABLES[script])] for k in range(3)], longer, ending))
 
         return F.when(word.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(word.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
@@ -143,10 +155,11 @@ def _named(value: Column, key: str, attempt: Column) -> Column:
 
 
 def _formatted(kind: Column, match: Column, new: Column) -> Column:
-    """The surrogate with the separators (or the title) of this mention."""
+    """The surrogate with the separators (or the title) of this mention; what it is longer goes to the end."""
     spaced = F.transform(F.split(match, ""), lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), F.substr(new, F.length(F.regexp_replace(F.substr(match, F.lit(1), i), r"[^\p{L}\p{N}]", "")) + 1, F.lit(1))).otherwise(c))
+    spaced = F.concat(F.array_join(spaced, ""), F.substr(new, F.length(F.regexp_replace(match, r"[^\p{L}\p{N}]", "")) + 1))
     titled = F.concat(F.regexp_extract(match, rf"(?U)^(?:{_TITLES})\.? ", 0), new)
-    return F.when(kind.isin("email", "ip", "secret"), new).when(kind == "name", titled).otherwise(F.array_join(spaced, ""))
+    return F.when(kind.isin("email", "ip", "secret"), new).when(kind == "name", titled).otherwise(spaced)
 
 
 def mentions(docs: DataFrame, text: str = "text") -> DataFrame:

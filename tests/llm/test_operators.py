@@ -192,6 +192,19 @@ def test_surrogates_keep_identity_format_and_secrets_out(spark):
     assert pii_surrogates.replace_entities(docs.limit(0)).count() == 0
 
 
+def test_crowded_formats_do_not_stop_the_draw(spark, monkeypatch):
+    monkeypatch.setitem(pii_surrogates.SYLLABLES, "latin", ["ba", "be"])  # 8 names of three syllables
+    rows = [("name", "- " + chr(65 + i % 26) + "x" * (1 + i // 26)) for i in range(60)]
+    rows += [("ip", f"192.168.{i % 256}.{i // 256}") for i in range(34000)]  # more than half
+    rows += [("secret", "_" * 24 + f"{a}{i}") for a in "abcdefghijklmnopqrstuvwxyz" for i in range(10)]  # all
+    got = pii_surrogates.drawn(spark.createDataFrame(rows, "kind string, value string"), "k").collect()
+    assert sorted((x.kind, x.value) for x in got) == sorted(rows)
+    assert len({(x.kind, x.new) for x in got}) == len(rows) and not {(x.kind, x.new) for x in got} & set(rows)
+    assert all(re.fullmatch(r"192\.168\.\d+\.\d+|10\.\d+\.\d+\.\d+", x.new) for x in got if x.kind == "ip")
+    longer = spark.range(1).select(pii_surrogates._formatted(F.lit("ssn"), F.lit("123-45-6789"), F.lit("98765432100")))
+    assert longer.first()[0] == "987-65-432100"
+
+
 # 7
 def test_token_counts_equal_the_library_at_every_prefix():
     r = random.Random(3)
