@@ -31,8 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
-    kept = minhash_forest.near_duplicates(docs, minhash_forest.Forest(shingle=5)).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return minhash_forest.one_of_each(docs, minhash_forest.Forest(shingle=5))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

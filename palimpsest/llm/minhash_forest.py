@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -315,8 +315,8 @@ def _dealt(groups: DataFrame, classes: DataFrame, p: Forest) -> DataFrame:
     return placed.join(meets, ["root", "block"]).select("cid", "root", "rep", "rep_h", "meets")
 
 
-def near_duplicates(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def _grouped(docs: DataFrame, p: Forest) -> DataFrame:
+    """doc_id, h (of the text), n_shingles, group (null without words) and component_id of every row."""
     signed = written(_signed(docs, p), "signatures")
     rep = F.min(F.struct("doc_id", "h"))
     classes = signed.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("low"), rep.alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
@@ -325,8 +325,28 @@ def near_duplicates(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     groups = components(_candidates(_orders(classes, p), p), "coarse-groups")
     links = written(_confirmed(docs, _dealt(groups, classes, p), p), "links")
     linked = components(links, "groups").join(classes.select(F.col("cid").alias("node"), "low"), "node")
-    names = linked.join(linked.groupBy("root").agg(F.min("low").alias("component")), "root").select(F.col("node").alias("cid"), "component")
-    named = classes.join(names, "cid", "left").select("a", "b", F.coalesce("component", "low").alias("component"))
-    rows = signed.select("doc_id", "n_shingles", "a", "b").join(named, ["a", "b"], "left")
+    names = linked.join(linked.groupBy("root").agg(F.min("low").alias("component")), "root").select(F.col("node").alias("cid"), "root", "component")
+    named = classes.join(names, "cid", "left").select("a", "b", F.coalesce("root", "cid").alias("group"), F.coalesce("component", "low").alias("component"))
+    rows = signed.select("doc_id", "h", "n_shingles", "a", "b").join(named, ["a", "b"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return rows.select("doc_id", "h", "n_shingles", "group", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return _grouped(docs, p).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
+    """One row of each group, with the columns it came with; texts without words all stay.
+
+    The row with the least (doc_id, hash of the text) stays, a null doc_id only where the group has no other; of rows equal in
+    both, the one with the least hash of all columns.
+    """
+    key = F.struct("doc_id", "h")
+    alone = F.when(F.col("n_shingles") == 0, key).alias("alone")
+    least = _grouped(docs, p).groupBy("group", alone).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
+    kept = least.select(F.struct("k.doc_id", "k.h").alias("__key"), F.col("alone").isNotNull().alias("__all"))
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
+    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return keyed.join(kept, "__key").withColumn("__place", place).where("__all OR __place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

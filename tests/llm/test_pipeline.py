@@ -1,6 +1,7 @@
 """Stages on planted cases: what must go goes, clean documents stay, columns stay as they are."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -68,3 +69,13 @@ def test_long_passages_of_one_or_two_lines_go(spark, tmp_path):
     rows = [(i, own[i] + "\n" + p, "en", "s", 0) for i, p in enumerate([one, one, two, two, brief, brief])]
     got = {x.doc_id: x.text for x in corpus_pipeline.lines(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
     assert got == {i: own[i] if i in (1, 3) else rows[i][1] for i in range(6)}
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    copy = base.replace("w59", "changed")
+    other, third = base.replace("w", "x"), base.replace("w", "y")
+    rows = [(1, base, "b"), (1, copy, "a"), (1, base, "a"), (None, copy, "a"), (2, other, "a"), (2, other, "a"), (None, third, "a"), (None, third.replace("y59", "z"), "a"), (7, "", "a"), (7, "", "a"), (1, "own " * 9, "a")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(d, t, "en", s, 0) for d, t, s in rows], SCHEMA), "").collect()
+    assert Counter(x.text.split()[0][0] if x.text else "" for x in got) == Counter({"w": 1, "x": 1, "y": 1, "o": 1, "": 2})
+    assert [x.doc_id for x in got if x.text[:1] == "w"] == [1]
