@@ -1,25 +1,36 @@
 """Surrogates for personal data: keyed, type-consistent replacements of detected entities.
 
 Entities are found by pattern, reduced to a canonical value (so differently formatted mentions of
-one value agree), and each distinct canonical value gets one surrogate from a keyed digest: letters
-become letters of the same case, digits digits, card and bank numbers keep valid check digits, addresses stay
-addresses, names keep title, gender and script. The mention's own separators are put back.
+one value agree), and each distinct canonical value gets one surrogate. Numbers, addresses, secrets and mail
+names go through a keyed Feistel permutation of their own format: half of the characters shift the other half, each within
+its kind (a letter becomes a letter of the same case, a digit a digit, an octet an octet), so distinct values of a format get
+distinct surrogates by construction; card and bank numbers get valid check digits. Names are invented
+from syllables of the script, given names with an ending of the title's gender.
+
+Names: a name that follows a title (with particles, initials, apostrophes and hyphens) gives its
+words to the document; wherever such a word stands in that document, with or without the title, capitalised or in capitals,
+alone or with a genitive s, it is the same entity and gets the same surrogate.
 
 Collision checks run over the distinct values of the whole table: a surrogate that two values
-share, or that is itself a value of the table, is drawn again with the next attempt number,
-until none is left. So distinct values stay distinct and equal values stay equal. No format holds a draw up: a name
-gets one more syllable with each attempt, and from attempt ``ROOMY`` on other formats, which then must be
-crowded, are left: one more digit with each attempt, and for addresses 10.0.0.0/8, then all of IPv4, then 2001:db8::/32.
+share (formats can meet), or that is itself a value of the table, is drawn again with the next attempt number,
+until none is left. No format holds a draw up: a name gets one more syllable with each attempt, and from attempt
+``ROOMY`` on other formats, which then must be crowded, are left: one more digit with each attempt, and for private addresses
+10.0.0.0/8, for others any address, then 2001:db8::/32.
 
-Everything is built-in expressions. Only documents with an entity take part in joins.
+A text is searched once: the pattern marks matches and kinds with a separator made from the text's own hash, and
+the pieces between separators are written; everything later joins on a row number. Texts without an at sign, a digit or a title are
+never searched. Everything is built-in expressions.
 
 Defined results: a null or empty text stays as it is; repeated rows get equal replacements; texts
-of any length are handled whole; extra columns pass through; an empty table gives an empty
-result.
+of any length are handled whole; an initial before a name becomes another letter, without a collision check; extra columns
+of any name pass through, and ``doc_id`` is not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +47,23 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": ("an", "ela"), "cyrillic": ("ан", "ела"), "greek": ("ανος", "ελα")}
 
-#: Attempts that stay in the format of the original.
-ROOMY = 10
+#: Attempts that stay in the format of the original, and rounds of the permutation.
+ROOMY, ROUNDS = 3, 6
 
 _TITLES = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{Ll}]{1,30}"
+#: Titles that hold no other title: a text with none of them has no titled name.
+_HINTS = tuple(t for t in MALE + FEMALE if not any(o != t and o in t for o in MALE + FEMALE))
+# Particles inside names, and academic titles before them.
+PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "ten", "ter", "zu", "zum", "bin", "al", "el", "af", "av")
+DEGREES = ("Dr", "Prof", "Doctor", "Professor")
+# Decimal digits of other scripts, each row from zero to nine.
+DIGITS = "٠١٢٣٤٥٦٧٨٩" "۰۱۲۳۴۵۶۷۸۹" "०१२३४५६७८९" "０１２３４５６７８９"
+
+_TITLE = rf"(?<!\p{{L}})(?:{_TITLES})\.? (?:(?:{'|'.join(DEGREES)})\.? ){{0,2}}"
+_CORE = r"\p{Lu}(?:\p{Ll}{1,30}(?:\p{Lu}\p{Ll}{1,30})?|\p{Lu}{1,30})"
+_WORD = rf"(?:\p{{Lu}}['’])?{_CORE}(?:[-'’]{_CORE}){{0,3}}"
+_BEFORE = rf"(?:(?:{'|'.join(PARTICLES)}|(?:\p{{Lu}}\.){{1,3}}) ){{0,4}}"
+_TITLED = rf"{_TITLE}{_BEFORE}{_WORD}(?: {_BEFORE}{_WORD}){{0,2}}"
 #: Types in order of precedence; every pattern is bounded, so no text makes a match run long.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+'-])[A-Za-z0-9._%+'-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
@@ -48,35 +71,45 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]\d)(?!\d)"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("card", r"(?<![\w-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"),
+    ("card", r"(?<![\w-])(?:\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"),
     ("phone", r"(?<![\w+])\+?\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)"),
-    ("name", rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?"),
 )
-_ALL = "(?U)" + "|".join(f"(?:{p})" for _, p in PATTERNS)
-_MAYBE = rf"[@0-9]|(?U:(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}})"
+#: Any capitalised word, or a lone capital before a full stop: names are looked up among the document's own.
+NAME = ("name", r"(?<!\p{L})\p{Lu}(?:\p{L}{1,60}|(?=\.))(?!\p{L})")
+
+
+def _all(patterns: tuple[tuple[str, str], ...]) -> str:
+    return "(?U)" + "|".join(f"(?<{kind}>{p})" for kind, p in patterns)
+
+
+def names(text: Column) -> Column:
+    """Words of the titled names of a text as ``array<struct<word, role>>``; the role is a gender (given name), - (surname) or i (initial)."""
+    hint = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in _HINTS])
+
+    def of(m: Column) -> Column:
+        gender = F.when(m.rlike(rf"(?U)^(?:{'|'.join(FEMALE)})\.? "), "f").otherwise("m")
+        tokens = F.split(F.regexp_replace(m, rf"(?U)^{_TITLE}", ""), " ")
+
+        def words(token: Column, i: Column) -> Column:
+            found = F.regexp_extract_all(token, F.lit(r"\p{Lu}\p{L}*"), F.lit(0))
+            return F.transform(found, lambda w: F.struct(F.lower(w).alias("word"), F.when(F.length(w) == 1, "i").when(i < F.size(tokens) - 1, gender).otherwise("-").alias("role")))
 
+        return F.flatten(F.transform(tokens, words))
 
-def kind_of(m: Column) -> Column:
-    """Type of a match: the first whose whole pattern it is."""
-    out = F.lit("name")
-    for name, p in reversed(PATTERNS[:-1]):
-        out = F.when(m.rlike(rf"(?U)^(?:{p})$"), name).otherwise(out)
-    return out
+    titled = F.regexp_extract_all(text, F.lit(f"(?U){_TITLED}"), F.lit(0))
+    none = F.array().cast("array<struct<word:string,role:string>>")
+    return F.coalesce(F.when(hint, F.flatten(F.transform(titled, of))), none)
 
 
 def canonical(kind: Column, m: Column) -> Column:
-    """What mentions of one value have in common."""
-    bare = F.regexp_replace(m, r"[^\p{L}\p{N}]", "")
-    named = F.regexp_replace(m, rf"(?U)^(?:{_TITLES})\.? ", "")
-    gender = F.when(m.rlike(rf"(?U)^(?:{'|'.join(FEMALE)})\.? "), "f").otherwise("m")
-    return (
-        F.when(kind == "email", F.lower(m)).when(kind.isin("ip", "secret"), m).when(kind == "name", F.concat(F.when(named.contains(" "), gender).otherwise("-"), F.lit(" "), named)).when(kind == "iban", F.upper(bare)).otherwise(bare)
-    )
+    """What mentions of one value have in common (names are handled by their words)."""
+    bare = F.translate(F.regexp_replace(m, r"[^\p{L}\p{N}]", ""), DIGITS, "0123456789" * (len(DIGITS) // 10))
+    return F.when(kind == "email", F.lower(m)).when(kind.isin("ip", "secret", "name"), m).when(kind == "iban", F.upper(bare)).otherwise(bare)
 
 
-def _digest(key: str, *parts: Column) -> Column:
-    """192 hex digits that depend on the key and the parts."""
-    seed = F.concat_ws("\x1f", F.lit(key), *parts)
+def _digest(*parts: Column | str) -> Column:
+    """192 hex digits that depend on the parts."""
+    seed = F.concat_ws("\x1f", *[F.lit(p) if isinstance(p, str) else p for p in parts])
     return F.concat(*[F.sha2(F.concat(F.lit(f"{i}\x1f"), seed), 256) for i in range(3)])
 
 
@@ -86,20 +119,45 @@ def _number(digest: Column, i: Column | int) -> Column:
     return F.conv(F.substr(digest, at, F.lit(4)), 16, 10).cast("int")
 
 
-def _alike(value: Column, digest: Column) -> Column:
-    """Each letter and digit of ``value`` replaced by one of its kind (hexadecimal stays hexadecimal)."""
-    hexadecimal = value.rlike("^(?=.*[a-f])[0-9a-f]{16,}$")
-    letters = F.lit("abcdefghijklmnopqrstuvwxyz")
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written and computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _feistel(cells: Column, seed: Column) -> Column:
+    """A keyed permutation of ``array<struct<c, m, ...>>``: every ``c`` stays within 0..m-1, and distinct arrays stay distinct.
+
+    In each round the codes of one half, through a digest, shift those of the other.
+    """
+
+    def step(s: Column, k: Column) -> Column:
+        digest = _digest(seed, k.cast("string"), F.array_join(F.transform(s.x, lambda e: e.c.cast("string")), ","))
+        moved = _once(digest, lambda v: F.transform(s.y, lambda e, i: e.withField("c", (e.c + _number(v, i)) % e.m)))
+        return F.struct(moved.alias("x"), s.x.alias("y"))
+
+    def halves(c: Column) -> Column:
+        half = F.shiftright(F.size(c), 1)
+        start = F.struct(F.slice(c, 1, half).alias("x"), F.slice(c, half + 1, F.size(c) - half).alias("y"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.concat(s.x, s.y))
+
+    return _once(cells, halves)
+
 
-    def one(c: Column, i: Column) -> Column:
-        n = _number(digest, i)
-        low = F.substr(letters, n % 26 + 1, F.lit(1))
-        return (
-            F.when(hexadecimal, F.lower(F.hex(n % 16))).when(c.rlike("[0-9]"), (n % 10).cast("string"))
-            .when(c.rlike("[A-Z]"), F.upper(low)).when(c.rlike("[a-z]"), low).otherwise(c)
-        )
+def _alike(value: Column, seed: Column) -> Column:
+    """Each letter and digit of ``value`` replaced by one of its kind (hexadecimal stays hexadecimal); distinct for distinct values of one seed and shape."""
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+    def cell(ch: Column, hexadecimal: Column) -> Column:
+        n = F.ascii(ch)
+        digit, upper, lower = ch.rlike("^[0-9]$"), ch.rlike("^[A-Z]$"), ch.rlike("^[a-z]$")
+        code = F.when(hexadecimal, F.conv(ch, 16, 10).cast("int")).when(digit, n - 48).when(upper, n - 65).when(lower, n - 97).otherwise(0)
+        size = F.when(hexadecimal, 16).when(digit, 10).when(upper | lower, 26).otherwise(1)
+        return F.struct(code.alias("c"), size.alias("m"), F.when(digit & ~hexadecimal, "d").when(upper, "u").when(hexadecimal, "h").when(lower, "l").otherwise("").alias("k"), ch.alias("s"))
+
+    def shown(e: Column) -> Column:
+        return F.when(e.k == "d", F.chr(e.c + 48)).when(e.k == "u", F.chr(e.c + 65)).when(e.k == "l", F.chr(e.c + 97)).when(e.k == "h", F.lower(F.hex(e.c))).otherwise(e.s)
+
+    cells = _once(value.rlike("^(?=.*[a-f])[0-9a-f]{16,}$"), lambda h: F.transform(F.filter(F.split(value, ""), lambda ch: ch != ""), lambda ch: cell(ch, h)))
+    return F.array_join(F.transform(_feistel(cells, seed), shown), "")
 
 
 def _mod97(digits: Column) -> Column:
@@ -109,99 +167,147 @@ def _mod97(digits: Column) -> Column:
     return F.aggregate(F.filter(F.split(digits, ""), lambda c: c != ""), F.lit(0), step)
 
 
+def _address(value: Column, attempt: Column, seed: Column) -> Column:
+    """Private addresses stay private, others stay unicast; the octets are permuted."""
+    o = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
+    first, second = F.get(o, F.lit(0)), F.get(o, F.lit(1))
+    small = (first == 192) & (second == 168) | (first == 172) & second.between(16, 31)
+    private = first.isin(10, 127) | small
+    cell = lambda c, m, base: F.struct(c.cast("int").alias("c"), m.cast("int").alias("m"), base.cast("int").alias("b"))
+    lit = F.lit
+    whole = lambda x: cell(x, lit(256), lit(0))
+    wide = F.when(attempt >= ROOMY, F.array(cell(lit(0), lit(1), lit(10)), whole(second)))  # 10.0.0.0/8
+    held = (
+        F.when(small, F.coalesce(wide, F.array(cell(lit(0), lit(1), first), F.when(first == 192, cell(lit(0), lit(1), lit(168))).otherwise(cell(second - 16, lit(16), lit(16))))))
+        .when(private & (attempt < ROOMY), F.array(cell(lit(0), lit(1), first), whole(second)))
+        .otherwise(F.array(F.when(first.between(1, 223), cell(first - 1, lit(223), lit(1))).when(first >= 224, cell(first - 224, lit(32), lit(224))).otherwise(cell(lit(0), lit(1), lit(0))), whole(second)))
+    )
+    cells = F.concat(held, F.transform(F.slice(o, 3, 2), whole))
+    four = F.array_join(F.transform(_feistel(cells, seed), lambda e: (e.c + e.b).cast("string")), ".")
+    d = _digest("ipv6", seed, value)
+    six = F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.lower(F.hex(_number(d, i)))), ":"))
+    return F.when(attempt < 2 * ROOMY, four).otherwise(six)
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The replacement of a canonical value."""
-    d = _digest(key, kind, value, attempt.cast("string"))
+    seed = F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"))
     domain = F.substring_index(value, "@", -1)
-    host = _alike(F.regexp_replace(domain, r"\.[a-z]+$", ""), _digest(key, F.lit("domain"), domain))
-    more = _digest(key, F.lit("more"), kind, value, attempt.cast("string"))
+    host = _alike(F.regexp_replace(domain, r"\.[a-z]+$", ""), F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(domain, ".", -1)))
+    more = _digest("more", seed, value)
     extra = F.when(attempt < ROOMY, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), attempt - ROOMY), lambda i: (_number(more, i) % 10).cast("string")), ""))
-    email = F.concat(_alike(F.substring_index(value, "@", 1), d), F.when(attempt > 0, attempt.cast("string")).otherwise(""), extra, F.lit("@"), host, F.lit(".example"))
-    inside = F.when(value.rlike(r"^(10|127)\."), F.substring_index(value, ".", 1)).when(value.rlike(r"^192\.168\."), F.lit("192.168"))
-    private = F.when(attempt < ROOMY, inside).when((attempt < 2 * ROOMY) & inside.isNotNull(), F.lit("10"))
-    free = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == 0, 1 + _number(d, i) % 223).otherwise(_number(d, i) % 256).cast("string"))
-    ip = F.when(private.isNull(), F.array_join(free, ".")).otherwise(F.concat_ws(".", private, F.array_join(F.slice(free, F.when(private == "192.168", 3).otherwise(2), F.when(private == "192.168", 2).otherwise(3)), ".")))
-    six = F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.lower(F.hex(_number(d, i)))), ":"))
-    ip = F.when(attempt < 3 * ROOMY, ip).otherwise(six)
-    body = F.concat(_alike(F.substr(value, F.lit(1), F.length(value) - 1), d), extra)
-    check = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: F.concat(body, x.cast("string"))), lambda x: F.call_function("luhn_check", x))[0]
-    card = F.when(F.call_function("luhn_check", value), check).otherwise(F.concat(_alike(value, d), extra))
-    country, rest = F.substring(value, 1, 2), F.concat(_alike(F.substr(value, F.lit(5)), d), extra)
-    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest)
-    return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
-        .when(kind == "name", _named(value, key, attempt)).otherwise(F.concat(_alike(value, d), extra))
-    )
+    # one permutation serves all formats: the part of the value that is free to change
+    valid_card = (kind == "card") & F.call_function("luhn_check", value)
+    free = F.when(kind == "email", F.substring_index(value, "@", 1)).when(valid_card, F.substr(value, F.lit(1), F.length(value) - 1)).when(kind == "iban", F.substr(value, F.lit(5))).otherwise(value)
+    country = F.substring(value, 1, 2)
 
+    def finished(body: Column) -> Column:
+        email = F.concat(body, F.when(attempt > 0, attempt.cast("string")).otherwise(""), F.lit("@"), host, F.lit(".example"))
+        check = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: F.concat(body, x.cast("string"))), lambda x: F.call_function("luhn_check", x))[0]
+        iban = F.concat(country, F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body)
+        return F.when(kind == "email", email).when(valid_card, check).when(kind == "iban", iban).otherwise(body)
 
-def _named(value: Column, key: str, attempt: Column) -> Column:
-    """Invented names in the script of the original, the first of two given names with the gender's ending."""
-    gender, parts = F.substring(value, 1, 1), F.split(F.substr(value, F.lit(3)), " ")
-
-    def one(word: Column, i: Column) -> Column:
-        given = (F.size(parts) > 1) & (i == 0)
-        d = _digest(key, F.lit("name"), F.when(given, gender).otherwise(""), F.lower(word), attempt.cast("string"))
+    return F.when(kind == "ip", _address(value, attempt, seed)).when(kind == "name", _named(value, key, attempt)).otherwise(_once(F.concat(_alike(free, seed), extra), finished))
 
-        def made(script: str) -> Column:
-            pool = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-            ending = F.when(given & (gender == "f"), ENDINGS[script][1]).when(given, ENDINGS[script][0]).otherwise("")
-            more = F.transform(F.sequence(F.lit(3), attempt + 2), lambda k: pool[_number(d, k) % len(SYLLABLES[script])])
-            longer = F.when(attempt > 0, F.array_join(more, "")).otherwise("")
-            return F.initcap(F.concat(*[pool[_number(d, k) % len(SYLLABLES[script])] for k in range(3)], longer, ending))
 
-        return F.when(word.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(word.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
-
-    return F.array_join(F.transform(parts, one), " ")
+def _named(value: Column, key: str, attempt: Column) -> Column:
+    """An invented name in the script of the original (``role word``), a given name with the gender's ending; an initial is a letter."""
+    role, word = F.substring(value, 1, 1), F.substr(value, F.lit(3))
+    digest = _digest(key, "name", F.when(role == "-", "").otherwise(role), F.lower(word), attempt.cast("string"))
+    by_script = lambda of: F.when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(word.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+    pool = by_script(lambda s: F.array(*[F.lit(x) for x in SYLLABLES[s]]))
+    ending = F.when(role == "f", by_script(lambda s: F.lit(ENDINGS[s][1]))).when(role == "m", by_script(lambda s: F.lit(ENDINGS[s][0]))).otherwise("")
+    made = _once(pool, lambda p: _once(digest, lambda d: F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda k: F.get(p, _number(d, k) % F.size(p))), "")))
+    name = F.initcap(F.concat(made, ending))
+    return F.when(role == "i", F.substring(name, 1, 1)).otherwise(name)
 
 
 def _formatted(kind: Column, match: Column, new: Column) -> Column:
-    """The surrogate with the separators (or the title) of this mention; what it is longer goes to the end."""
+    """The surrogate with the separators (or the capitals) of this mention; what it is longer goes to the end."""
     spaced = F.transform(F.split(match, ""), lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), F.substr(new, F.length(F.regexp_replace(F.substr(match, F.lit(1), i), r"[^\p{L}\p{N}]", "")) + 1, F.lit(1))).otherwise(c))
     spaced = F.concat(F.array_join(spaced, ""), F.substr(new, F.length(F.regexp_replace(match, r"[^\p{L}\p{N}]", "")) + 1))
-    titled = F.concat(F.regexp_extract(match, rf"(?U)^(?:{_TITLES})\.? ", 0), new)
-    return F.when(kind.isin("email", "ip", "secret"), new).when(kind == "name", titled).otherwise(spaced)
+    loud = (F.length(match) > 1) & (F.upper(match) == match)
+    return F.when(kind.isin("email", "ip", "secret"), new).when(kind == "name", F.when(loud, F.upper(new)).otherwise(new)).otherwise(spaced)
 
 
-def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` that have an entity, with ``__m``: their matches in order as (kind, match, value)."""
-    found = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(_ALL), F.lit(0))
-    got = docs.where(F.col(f"`{text}`").rlike(_MAYBE)).withColumn("__m", found).where(F.size("__m") > 0)
-    kinds = F.transform("__m", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("match")))
-    return got.withColumn("__m", kinds).withColumn("__m", F.transform("__m", lambda x: F.struct(x.kind.alias("kind"), x.match.alias("match"), canonical(x.kind, x.match).alias("value"))))
-
-
-def drawn(values: DataFrame, key: str, max_rounds: int = 50) -> DataFrame:
-    """kind, value, attempt, new for the distinct ``values`` (kind, value): no two with one surrogate, none that is a value."""
-    draw = lambda df: df.withColumn("new", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
-    table = written(draw(values.withColumn("attempt", F.lit(0))), "surrogates")
-    for _ in range(max_rounds):
+def searched(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``__pieces`` (gaps and marked matches in turn), ``__names``, ``__row`` and ``__h``, the one pass over the texts; as a written table."""
+    column = F.col(f"`{text}`")
+    df = docs.withColumn("__h", F.lower(F.hex(F.xxhash64(column)))).withColumn("__names", names(column))
+    outer, inner = _marks(F.col("__h"))
+    named = F.size("__names") > 0
+    template = lambda kinds: F.concat(outer, *[x for k, _ in kinds for x in (F.lit("${" + k + "}"), inner)], outer)
+    mark = lambda kinds: F.regexp_replace(column, F.lit(_all(kinds)), template(kinds))
+    marked = F.when(named, mark((*PATTERNS, NAME))).otherwise(mark(PATTERNS))
+    hit = named | F.contains(column, F.lit("@")) | column.rlike(r"\p{Nd}")
+    pieces = F.when(hit, F.split(marked, outer, -1)).otherwise(F.array(column))
+    return written(df.withColumn("__pieces", pieces).withColumn("__row", F.monotonically_increasing_id()).drop(text), "searched")
+
+
+def _marks(h: Column) -> tuple[Column, Column]:
+    """Separators of matches and of kinds; a text cannot hold those of its own hash but by chance."""
+    return F.concat(F.lit("\x01"), h, F.lit("\x01")), F.concat(F.lit("\x02"), h, F.lit("\x02"))
+
+
+def mentions(found: DataFrame) -> DataFrame:
+    """Mentions of a searched table in order: ``__row``, ``i``, kind, match, value, and ``rest``, what follows the value inside the match; as a written table."""
+    _, inner = _marks(F.col("__h"))
+    each = found.where(F.size("__pieces") > 1).select("__row", "__h", F.posexplode("__pieces").alias("i", "piece")).where("i % 2 = 1")
+    each = each.withColumn("parts", F.split("piece", inner, -1))
+    kind = F.element_at(F.array(*[F.lit(k) for k, _ in (*PATTERNS, NAME)]), F.array_position(F.transform("parts", lambda x: x != ""), F.lit(True)).cast("int"))
+    each = each.select("__row", "i", kind.alias("kind"), F.array_join("parts", "").alias("match"))
+    plain = each.where("kind <> 'name'").select("__row", "i", "kind", "match", canonical(F.col("kind"), F.col("match")).alias("value"), F.lit("").alias("rest"))
+    own = found.where(F.size("__names") > 0).select("__row", F.explode("__names").alias("n")).groupBy("__row", F.col("n.word").alias("word")).agg(F.min("n.role").alias("role"))
+    low = F.lower("match")
+    words = F.array_distinct(F.array(low, F.regexp_replace(low, "s$", "")))
+    looked = each.where("kind = 'name'").select("__row", "i", "match", F.explode(words).alias("word")).join(own, ["__row", "word"])
+    best = looked.groupBy("__row", "i", "match").agg(F.max(F.struct(F.length("word").alias("n"), "word", "role")).alias("w"))
+    named = best.select("__row", "i", F.lit("name").alias("kind"), F.substr("match", F.lit(1), F.col("w.n")).alias("match"), F.concat("w.role", F.lit(" "), "w.word").alias("value"), F.substr("match", F.col("w.n") + 1).alias("rest"))
+    return written(plain.unionByName(named), "mentions")
+
+
+def drawn(values: DataFrame, key: str) -> DataFrame:
+    """kind, value, attempt, new for the distinct ``values`` (kind, value): no two with one surrogate, none that is a value.
+
+    Every attempt beyond ``ROOMY`` has a larger space than the last, so the rounds end.
+    """
+    new = surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)
+    own = F.when(F.col("kind") == "name", F.substr("value", F.lit(3))).otherwise(F.col("value"))
+    real = values.select("kind", own.alias("own")).distinct()
+    wide = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be merged into one task
+    spread = lambda df: df.repartition(wide, "kind", "value").withColumn("new", new)
+    table = written(spread(values.withColumn("attempt", F.lit(0))), "surrogates")
+    while True:
         holder = F.min(F.struct(F.xxhash64("value"), "value"))
         shared = table.groupBy("kind", "new").agg(F.count("*").alias("n"), holder.getField("value").alias("holder")).where("n > 1")
         lost = table.join(shared, ["kind", "new"]).where(F.col("value") != F.col("holder")).select("kind", "value")
-        taken = table.alias("t").join(values.alias("v"), (F.col("t.kind") == F.col("v.kind")) & (F.col("t.new") == F.col("v.value"))).select("t.kind", "t.value")
+        shown = F.when(F.col("kind") == "name", F.lower("new")).otherwise(F.col("new"))
+        taken = table.withColumn("own", shown).join(real, ["kind", "own"], "left_semi").select("kind", "value")
         again = written(lost.union(taken).distinct(), "collisions")
         if again.isEmpty():
             return table
         moved = table.join(again.withColumn("again", F.lit(1)), ["kind", "value"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
-        table = written(draw(moved.select("kind", "value", "attempt")), "surrogates")
-    raise RuntimeError("surrogates still collide; the space of some format is exhausted")
+        table = written(spread(moved.select("kind", "value", "attempt")), "surrogates")
 
 
 def replace_entities(docs: DataFrame, key: str = "surrogates-v1", text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced; with ``counts`` also ``n_entities`` and ``n_distinct``."""
-    column = F.col(f"`{text}`")
-    found = mentions(docs, text)
-    each = written(found.select(F.col("doc_id").alias("__d"), F.xxhash64(column).alias("__h"), F.posexplode("__m").alias("i", "m")).select("__d", "__h", "i", "m.kind", "m.match", "m.value"), "mentions")
-    table = drawn(each.select("kind", "value").distinct(), key)
-    new = each.join(table, ["kind", "value"]).select("__d", "__h", "i", F.concat("kind", F.lit(":"), "value").alias("value"), _formatted(F.col("kind"), F.col("match"), F.col("new")).alias("new"))
-    lists = new.groupBy("__d", "__h").agg(F.array_sort(F.collect_set(F.struct("i", "new"))).alias("__new"), F.count_distinct("value").alias("__distinct"))
-    hit = found.withColumn("__h", F.xxhash64(column)).alias("l").join(lists.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.__d")) & (F.col("l.__h") == F.col("r.__h")))
-    gaps = F.split(F.col(f"l.`{text}`"), _ALL, -1)
-    spliced = F.concat(F.array_join(F.transform("__new", lambda x, i: F.concat(gaps[i], x.new)), ""), F.element_at(gaps, -1))
-    columns = [spliced.alias(c) if c == text else F.col(f"l.`{c}`") for c in docs.columns]
-    missed = docs.where(~F.coalesce(column.rlike(_MAYBE) & (F.size(F.regexp_extract_all(column, F.lit(_ALL), F.lit(0))) > 0), F.lit(False)))
-    rest = [F.col(f"`{c}`") for c in docs.columns]
-    if counts:
-        columns += [F.size("__m").cast("long").alias("n_entities"), F.col("__distinct").alias("n_distinct")]
-        rest += [F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_distinct")]
-    return missed.select(*rest).union(hit.select(*columns))
+    own = [f"__own{i}" for i in range(len(docs.columns))]  # so that no column is taken for one of these
+    at = own[docs.columns.index(text)]
+    found = searched(docs.toDF(*own), at)
+    each = mentions(found)
+    initial = (F.col("kind") == "name") & F.col("value").startswith("i ")
+    table = drawn(each.where(~initial).select("kind", "value").distinct(), key)
+    letters = each.where(initial).select("kind", "value").distinct().select("kind", "value", _named(F.col("value"), key, F.lit(0)).alias("new"))
+    new = each.join(table.select("kind", "value", "new").union(letters), ["kind", "value"])
+    new = new.select("__row", "i", F.concat_ws(":", "kind", "value").alias("value"), F.concat(_formatted(F.col("kind"), F.col("match"), F.col("new")), "rest").alias("new"))
+    lists = new.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("i", "new"))).alias("__new"), F.count("*").alias("__n"), F.count_distinct("value").alias("__distinct"))
+    pieces, inner = F.col("__pieces"), _marks(F.col("__h"))[1]
+    hit = found.where(F.size("__pieces") > 1).join(lists, "__row", "left")
+    unmarked = lambda p: F.array_join(F.split(p, inner, -1), "")
+    spliced = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.coalesce(F.element_at("__new", i), unmarked(p)))), "")
+    missed = found.where(F.size("__pieces") == 1)
+    shape = lambda new_text, extra: [*[new_text.alias(c) if o == at else F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)], *(extra if counts else [])]
+    number = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    zero = [F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_distinct")]
+    return missed.select(*shape(pieces[0], zero)).union(hit.select(*shape(spliced, [number(F.col("__n"), "n_entities"), number(F.col("__distinct"), "n_distinct")])))
