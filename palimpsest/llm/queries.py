@@ -25,7 +25,7 @@ def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document, the benchmark items that it contains up to the edit bound."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contaminations(docs, _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "least_edits")
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "least_edits", "short_item_ids")
 
 
 def op3_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
