@@ -2,18 +2,20 @@
 
 1. Every text becomes its set of distinct word shingles; equal sets are one class from here on.
 2. Each class gets ``trees * depth`` minhash values. A tree is a sorted order of the classes by its
-   signature; classes that agree on the first ``depth`` values (the longest common prefix that a
-   region needs) are neighbours. In a crowded region the order goes on with the further values, so a run is
-   cut into windows of classes with the longest common prefixes, chained to one another.
-   Neighbours whose one-bit sketches differ too much for the threshold are no candidates.
+   signature, so neighbours are those with the longest common prefixes. The depth adapts to the region: where at most ``sparse``
+   classes agree on all values but the last, all of them are neighbours; elsewhere those that agree on all ``depth``.
+   Neighbours whose one-bit sketches differ too much for the threshold are no candidates. A region of more than ``window`` classes
+   that agree to the full depth is chained as a whole, without a look at sketches.
 3. Candidates form coarse groups. Inside a group all links are confirmed on full sets by exact intersection counts.
-   A group larger than ``block`` is dealt out as pairs of blocks, so no task holds more than two blocks;
-   sets are ordered by size, and block pairs whose sizes alone exclude a link are left out.
+   A group is ordered by set size and cut into blocks; blocks are first confirmed with their successor. Classes
+   that are not in the group's largest component by then are cut into blocks again and confirmed with every block that they could have a
+   link with (set sizes alone exclude some). So no task holds more than two blocks, a dense group costs
+   as much as it has members, and every pair is either compared or known to be in one component.
    A task returns a spanning forest of its links, never all pairs.
 4. Connected components of the confirmed links give the result.
 
-A pair at the threshold is missed with probability (1 - t**depth)**trees + the sketch's tail: with 28 trees of depth 4 at 0.8
-about 4e-7 + 3e-7.
+A pair at the threshold is missed with probability (1 - t**depth)**trees, 3.9e-7 with 28 trees of depth 4 at 0.8, plus ``loss``
+(1e-9), the exact binomial tail that sets how many of the sketch's bits must agree; no size of a region or group adds to it.
 
 Defined results: a text without words, or null, has an empty set, no links and itself as component; rows
 that repeat (also with one doc_id) are rows of one class; a null doc_id is never a component's name
@@ -25,9 +27,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,19 +45,36 @@ U64 = np.uint64
 _SEED2 = U64(0x2545F4914F6CDD1D)
 
 
+@lru_cache
+def least_agreeing(bits: int, percent: int, loss: float) -> int:
+    """The largest k such that two sets at the threshold agree in fewer than k of ``bits`` one-bit minhashes with probability ``loss`` at most."""
+    p, tail, k = (1 + percent / 100) / 2, 0.0, 0
+    while (tail := tail + comb(bits, k) * p**k * (1 - p) ** (bits - k)) <= loss:
+        k += 1
+    return k
+
+
 @dataclass(frozen=True)
 class Forest:
-    """Parameters: similarity in percent, words per shingle, trees and depth, sketch agreement, block and window sizes."""
+    """Parameters: similarity in percent, words per shingle, trees (at most 64) and depth (at most 4), chance that a sketch loses a link, sizes."""
 
     percent: int = 80
     shingle: int = 4
     trees: int = 28
     depth: int = 4
-    #: Least number of agreeing one-bit minhashes (of trees * depth) of a candidate: 5 standard deviations under the mean at the threshold.
-    agree: int = 85
-    block: int = 1024
+    loss: float = 1e-9
+    #: Least and largest number of classes in a block; in between it grows with the square root of the group.
+    block: int = 128
+    most: int = 1024
+    #: Classes of a region up to which it is searched one value less deep, and from which it is taken whole.
+    sparse: int = 32
     window: int = 1024
 
+    @property
+    def agree(self) -> int:
+        """Least number of agreeing one-bit minhashes of a candidate."""
+        return least_agreeing(self.trees * self.depth, self.percent, self.loss)
+
 
 def shingle_sets(t: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, one after another, and their bounds."""
@@ -88,8 +110,11 @@ def minhashes(values: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k in range(half):
             x = (values ^ b[k]) * a[k]
-            x ^= x >> U64(29)
+            x ^= x >> U64(32)
             x *= U64(0xBF58476D1CE4E5B9)
+            x ^= x >> U64(29)
+            x *= U64(0x94D049BB133111EB)
+            x ^= x >> U64(32)
             out[:, 2 * k] = np.minimum.reduceat(x, starts) >> U64(32)
             low = (x << U64(32)) | (x >> U64(32))
             out[:, 2 * k + 1] = np.minimum.reduceat(low, starts) >> U64(32)
@@ -118,8 +143,12 @@ def _signed(docs: DataFrame, p: Forest) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema)
 
 
+#: Bits of each value in a sort key.
+_BITS = 14
+
+
 def _orders(classes: DataFrame, p: Forest) -> DataFrame:
-    """One row per class and tree: the key of its first ``depth`` values, the further order, and the one-bit sketch."""
+    """One row per class and tree: the key, which sorts by tree and then by signature, and the one-bit sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,19 +159,14 @@ def _orders(classes: DataFrame, p: Forest) -> DataFrame:
                 bits = np.zeros((n, 128), np.uint8)
                 bits[:, : s.shape[1]] = s & U64(1)
                 sketch = np.packbits(bits, axis=1).view(np.int64)
-                tree = s.reshape(n, p.trees, p.depth)
-                with np.errstate(over="ignore"):
-                    key = np.broadcast_to(splitmix(0x7EE, p.trees), (n, p.trees)).copy()
-                    for k in range(p.depth):
-                        key = mix(key ^ tree[:, :, k]) * U64(0x9E3779B97F4A7C15)
-                    ahead = np.roll(tree, -1, axis=1)
-                    deep = np.zeros((n, p.trees), U64)
-                    for k in range(p.depth):
-                        deep = (deep << U64(16)) | (ahead[:, :, k] >> U64(16))
+                tree = mix(s).reshape(n, p.trees, p.depth) & U64((1 << _BITS) - 1)  # minima are small numbers: take well-mixed bits
+                key = np.broadcast_to(np.arange(p.trees, dtype=U64), (n, p.trees)).copy()
+                for k in range(p.depth):
+                    key = (key << U64(_BITS)) | tree[:, :, k]
                 cid = np.repeat(part.column(0).to_numpy(), p.trees)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64).ravel(), (deep >> U64(1)).astype(np.int64).ravel(), cid, np.repeat(sketch[:, 0], p.trees), np.repeat(sketch[:, 1], p.trees))], names=["key", "deep", "cid", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64).ravel(), cid, np.repeat(sketch[:, 0], p.trees), np.repeat(sketch[:, 1], p.trees))], names=["key", "cid", "s0", "s1"])
 
-    return classes.select("cid", "signature").mapInArrow(run, "key long, deep long, cid long, s0 long, s1 long")
+    return classes.select("cid", "signature").mapInArrow(run, "key long, cid long, s0 long, s1 long")
 
 
 def _forest(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,31 +200,53 @@ def _neighbours(sketch: np.ndarray, p: Forest) -> tuple[np.ndarray, np.ndarray]:
     return _forest(n, np.concatenate(us), np.concatenate(vs))
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of runs of equal keys."""
+    at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    return at, np.diff(np.append(at, len(key)))
+
+
 def _candidates(orders: DataFrame, p: Forest) -> DataFrame:
-    """Candidate edges (u, v) between classes: neighbours in the sorted orders, and chains between the windows of crowded regions."""
+    """Candidate edges (u, v) between classes: neighbours in the sorted orders, at the depth that the region asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the last run, which may go on
+        held: list[np.ndarray] = []  # rows of the last region, which may go on
         edges: list[np.ndarray] = []
-        first_last: list[np.ndarray] = []
-
-        def work(rows: np.ndarray) -> None:
-            """Rows (key, cid, s0, s1) of whole runs, or of a window of one that goes on."""
-            cut = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
-            at = np.concatenate([[0], cut, [len(rows)]])
-            size = np.diff(at)
-            pair = at[:-1][size == 2]  # most runs with neighbours are pairs
+        # keys and classes of the partition's first and last run, which may go on in other partitions
+        border: list[tuple[int, list[int]]] = []
+
+        def note(rows: np.ndarray) -> None:
+            at, size = _runs(rows[:, 0])
+            for a, m in {(int(at[0]), int(size[0])), (int(at[-1]), int(size[-1]))} if len(at) > 1 else [(0, len(rows))]:
+                key, cids = int(rows[a, 0]), rows[a : a + m, 1].tolist()
+                if border and border[-1][0] == key:
+                    cids = border.pop()[1] + cids
+                elif len(border) == 2:
+                    border.pop()
+                border.append((key, cids if len(cids) <= p.window else cids[:1]))  # a longer run is chained anyway
+
+        def compare(rows: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+            pair = at[size == 2]  # most regions with neighbours are pairs
             if len(pair):
                 same = 128 - np.bitwise_count((rows[pair, 2:] ^ rows[pair + 1, 2:]).view(U64)).sum(axis=1) - (128 - p.trees * p.depth)
                 ok = pair[same >= p.agree]
                 edges.append(np.column_stack([rows[ok, 1], rows[ok + 1, 1]]))
-            for a, m in zip(at[:-1][size > 2], size[size > 2], strict=True):
-                for lo in range(a, a + m, p.window):
-                    hi = min(lo + p.window, a + m)
-                    u, v = _neighbours(rows[lo:hi, 2:].view(U64), p)
-                    edges.append(np.column_stack([rows[lo + u, 1], rows[lo + v, 1]]))
-                    if hi < a + m:
-                        edges.append(np.array([[rows[hi - 1, 1], rows[hi, 1]]]))
+            for a, m in zip(at[size > 2], size[size > 2], strict=True):
+                if m > p.window:  # as a whole
+                    edges.append(np.column_stack([rows[a : a + m - 1, 1], rows[a + 1 : a + m, 1]]))
+                else:
+                    u, v = _neighbours(rows[a : a + m, 2:].view(U64), p)
+                    edges.append(np.column_stack([rows[a + u, 1], rows[a + v, 1]]))
+
+        def work(rows: np.ndarray) -> None:
+            """Rows (key, cid, s0, s1) of whole regions that agree on all values but the last."""
+            shallow = rows[:, 0] >> _BITS
+            at, size = _runs(shallow)
+            wide = size <= p.sparse
+            compare(rows, at[wide], size[wide])
+            for a, m in zip(at[~wide], size[~wide], strict=True):
+                inner, inner_size = _runs(rows[a : a + m, 0])
+                compare(rows, a + inner, inner_size)
 
         def send() -> pa.RecordBatch:
             e = np.unique(np.sort(np.concatenate(edges), axis=1), axis=0) if edges else np.empty((0, 2), np.int64)
@@ -211,36 +257,37 @@ def _candidates(orders: DataFrame, p: Forest) -> DataFrame:
             rows = np.column_stack([b.column(k).to_numpy() for k in range(4)])
             if not len(rows):
                 continue
-            if not first_last:
-                first_last.append(rows[0])
-            last = rows[-1]
+            note(rows)
             if held:
                 rows = np.concatenate([*held, rows])
                 held.clear()
-            same = rows[:, 0] == rows[-1, 0]
-            start = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if start:
-                work(rows[:start])
-            tail = rows[start:]
-            while len(tail) > 2 * p.window:  # a run of any length is worked off in windows
-                work(tail[: p.window])
-                edges.append(np.array([[tail[p.window - 1, 1], tail[p.window, 1]]]))
-                tail = tail[p.window :]
+            at, _ = _runs(rows[:, 0] >> _BITS)
+            if at[-1]:
+                work(rows[: at[-1]])
+            tail = rows[at[-1] :]
+            if len(tail) > p.sparse + p.window:  # a region of any length is worked off as it comes, its last run but for two rows in chains
+                inner, _ = _runs(tail[:, 0])
+                done, tail = tail[: inner[-1]], tail[inner[-1] :]
+                if len(done):
+                    compare(done, *_runs(done[:, 0]))
+                if len(tail) > 2 * p.window:
+                    edges.append(np.column_stack([tail[:-1, 1], tail[1:, 1]]))
+                    tail = tail[-p.window - 1 :]
             held.append(tail.copy())
             if sum(map(len, edges)) > 200_000:
                 yield send()
         if held:
             work(np.concatenate(held))
             yield send()
-            # the run at a partition's border may go on in the next one
-            ends = np.array([first_last[0][:2], last[:2]])
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 1]), pa.nulls(2, pa.int64()), pa.array(ends[:, 0])], names=["u", "v", "key"])
+            u, key = np.array([x for k, cids in border for x in cids]), np.array([k for k, cids in border for _ in cids])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.full(len(u), TaskContext.get().partitionId())), pa.array(key)], names=["u", "v", "key"])
 
-    order = ["key", "deep", "cid"]
+    order = ["key", "cid"]
     ordered = orders.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(ordered.select("key", "cid", "s0", "s1").mapInArrow(run, "u long, v long, key long"), "neighbours")
-    # two rows per partition: border runs with one key are chained
-    borders = found.where("key IS NOT NULL").groupBy("key").agg(F.min("u").alias("m"), F.collect_set("u").alias("us")).select(F.explode("us").alias("u"), F.col("m").alias("v")).where("u != v")
+    found = written(ordered.mapInArrow(run, "u long, v long, key long"), "neighbours")
+    # a run that crosses a border is taken whole; of a border run there are at most ``window`` rows
+    crossed = found.where("key IS NOT NULL").groupBy("key").agg(F.min("u").alias("m"), (F.min("v") < F.max("v")).alias("crossed")).where("crossed")
+    borders = found.where("key IS NOT NULL").join(crossed, "key").where("u != m").select("u", F.col("m").alias("v"))
     return found.where("key IS NULL").select("u", "v").union(borders).distinct()
 
 
@@ -275,16 +322,19 @@ def _pairs_within(values: np.ndarray, bounds: np.ndarray, rows: int, percent: in
 
 
 def _confirmed(docs: DataFrame, members: DataFrame, p: Forest) -> DataFrame:
-    """Links (u, v) between classes, confirmed on full sets; ``members``: doc_id, cid, coarse group, block, and the blocks of the group it meets."""
+    """Links (u, v) between classes, confirmed on full sets; ``members``: cid, the row that stands for it (rep, rep_h), coarse group, and the pairs of blocks it is in."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for b in batches:
+            fresh = [k for k, c in enumerate(b.column(0).to_pylist()) if not (c in sent or sent.add(c))]  # a repeated row meets its class again
+            b = b.take(pa.array(fresh, pa.int64()))
             for i, j, t in chunks(b.column(3)):
                 values, bounds = shingle_sets(t, p.shingle)
                 yield pa.RecordBatch.from_arrays([*[b.column(k).slice(i, j - i) for k in range(3)], pa.array([values[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["cid", "root", "meets", "s"])
 
     def confirm(table: pa.Table) -> pa.Table:
-        cid, first = np.unique(table.column("cid").to_numpy(), return_index=True)  # a repeated row is there twice
+        cid, first = np.unique(table.column("cid").to_numpy(), return_index=True)
         parts = table.column("s").take(pa.array(first)).to_pylist()
         bounds = np.concatenate([[0], np.cumsum([len(x) // 8 for x in parts])])
         i, j = _pairs_within(np.frombuffer(b"".join(parts), U64), bounds, len(parts), p.percent)
@@ -297,22 +347,56 @@ def _confirmed(docs: DataFrame, members: DataFrame, p: Forest) -> DataFrame:
     return dealt.groupBy("root", "pair").applyInArrow(confirm, "u long, v long")
 
 
-def _dealt(groups: DataFrame, classes: DataFrame, p: Forest) -> DataFrame:
-    """Block pairs that each class meets: its coarse group ordered by set size is cut into blocks of ``block`` classes."""
-    sized = written(groups.join(classes.select(F.col("cid").alias("node"), "rep", "rep_h", "n_shingles"), "node"), "coarse")
+def _placed(sized: DataFrame, p: Forest, name: str) -> DataFrame:
+    """The members of each ``root`` ordered by set size and cut into blocks: ``block``, and ``blocks``, how many; as a written table."""
     total = sized.groupBy("root").agg(F.count("*").alias("n"))
-    # the place in the group by size: exact counts per (group, size), then places inside a size by hash
+    # exact counts per (group, size), then places inside a size by hash; a group has as many sizes as its largest set
     per_size = sized.groupBy("root", "n_shingles").agg(F.count("*").alias("m"))
     before = per_size.withColumn("before", F.expr("coalesce(sum(m) over (partition by root order by n_shingles rows between unbounded preceding and 1 preceding), 0)"))
-    placed = sized.join(before, ["root", "n_shingles"]).join(total, "root")
-    block = F.when(F.col("n") <= p.block, 0).otherwise(F.floor((F.col("before") + F.pmod(F.xxhash64("node"), F.col("m"))) / p.block)).cast("int")
-    placed = written(placed.select("root", F.col("node").alias("cid"), "rep", "rep_h", "n_shingles", block.alias("block")), "blocks")
-    spans = placed.groupBy("root", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    x, y = spans.alias("x"), spans.alias("y")
-    meet = x.join(y, F.col("x.root") == F.col("y.root")).where((F.col("x.block") < F.col("y.block")) & (100 * F.col("x.hi") >= p.percent * F.col("y.lo")) | (F.col("x.block") == F.col("y.block")))
-    name = F.concat_ws("-", "x.block", "y.block")
-    meets = meet.select(F.col("x.root").alias("root"), F.explode(F.array(F.col("x.block"), F.col("y.block"))).alias("block"), name.alias("pair")).distinct().groupBy("root", "block").agg(F.collect_set("pair").alias("meets"))
-    return placed.join(meets, ["root", "block"]).select("cid", "root", "rep", "rep_h", "meets")
+    joined = sized.join(before, ["root", "n_shingles"]).join(total, "root")
+    width = F.least(F.lit(p.most), F.greatest(F.lit(p.block), F.sqrt("n").cast("int")))
+    block = F.floor((F.col("before") + F.pmod(F.xxhash64("cid"), F.col("m"))) / width).cast("int")
+    return written(joined.select(*sized.columns, block.alias("block"), F.ceil(F.col("n") / width).cast("int").alias("blocks")), name)
+
+
+def _chained(placed: DataFrame) -> DataFrame:
+    """Each block meets its successor."""
+    b, last = F.col("block"), F.col("blocks") - 1
+    name = lambda x, y: F.concat_ws("-", x, y)
+    meets = F.when(last == 0, F.array(name(b, b))).otherwise(F.filter(F.array(F.when(b > 0, name(b - 1, b)), F.when(b < last, name(b, b + 1))), lambda x: x.isNotNull()))
+    return placed.select("cid", "root", "rep", "rep_h", meets.alias("meets"))
+
+
+def _remaining(placed: DataFrame, links: DataFrame, p: Forest) -> DataFrame:
+    """Pairs of blocks that can still hold a link of two components, for groups of more than two blocks.
+
+    The members of a group's largest component need not be compared with one another; all others meet every block.
+    """
+    many = placed.where("blocks > 2").select("root", "cid", "rep", "rep_h", "n_shingles")
+    known = components(links, "first-links").select(F.col("node").alias("cid"), F.col("root").alias("part"))
+    parted = many.join(known, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+    largest = parted.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "part")).getField("part").alias("main"))
+    # groups are told apart by the sign of their number: the main component's members, and the rest
+    told = parted.join(largest, "root").select(F.when(F.col("part") == F.col("main"), -1 - F.col("root")).otherwise(F.col("root")).alias("root"), "cid", "rep", "rep_h", "n_shingles")
+    again = _placed(told, p, "blocks-again").withColumn("main", F.col("root") < 0).withColumn("root", F.when(F.col("root") < 0, -1 - F.col("root")).otherwise(F.col("root")))
+    spans = again.groupBy("root", "main", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    x, y = spans.where("NOT main").alias("x"), spans.alias("y")
+    fits = (100 * F.col("x.hi") >= p.percent * F.col("y.lo")) & (100 * F.col("y.hi") >= p.percent * F.col("x.lo"))
+    meet = x.join(y, F.col("x.root") == F.col("y.root")).where(fits & (F.col("y.main") | (F.col("x.block") <= F.col("y.block"))))
+    name = F.concat_ws("-", "x.block", F.when(F.col("y.main"), "m").otherwise("r"), "y.block")
+    unit = lambda a: F.struct(F.col(f"{a}.main").alias("main"), F.col(f"{a}.block").alias("block"))
+    meets = meet.select(F.col("x.root").alias("root"), F.explode(F.array(unit("x"), unit("y"))).alias("u"), name.alias("pair")).groupBy("root", F.col("u.main").alias("main"), F.col("u.block").alias("block")).agg(F.collect_set("pair").alias("meets"))
+    return again.join(meets, ["root", "main", "block"]).select("cid", "root", "rep", "rep_h", "meets")
+
+
+def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, p: Forest) -> DataFrame:
+    """Links between classes that connect all that have a link, in any coarse group."""
+    sized = groups.join(classes.select(F.col("cid").alias("node"), "rep", "rep_h", "n_shingles"), "node").select("root", F.col("node").alias("cid"), "rep", "rep_h", "n_shingles")
+    placed = _placed(written(sized, "coarse"), p, "blocks")
+    links = written(_confirmed(docs, _chained(placed), p), "links")
+    if placed.where("blocks > 2").isEmpty():
+        return links
+    return written(links.union(_confirmed(docs, _remaining(placed, links, p), p)), "links")
 
 
 def _grouped(docs: DataFrame, p: Forest) -> DataFrame:
@@ -323,7 +407,7 @@ def _grouped(docs: DataFrame, p: Forest) -> DataFrame:
     classes = classes.select("a", "b", "low", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rep_h"), "n_shingles", "signature")
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     groups = components(_candidates(_orders(classes, p), p), "coarse-groups")
-    links = written(_confirmed(docs, _dealt(groups, classes, p), p), "links")
+    links = _links(docs, groups, classes, p)
     linked = components(links, "groups").join(classes.select(F.col("cid").alias("node"), "low"), "node")
     names = linked.join(linked.groupBy("root").agg(F.min("low").alias("component")), "root").select(F.col("node").alias("cid"), "root", "component")
     named = classes.join(names, "cid", "left").select("a", "b", F.coalesce("root", "cid").alias("group"), F.coalesce("component", "low").alias("component"))
