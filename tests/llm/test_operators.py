@@ -94,6 +94,73 @@ def test_decontamination_finds_exact_and_edited_passages(spark):
     assert decontam.clean(spark.createDataFrame(rows[:5], SCHEMA), empty).count() == 5
 
 
+def as_texts(rows):
+    return next(chunks(pa.array(rows), 1 << 30))[2]
+
+
+def with_edits(r, words, k, kind, vocabulary):
+    out = list(words)
+    for _ in range(k):
+        act = {"substitutions": 0, "indels": r.choice((1, 2)), "mixed": r.choice((0, 1, 2))}[kind]
+        at = r.randrange(len(out))
+        out[at : at + (act != 1)] = [r.choice(vocabulary)] if act != 2 else []
+    return out
+
+
+@pytest.mark.parametrize("band", [(8, 9), (10, 15), (16, 31), (40, 60), (100, 127), (200, 255)])
+@pytest.mark.parametrize("kind", ["substitutions", "indels", "mixed"])
+def test_decontamination_recall_at_the_edit_bound(band, kind):
+    r = random.Random(str((band, kind)))
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    items = [(i, " ".join(r.choices(vocabulary, weights, k=r.randint(*band)))) for i in range(120)]
+    around = lambda: r.choices(vocabulary, weights, k=r.randrange(40))
+    docs = [" ".join([*around(), *with_edits(r, x.split(), int(0.1 * len(x.split())), kind, vocabulary), *around()]) for _, x in items]
+    doc, item, _ = decontam.Index(items, decontam.Lsh()).search(as_texts(docs))
+    found = set(zip(doc.tolist(), item.tolist(), strict=True))
+    assert np.mean([(i, i) in found for i in range(len(items))]) >= 0.95
+
+
+def test_decontamination_against_all_pairs():
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(40)]  # few words, so that chance matches occur too
+    items = [(i, " ".join(r.choices(vocabulary, k=r.choice((8, 10, 12, 20, 31))))) for i in range(25)]
+    docs = []
+    for d in range(80):
+        words = items[d % 25][1].split()
+        bound = int(0.1 * len(words))
+        docs.append(" ".join(r.choices(vocabulary, k=r.randrange(12)) + with_edits(r, words, r.randint(0, bound + 1), "mixed", vocabulary) + r.choices(vocabulary, k=r.randrange(12))))
+    index = decontam.Index(items, decontam.Lsh())
+    doc, item, least = index.search(as_texts(docs))
+    got = {(d, i): e for d, i, e in zip(doc.tolist(), item.tolist(), least.tolist(), strict=True)}
+    want = {}
+    for d, text in enumerate(docs):
+        words = text.split()
+        for i, x in items:
+            k = int(0.1 * len(x.split()))
+            best = min(edits(x.split(), words[s : s + len(x.split()) + k]) for s in range(len(words)))
+            if best <= k:
+                want[d, i] = best
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) and len(want) > 40
+    assert all(got[x] == want[x] for x in got)
+
+
+def test_decontamination_edges(spark):
+    long = "x y z " * 40_000
+    items = [(1, "one two three four five six seven eight nine ten"), (2, "Who is he?"), (3, None), (4, ""), (None, "a b c d e f g h i j")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one = items[0][1]
+    rows = [(1, one.upper()), (1, one.upper()), (2, "well who IS he? " + long + one.replace("four", "vier")), (None, None), (3, ""), (4, "who is she"), (5, "a b c d e f g h i j")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("item_ids", F.lit("mine")).withColumn("least_edits", F.lit("too")).withColumn("__own0", F.lit(1))
+    got = sorted(((x.doc_id, x.item_ids, x.least_edits, x.short_item_ids) for x in decontam.contaminations(docs, benchmark).collect()), key=key)
+    assert got == sorted([(1, [1], 0, []), (1, [1], 0, []), (2, [1], 1, [2]), (None, [], None, []), (3, [], None, []), (4, [], None, []), (5, [None], 0, [])], key=key)
+    left = decontam.clean(docs, benchmark)
+    assert left.columns == docs.columns and {(x.doc_id, x.item_ids, x.least_edits) for x in left.collect()} == {(None, "mine", "too"), (3, "mine", "too"), (4, "mine", "too")}
+    assert decontam.clean(docs.limit(0), benchmark).count() == 0 and decontam.contaminations(docs.limit(0), benchmark).count() == 0
+    small = decontam.Lsh(block_bytes=20)  # a block for almost every item
+    assert sorted(((x.doc_id, x.item_ids, x.least_edits, x.short_item_ids) for x in decontam.contaminations(docs, benchmark, small).collect()), key=key) == got
+
+
 # 3
 def repeats(rows, window):
     words = [WORD.findall(t or "") for _, t in rows]
@@ -205,6 +272,62 @@ def test_crowded_formats_do_not_stop_the_draw(spark, monkeypatch):
     assert longer.first()[0] == "987-65-432100"
 
 
+def test_names_are_replaced_wherever_they_stand(spark):
+    texts = [
+        "Mr. John Smith called. Smith said that John Smith would pay. SMITH's dog", "Herr Müller kam. Müller ging. Müllers Haus; Frau Dr. Anna-Lena Groß", "Mr. O'Brien and Mr. van Dyke. Dyke and O'Brien",
+        "Mrs. Smith-Jones met Mr. J. R. Tolkien; Jones. J. was", "Господин Иванов. Иванов!", "Smith and Brown stay: no title here", "Mr. Brown. brown bread, Browning",
+    ]
+    got = {r.doc_id: r.text for r in pii_surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    words = {i: set(re.findall(r"\w+", t)) for i, t in got.items()}
+    for i, gone in enumerate(["John Smith SMITH", "Müller Müllers Anna Lena Groß", "Brien Dyke", "Smith Jones J R Tolkien", "Иванов"]):
+        assert not words[i] & set(gone.split())
+    smith = re.match(r"Mr\. \w+an (\w+) called\. (\w+) said that \w+an (\w+) would pay\. (\w+)'s dog$", got[0]).groups()
+    assert len({x.capitalize() for x in smith}) == 1 and smith[3].isupper()
+    assert re.match(rf"Mrs\. {smith[0]}-(\w+) met Mr\. [A-Z]\. [A-Z]\. \w+; \1\. ", got[3])
+    assert re.match(r"Herr (\w+) kam\. \1 ging\. \1s Haus; Frau Dr\. \w+ela-\w+ela \w+$", got[1])
+    assert re.match(r"Mr\. O'(\w+) and Mr\. van (\w+)\. \2 and O'\1$", got[2]) and re.match(r"Господин ([А-Я][а-я]+)\. \1!$", got[4])
+    assert got[5] == texts[5] and got[6].endswith(". brown bread, Browning")
+
+
+def test_surrogates_of_full_spaces_and_edges(spark):
+    rows = [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(0, 65536, 1)]
+    got = pii_surrogates.drawn(spark.createDataFrame(rows, "kind string, value string"), "k")
+    assert got.agg(F.count_distinct("new")).first()[0] == 65536 and got.where(~F.col("new").startswith("10.")).count() == 0
+    names = ["__row", "__pieces", "__h", "__names", "__new", "__n", "n_entities"]
+    docs = spark.createDataFrame([(None, "a1@b.org"), (None, "a1@b.org"), (7, None), (8, ""), (9, "word " * 50_000 + "a1@b.org")], SCHEMA)
+    for c in names:
+        docs = docs.withColumn(c, F.lit(c))
+    got = pii_surrogates.replace_entities(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    new = {r.text for r in rows if r.doc_id is None}
+    assert len(new) == 1 and len(rows) == 5 and all(r[c] == c for r in rows for c in names)
+    assert next(r.text for r in rows if r.doc_id == 9) == "word " * 50_000 + new.pop()
+
+
+def test_surrogates_against_brute_force(spark):
+    """Entities that another search finds: each replaced, one to one over the table, and nothing else changed."""
+    r = random.Random(4)
+    make = [lambda i: f"u{i % 37}@host{i % 5}.org", lambda i: f"10.{i % 3}.{i % 50}.7", lambda i: f"{100 + i % 60}-12-{1000 + i % 60}"]
+    rows = [(i, " ".join(r.choice(make)(r.randrange(300)) if r.random() < 0.4 else r.choice(["plain", "Words,", "été"]) for _ in range(20))) for i in range(120)]
+    got = {x.doc_id: x for x in pii_surrogates.replace_entities(spark.createDataFrame(rows, SCHEMA), counts=True).collect()}
+    old_new = defaultdict(set)
+    for d, text in rows:
+        old, new = text.split(" "), got[d].text.split(" ")
+        assert len(old) == len(new)
+        for a, b in zip(old, new, strict=True):
+            if any(c.isdigit() for c in a):
+                old_new[a].add(b)
+                assert re.sub(r"[^@.-]", "", a.split("@")[0]) == re.sub(r"[^@.-]", "", b.split("@")[0]) and ("@" in a) == ("@" in b)
+            else:
+                assert a == b
+        found = [a for a in old if any(c.isdigit() for c in a)]
+        assert (got[d].n_entities, got[d].n_distinct) == (len(found), len(set(found)))
+    assert all(len(v) == 1 for v in old_new.values())
+    image = [next(iter(v)) for v in old_new.values()]
+    assert len(set(image)) == len(image) and not set(image) & set(old_new)
+
+
 # 7
 def test_token_counts_equal_the_library_at_every_prefix():
     r = random.Random(3)
@@ -354,7 +477,7 @@ def near(rows, width, percent=80):
     return sorted(((d, len(sets[i]), low[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows)), key=key)
 
 
-@pytest.mark.parametrize("forest", [minhash_forest.Forest(), minhash_forest.Forest(block=48, window=16)])
+@pytest.mark.parametrize("forest", [minhash_forest.Forest(), minhash_forest.Forest(block=48, window=16), minhash_forest.Forest(block=8, most=8, window=8, sparse=2)])
 def test_near_duplicates_equal_brute_force(spark, forest):
     r = random.Random(2)
     base = [r.choice("abcdefgh") for _ in range(60)]
@@ -370,5 +493,39 @@ def test_near_duplicates_equal_brute_force(spark, forest):
     assert all(x.kept == (x.component_id == x.doc_id) for x in got if x.doc_id is not None)
 
 
+def test_no_planted_pair_on_a_template_is_lost():
+    p, r = minhash_forest.Forest(), np.random.default_rng(3)
+    template = r.integers(0, 1 << 63, 40, dtype=np.uint64)
+    for _ in range(10):  # 100,000 pairs at a similarity of 50 / 62
+        n = 10_000
+        both, left, right = (r.integers(0, 1 << 63, (n, k), dtype=np.uint64) for k in (10, 6, 6))
+        rows = [np.sort(np.hstack([np.broadcast_to(template, (n, 40)), both, own]), axis=1) for own in (left, right)]
+        a, b = (minhash_forest.minhashes(x.ravel(), np.arange(n + 1) * 56, p.trees * p.depth) for x in rows)
+        near = (a == b).reshape(n, p.trees, p.depth).all(axis=2).any(axis=1)
+        alike = ((a ^ b) & np.uint64(1) == 0).sum(axis=1) >= p.agree
+        assert (near & alike).all()
+    assert minhash_forest.least_agreeing(112, 80, 4.2e-6) == 85
+
+
+def test_a_crowded_region_loses_no_link(spark):
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(30)]
+    rows = []
+    for i in range(400):  # texts of one template that are not alike, in pairs that are
+        own = [f"o{i}x{k}" for k in range(40)]
+        rows += [(2 * i, " ".join(base + own)), (2 * i + 1, " ".join(base + own[:-1] + ["changed"]))]
+    r.shuffle(rows)
+    forest = minhash_forest.Forest(window=4, block=16, most=16, sparse=1)
+    got = {x.doc_id: x.component_id for x in minhash_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), forest).collect()}
+    assert got == {d: d // 2 * 2 for d in range(800)}
+
+
+def test_repeated_rows_are_confirmed_once(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text)] * 3000 + [(2, text + " more"), (3, "x" * 100_000), (3, ("long text " * 30_000).strip())]
+    got = Counter(tuple(x) for x in minhash_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == Counter({(1, 47, 1, True): 3000, (2, 48, 1, False): 1, (3, 1, 3, True): 1, (3, 2, 3, True): 1})
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_forest.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
