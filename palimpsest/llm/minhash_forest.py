@@ -5,7 +5,7 @@
    signature, so neighbours are those with the longest common prefixes. The depth adapts to the region: where at most ``sparse``
    classes agree on all values but the last, all of them are neighbours; elsewhere those that agree on all ``depth``.
    Neighbours whose one-bit sketches differ too much for the threshold are no candidates. A region of more than ``window`` classes
-   that agree to the full depth is chained as a whole, without a look at sketches.
+   that agree to the full depth is taken whole, without a look at sketches.
 3. Candidates form coarse groups. Inside a group all links are confirmed on full sets by exact intersection counts.
    A group is ordered by set size and cut into blocks; blocks are first confirmed with their successor. Classes
    that are not in the group's largest component by then are cut into blocks again and confirmed with every block that they could have a
@@ -223,7 +223,7 @@ def _candidates(orders: DataFrame, p: Forest) -> DataFrame:
                     cids = border.pop()[1] + cids
                 elif len(border) == 2:
                     border.pop()
-                border.append((key, cids if len(cids) <= p.window else cids[:1]))  # a longer run is chained anyway
+                border.append((key, cids if len(cids) <= p.window else cids[:1]))  # a longer run is taken whole anyway
 
         def compare(rows: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
             pair = at[size == 2]  # most regions with neighbours are pairs
@@ -233,7 +233,7 @@ def _candidates(orders: DataFrame, p: Forest) -> DataFrame:
                 edges.append(np.column_stack([rows[ok, 1], rows[ok + 1, 1]]))
             for a, m in zip(at[size > 2], size[size > 2], strict=True):
                 if m > p.window:  # as a whole
-                    edges.append(np.column_stack([rows[a : a + m - 1, 1], rows[a + 1 : a + m, 1]]))
+                    edges.append(np.column_stack([rows[a + 1 : a + m, 1], np.full(m - 1, rows[a, 1])]))
                 else:
                     u, v = _neighbours(rows[a : a + m, 2:].view(U64), p)
                     edges.append(np.column_stack([rows[a + u, 1], rows[a + v, 1]]))
@@ -265,14 +265,14 @@ def _candidates(orders: DataFrame, p: Forest) -> DataFrame:
             if at[-1]:
                 work(rows[: at[-1]])
             tail = rows[at[-1] :]
-            if len(tail) > p.sparse + p.window:  # a region of any length is worked off as it comes, its last run but for two rows in chains
+            if len(tail) > p.sparse + p.window:  # a region of any length is worked off as it comes, a last run of any length around its first row
                 inner, _ = _runs(tail[:, 0])
                 done, tail = tail[: inner[-1]], tail[inner[-1] :]
                 if len(done):
                     compare(done, *_runs(done[:, 0]))
                 if len(tail) > 2 * p.window:
-                    edges.append(np.column_stack([tail[:-1, 1], tail[1:, 1]]))
-                    tail = tail[-p.window - 1 :]
+                    edges.append(np.column_stack([tail[1:, 1], np.full(len(tail) - 1, tail[0, 1])]))
+                    tail = tail[: p.window + 1]
             held.append(tail.copy())
             if sum(map(len, edges)) > 200_000:
                 yield send()
@@ -342,7 +342,7 @@ def _confirmed(docs: DataFrame, members: DataFrame, p: Forest) -> DataFrame:
         return pa.table({"u": cid[node], "v": cid[root]})
 
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).alias("l")
-    with_text = d.join(members.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.rep")) & (F.col("l.h") == F.col("r.rep_h"))).select("cid", "root", "meets", "text")
+    with_text = d.join(members.hint("merge").alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.rep")) & (F.col("l.h") == F.col("r.rep_h"))).select("cid", "root", "meets", "text")
     dealt = with_text.mapInArrow(sets, "cid long, root long, meets array<string>, s binary").select("cid", "root", F.explode("meets").alias("pair"), "s")
     return dealt.groupBy("root", "pair").applyInArrow(confirm, "u long, v long")
 
