@@ -249,8 +249,12 @@ def _candidates(orders: DataFrame, p: Forest) -> DataFrame:
                 compare(rows, a + inner, inner_size)
 
         def send() -> pa.RecordBatch:
-            e = np.unique(np.sort(np.concatenate(edges), axis=1), axis=0) if edges else np.empty((0, 2), np.int64)
+            e = np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
             edges.clear()
+            name, at = np.unique(e, return_inverse=True)
+            at = at.reshape(-1, 2)
+            node, root = _forest(len(name), at[:, 0], at[:, 1])
+            e = np.column_stack([name[node], name[root]])
             return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.nulls(len(e), pa.int64())], names=["u", "v", "key"])
 
         for b in batches:
@@ -321,17 +325,25 @@ def _pairs_within(values: np.ndarray, bounds: np.ndarray, rows: int, percent: in
     return i, j
 
 
-def _confirmed(docs: DataFrame, members: DataFrame, p: Forest) -> DataFrame:
-    """Links (u, v) between classes, confirmed on full sets; ``members``: cid, the row that stands for it (rep, rep_h), coarse group, and the pairs of blocks it is in."""
+def _sets(docs: DataFrame, members: DataFrame, p: Forest) -> DataFrame:
+    """cid and ``s`` (sorted shingle hashes) of every member of a coarse group (cid, and the row that stands for it: rep, rep_h); as a written table."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for b in batches:
             fresh = [k for k, c in enumerate(b.column(0).to_pylist()) if not (c in sent or sent.add(c))]  # a repeated row meets its class again
             b = b.take(pa.array(fresh, pa.int64()))
-            for i, j, t in chunks(b.column(3)):
+            for i, j, t in chunks(b.column(1)):
                 values, bounds = shingle_sets(t, p.shingle)
-                yield pa.RecordBatch.from_arrays([*[b.column(k).slice(i, j - i) for k in range(3)], pa.array([values[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["cid", "root", "meets", "s"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([values[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["cid", "s"])
+
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).alias("l")
+    with_text = d.join(members.hint("merge").alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.rep")) & (F.col("l.h") == F.col("r.rep_h"))).select("cid", "text")
+    return written(with_text.mapInArrow(run, "cid long, s binary"), "sets")
+
+
+def _confirmed(sets: DataFrame, meets: DataFrame, p: Forest) -> DataFrame:
+    """Links (u, v) between classes, confirmed on full sets; ``meets``: cid, coarse group, and the pairs of blocks it is in."""
 
     def confirm(table: pa.Table) -> pa.Table:
         cid, first = np.unique(table.column("cid").to_numpy(), return_index=True)
@@ -341,9 +353,7 @@ def _confirmed(docs: DataFrame, members: DataFrame, p: Forest) -> DataFrame:
         node, root = _forest(len(cid), i, j)
         return pa.table({"u": cid[node], "v": cid[root]})
 
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).alias("l")
-    with_text = d.join(members.hint("merge").alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.rep")) & (F.col("l.h") == F.col("r.rep_h"))).select("cid", "root", "meets", "text")
-    dealt = with_text.mapInArrow(sets, "cid long, root long, meets array<string>, s binary").select("cid", "root", F.explode("meets").alias("pair"), "s")
+    dealt = sets.join(meets, "cid").select("cid", "root", F.explode("meets").alias("pair"), "s")
     return dealt.groupBy("root", "pair").applyInArrow(confirm, "u long, v long")
 
 
@@ -364,7 +374,7 @@ def _chained(placed: DataFrame) -> DataFrame:
     b, last = F.col("block"), F.col("blocks") - 1
     name = lambda x, y: F.concat_ws("-", x, y)
     meets = F.when(last == 0, F.array(name(b, b))).otherwise(F.filter(F.array(F.when(b > 0, name(b - 1, b)), F.when(b < last, name(b, b + 1))), lambda x: x.isNotNull()))
-    return placed.select("cid", "root", "rep", "rep_h", meets.alias("meets"))
+    return placed.select("cid", "root", meets.alias("meets"))
 
 
 def _remaining(placed: DataFrame, links: DataFrame, p: Forest) -> DataFrame:
@@ -372,12 +382,12 @@ def _remaining(placed: DataFrame, links: DataFrame, p: Forest) -> DataFrame:
 
     The members of a group's largest component need not be compared with one another; all others meet every block.
     """
-    many = placed.where("blocks > 2").select("root", "cid", "rep", "rep_h", "n_shingles")
+    many = placed.where("blocks > 2").select("root", "cid", "n_shingles")
     known = components(links, "first-links").select(F.col("node").alias("cid"), F.col("root").alias("part"))
     parted = many.join(known, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
     largest = parted.groupBy("root", "part").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "part")).getField("part").alias("main"))
     # groups are told apart by the sign of their number: the main component's members, and the rest
-    told = parted.join(largest, "root").select(F.when(F.col("part") == F.col("main"), -1 - F.col("root")).otherwise(F.col("root")).alias("root"), "cid", "rep", "rep_h", "n_shingles")
+    told = parted.join(largest, "root").select(F.when(F.col("part") == F.col("main"), -1 - F.col("root")).otherwise(F.col("root")).alias("root"), "cid", "n_shingles")
     again = _placed(told, p, "blocks-again").withColumn("main", F.col("root") < 0).withColumn("root", F.when(F.col("root") < 0, -1 - F.col("root")).otherwise(F.col("root")))
     spans = again.groupBy("root", "main", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     x, y = spans.where("NOT main").alias("x"), spans.alias("y")
@@ -386,17 +396,18 @@ def _remaining(placed: DataFrame, links: DataFrame, p: Forest) -> DataFrame:
     name = F.concat_ws("-", "x.block", F.when(F.col("y.main"), "m").otherwise("r"), "y.block")
     unit = lambda a: F.struct(F.col(f"{a}.main").alias("main"), F.col(f"{a}.block").alias("block"))
     meets = meet.select(F.col("x.root").alias("root"), F.explode(F.array(unit("x"), unit("y"))).alias("u"), name.alias("pair")).groupBy("root", F.col("u.main").alias("main"), F.col("u.block").alias("block")).agg(F.collect_set("pair").alias("meets"))
-    return again.join(meets, ["root", "main", "block"]).select("cid", "root", "rep", "rep_h", "meets")
+    return again.join(meets, ["root", "main", "block"]).select("cid", "root", "meets")
 
 
 def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, p: Forest) -> DataFrame:
     """Links between classes that connect all that have a link, in any coarse group."""
-    sized = groups.join(classes.select(F.col("cid").alias("node"), "rep", "rep_h", "n_shingles"), "node").select("root", F.col("node").alias("cid"), "rep", "rep_h", "n_shingles")
-    placed = _placed(written(sized, "coarse"), p, "blocks")
-    links = written(_confirmed(docs, _chained(placed), p), "links")
+    sized = written(groups.join(classes.select(F.col("cid").alias("node"), "rep", "rep_h", "n_shingles"), "node").select("root", F.col("node").alias("cid"), "rep", "rep_h", "n_shingles"), "coarse")
+    sets = _sets(docs, sized.select("cid", "rep", "rep_h"), p)
+    placed = _placed(sized.select("root", "cid", "n_shingles"), p, "blocks")
+    links = written(_confirmed(sets, _chained(placed), p), "links")
     if placed.where("blocks > 2").isEmpty():
         return links
-    return written(links.union(_confirmed(docs, _remaining(placed, links, p), p)), "links")
+    return written(links.union(_confirmed(sets, _remaining(placed, links, p), p)), "links")
 
 
 def _grouped(docs: DataFrame, p: Forest) -> DataFrame:
