@@ -5,10 +5,12 @@ start of a run of spaces: a text is a sequence of units (spaces, then other char
 encode independently. The dynamic program therefore runs on units: the count at a unit's end is the
 count at its start plus the unit's own, and within a unit the counts of its prefixes follow the
 chain of last tokens (a token extends a prefix if the two last tokens encode to themselves).
-Stored counts answer truncation and budget questions by binary search, without encoding again.
+The stored program of a text is one signed byte per character, by how much the count of the prefix that ends there differs from that of the
+prefix before it; running sums answer truncation and budget questions without encoding again.
 
-Units are encoded once per worker: a bounded table keyed by a 64-bit hash of the unit keeps
-their counts.
+Units are worked out once per worker, new ones in alphabetical order, so that each goes on from what it shares with the
+one before it; a bounded table keyed by a 64-bit hash of the unit keeps their programs. The library's own count of each whole unit is
+compared; a unit on which the two differ is encoded prefix by prefix.
 
 Defined results: a null text counts as empty and has 0 tokens; a text of spaces only has the
 tokens of its spaces; very long units and texts are counted whole; repeated rows each get a row; an
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
-from .text import Texts, chunks, mix, span_hash
+from .text import Texts, chunks, mix, ragged, span_hash
 
-#: Units kept per worker (about 16 bytes each); the table starts afresh beyond it.
-MAX_UNITS = 2_000_000
+#: Units, and characters of their programs, kept per worker (about 16 bytes and one); the table starts afresh beyond it.
+MAX_UNITS, MAX_CHARS = 2_000_000, 64_000_000
 _MARK = "▁".encode()
 
 
@@ -46,10 +48,20 @@ class PrefixCounter:
         spec = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto())
         spec.normalizer_spec.add_dummy_prefix = False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
-        self.keys, self.values = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.longest = max(len(self.model.id_to_piece(i)) for i in range(self.model.vocab_size()))
-        self._pair = lru_cache(1 << 18)(self._valid_pair)
-        self._is_piece = lru_cache(1 << 18)(self._encodes_to_itself)
+        every = [self.model.id_to_piece(i) for i in range(self.model.vocab_size()) if i != self.model.unk_id()]
+        self.pieces = {p for p, got in zip(every, self.plain.encode(every, out_type=str), strict=True) if got == [p]}
+        # lengths of the pieces that end with a pair of characters, the longest first
+        lengths: dict[str, set[int]] = {}
+        for p in self.pieces:
+            if len(p) > 1:
+                lengths.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {tail: (*sorted(n, reverse=True), 1) for tail, n in lengths.items()}
+        self._pairs: dict[tuple[str, str], bool] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.begin, self.size, self.values, self.flat, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.int8), 0
 
     def units(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the units of all documents, whether each is its document's first, and unit bounds by document."""
@@ -68,62 +80,98 @@ class PrefixCounter:
         lead[np.searchsorted(starts, first)] = True
         return starts, ends, lead, bounds
 
-    def counts(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit ends (bytes), cumulative token counts at them within their document, and unit bounds by document."""
+    def _entries(self, t: Texts) -> tuple[np.ndarray, ...]:
+        """Unit ends, whether each is its document's first, unit bounds by document, and the table entry of each unit."""
         starts, ends, lead, bounds = self.units(t)
         # the mark of the first space (or of the prefix that the model adds) is added by encoding
         inner = np.where(lead, starts, starts + 1)
         keys = span_hash(t.data, inner, ends)
         empty = inner == ends
         keys = np.where(empty, mix(np.zeros(1, np.uint64))[0], keys)
-        unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        known = self._lookup(unique)
-        new = known < 0
+        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.keys) > MAX_UNITS or self.n > MAX_CHARS:
+            self._clear()
+        at = np.searchsorted(self.keys, unique)
+        new = np.ones(len(unique), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != unique[inside]
         if new.any():
-            texts = [t.data[a:b].tobytes().decode() for a, b in zip(inner[at[new]], ends[at[new]], strict=True)]
-            known[new] = [len(x) for x in self.model.encode(texts, num_threads=1)]
-            known[new & empty[at]] = 1
-            self._remember(unique[new], known[new])
-        each = known[back]
-        total = np.concatenate([[0], np.cumsum(each)])
-        base = np.repeat(total[bounds[:-1]], np.diff(bounds))
-        return ends, total[1:] - base, bounds
-
-    def _lookup(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.searchsorted(self.keys, keys).clip(max=len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], -1)
-
-    def _remember(self, keys: np.ndarray, values: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > MAX_UNITS:
-            self.keys, self.values = np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys, values = np.concatenate([self.keys, keys]), np.concatenate([self.values, values])
+            self._add(unique[new], [t.data[a:b].tobytes().decode() for a, b in zip(inner[first[new]], ends[first[new]], strict=True)])
+        return ends, lead, bounds, self.at[np.searchsorted(self.keys, unique)][back] if len(unique) else np.zeros(0, np.int64)
+
+    def _add(self, keys: np.ndarray, units: list[str]) -> None:
+        known = [len(x) if u else 1 for u, x in zip(units, self.model.encode(units, num_threads=1), strict=True)]
+        programs: list[list[int]] = [[]] * len(units)
+        state: tuple[str, list[int], list[str | None]] = ("", [0], [None])
+        for i in sorted(range(len(units)), key=units.__getitem__):
+            state = self._extended(state, "▁" + units[i].replace(" ", "▁"))
+            programs[i] = state[1][1:]
+            if programs[i][-1] != known[i]:
+                programs[i] = [len(x) if x else 1 for x in self.model.encode([units[i][:k] for k in range(len(units[i]) + 1)])]
+        size = np.fromiter(map(len, programs), np.int64, len(programs))
+        flat = np.fromiter((x for y in programs for x in y), np.int64, int(size.sum()))
+        steps = np.diff(flat, prepend=0)
+        begin = np.cumsum(size) - size
+        steps[begin[1:]] = flat[begin[1:]]
+        if self.n + len(steps) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.n], np.zeros(max(len(self.flat), len(steps)), np.int8)])
+        self.flat[self.n : self.n + len(steps)] = steps
+        entry = len(self.size) + np.arange(len(keys))
+        self.begin, self.size, self.values = np.concatenate([self.begin, self.n + begin]), np.concatenate([self.size, size]), np.concatenate([self.values, np.array(known, np.int64)])
+        self.n += len(steps)
+        keys, at = np.concatenate([self.keys, keys]), np.concatenate([self.at, entry])
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-
-    def _encodes_to_itself(self, piece: str) -> bool:
-        return self.model.piece_to_id(piece) != self.model.unk_id() and self.plain.encode(piece, out_type=str) == [piece]
+        self.keys, self.at = keys[order], at[order]
 
-    def _valid_pair(self, a: str, b: str) -> bool:
-        return self.plain.encode(a + b, out_type=str) == [a, b]
-
-    def within(self, unit: str) -> list[int]:
-        """Token counts of all prefixes of a unit (with its marks), by the chain of last tokens."""
-        unit = unit.replace(" ", "▁")
-        count: list[int] = [0]
-        last: list[str | None] = [None]  # None: nothing that could merge stands before
-        for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = unit[start:end]
-                if self._is_piece(piece) and (last[start] is None or self._pair(last[start], piece)):
-                    count.append(count[start] + 1)
-                    last.append(piece)
-                    break
+    def counts(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit ends (bytes), cumulative token counts at them within their document, and unit bounds by document."""
+        ends, _, bounds, entry = self._entries(t)
+        total = np.concatenate([[0], np.cumsum(self.values[entry])])
+        return ends, total[1:] - np.repeat(total[bounds[:-1]], np.diff(bounds)), bounds
+
+    def program(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Steps of the count from character to character (int8) of all documents, and their character bounds."""
+        _, lead, bounds, entry = self._entries(t)
+        # a unit that opens a document has the model's mark, which is no character of the text: its step is carried into the next
+        begin, size = self.begin[entry] + lead, self.size[entry] - lead
+        steps = self.flat[ragged(begin, size)]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        opening = lead & (size > 0)
+        steps[ends[:-1][opening]] += self.flat[self.begin[entry][opening]]
+        return steps, ends[bounds]
+
+    def _extended(self, state: tuple[str, list[int], list[str | None]], unit: str) -> tuple[str, list[int], list[str | None]]:
+        """Counts and last tokens of all prefixes of a unit, going on from the part that ``state`` shares with it."""
+        before, count, last = state
+        n = 0
+        for a, b in zip(before, unit, strict=False):
+            if a != b:
+                break
+            n += 1
+        count, last = count[: n + 1], last[: n + 1]  # None: nothing that could merge stands before
+        pieces, pairs, lengths = self.pieces, self._pairs, self.lengths
+        for end in range(n + 1, len(unit) + 1):
+            for k in lengths.get(unit[end - 2 : end], (1,)) if end > 1 else (1,):
+                start = end - k
+                if start >= 0 and (piece := unit[start:end]) in pieces:
+                    ahead = last[start]
+                    good = True if ahead is None else pairs.get((ahead, piece))
+                    if good is None:
+                        if len(pairs) > 1 << 20:
+                            pairs.clear()
+                        good = pairs[ahead, piece] = self.plain.encode(ahead + piece, out_type=str) == [ahead, piece]
+                    if good:
+                        count.append(count[start] + 1)
+                        last.append(piece)
+                        break
             else:  # a character outside the vocabulary is its bytes, and merges with nothing
                 count.append(count[end - 1] + len(unit[end - 1].encode()))
                 last.append(None)
-        return count[1:]
+        return unit, count, last
+
+    def within(self, unit: str) -> list[int]:
+        """Token counts of all prefixes of a unit (with its marks), by the chain of last tokens."""
+        return self._extended(("", [0], [None]), unit.replace(" ", "▁"))[1][1:]
 
     def prefixes(self, text: str) -> list[int]:
         """Token counts of ``text[:1]``, ``text[:2]``, ... ."""
@@ -159,34 +207,45 @@ def unmarked(t: Texts) -> Texts:
 
 
 def prefix_counts(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and, if ``keep``, the stored program: ``ends`` (bytes) and ``tokens`` at each unit's end.
-
-    In a text with the model's own space mark, ``ends`` count that mark as one byte.
-    """
-    stored = [T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("tokens", T.ArrayType(T.LongType()))] if keep else []
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), *stored])
+    """doc_id, n_bytes, n_chars, n_tokens and, if ``keep``, ``program``: the stored steps of the count, one signed byte per character."""
+    stored = [T.StructField("program", T.BinaryType())] if keep else []
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_chars", "n_tokens")], *stored])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         program = counter(path)
         for b in batches:
             for i, j, t in chunks(b.column(1)):
                 sizes = np.diff(t.offsets)
-                t = unmarked(t)
-                ends, tokens, bounds = program.counts(t)
-                n = np.diff(bounds)
-                total = np.zeros(len(t), np.int64)
-                total[n > 0] = tokens[bounds[1:][n > 0] - 1]
-                columns = [b.column(0).slice(i, j - i), pa.array(sizes), pa.array(total)]
+                steps, bounds = program.program(unmarked(t))
+                total = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+                columns = [b.column(0).slice(i, j - i), pa.array(sizes), pa.array(np.diff(bounds)), pa.array(total[bounds[1:]] - total[bounds[:-1]])]
                 if keep:
-                    local = ends - np.repeat(t.offsets[:-1], n)
-                    columns += [pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(x)).cast(pa.list_(pa.int64())) for x in (local, tokens)]
+                    columns.append(pa.array([steps[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def answers(programs: DataFrame, budget: int) -> DataFrame:
+    """``programs`` without the program, with ``fits``: characters of the longest prefix of at most ``budget`` tokens, from the stored counts alone."""
+    schema = T.StructType([*[f for f in programs.schema.fields if f.name != "program"], T.StructField("fits", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fits = []
+            for steps in b.column("program").to_pylist():
+                within = np.flatnonzero(np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64) <= budget)
+                fits.append(int(within[-1]) + 1 if len(within) else 0)  # counts can fall as a text grows: the last, not the first excess
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in schema.names[:-1]], pa.array(fits, pa.int64())], names=schema.names)
+
+    return programs.select(*schema.names[:-1], "program").mapInArrow(run, schema)
+
+
 def longest_within(budget: Column | int) -> Column:
-    """From stored prefixes: bytes of the longest prefix of whole units with at most ``budget`` tokens."""
+    """From a stored program: characters of the longest prefix with at most ``budget`` tokens."""
     budget = budget if isinstance(budget, Column) else F.lit(budget)
-    fits = F.size(F.filter("tokens", lambda x: x <= budget))
-    return F.when(fits > 0, F.element_at("ends", fits)).otherwise(F.lit(0))
+    signed = lambda h: F.conv(h, 16, 10).cast("int")
+    steps = F.transform(F.regexp_extract_all(F.hex("program"), F.lit(".."), F.lit(0)), lambda h: F.when(signed(h) > 127, signed(h) - 256).otherwise(signed(h)))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+    step = lambda a, x: F.struct((a.i + 1).alias("i"), (a.n + x).alias("n"), F.when(a.n + x <= budget, a.i + 1).otherwise(a.best).alias("best"))
+    return F.aggregate(steps, start, step, lambda a: a.best)
