@@ -93,21 +93,22 @@ def _bits(data: bytes, n: int) -> np.ndarray:
 
 def _repeated(parcels: Iterator[tuple[bytes, bytes, bytes]]) -> np.ndarray:
     """Keys that occur at least twice over all parcels and are flagged in one."""
-    keys, many, flagged = [], [], []
+    keys, marks = [], []
     for k, m, f in parcels:
         keys.append(_undelta(k))
-        many.append(_bits(m, len(keys[-1])))
-        flagged.append(_bits(f, len(keys[-1])))
+        marks.append(_bits(m, len(keys[-1])) + 2 * _bits(f, len(keys[-1])).view(np.uint8))
     if not keys:
         return np.empty(0, U64)
-    k, m, f = np.concatenate(keys), np.concatenate(many), np.concatenate(flagged)
+    k, m = np.concatenate(keys), np.concatenate(marks)
+    keys.clear()
     order = np.argsort(k)
-    k, m, f = k[order], m[order], f[order]
+    k, m = k[order], m[order]
+    del order
     first = np.ones(len(k), bool)
-    first[1:] = k[1:] != k[:-1]
+    np.not_equal(k[1:], k[:-1], out=first[1:])
     at = np.flatnonzero(first)
-    total = np.diff(np.append(at, len(k)))
-    hit = ((total > 1) | np.logical_or.reduceat(m, at)) & np.logical_or.reduceat(f, at)
+    seen = np.bitwise_or.reduceat(m, at)
+    hit = ((np.diff(at, append=len(k)) > 1) | (seen & 1 > 0)) & (seen & 2 > 0)
     return k[at[hit]]
 
 
@@ -117,8 +118,8 @@ def _shifted(keys: np.ndarray, bits: int) -> np.ndarray:
 
 #: Probes carry this many bits; a chance match only makes a document be looked at again.
 PROBE_BITS = 48
-#: Distinct places gathered before parcels are sent, and bytes of text in a written batch.
-PARCEL_KEYS, BATCH_BYTES = 2_000_000, 6 << 20
+#: Places gathered before parcels are sent, bytes of text in a written batch, and bytes of text whose probes meet in one part.
+PARCEL_KEYS, BATCH_BYTES, PART_BYTES = 1_000_000, 6 << 20, 8 << 20
 
 
 def _probe_parcels(docs: DataFrame, block: int, n_parts: int) -> DataFrame:
@@ -319,7 +320,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, block: int = 18) -> DataFr
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block: window >= 2 * block - 1")
-    n_parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # parts grow in number with the input, never in size
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     found = written(_repeated_blocks(docs, block, n_parts), "repeated-blocks")
     marks = _blocks(docs, block).join(found, "key", "left_semi").groupBy("d", "h").agg(F.collect_set("k").alias("marks"))
     batches = written(_sorted_out(docs, marks).withColumn("batch", F.monotonically_increasing_id()), "candidates")
