@@ -6,8 +6,11 @@ lines: the rank at the doubled depth is the order of the pair (own rank, rank of
 starts where the known prefix ends). The array is built to depth ``min_lines``: suffixes equal to that
 depth are exactly the intervals of longest-common-prefix >= ``min_lines``, and what deeper
 ranks would add is only the order within an interval. Each suffix of an interval but the earliest
-starts a run that stood before; the union of these runs, the maximal repeated runs, is deleted.
-Suffixes whose rank is unique can start no repeated run and leave after every round.
+starts a run that stood before. Suffixes whose rank is unique can start no repeated run and leave after every round.
+
+Neighbouring suffixes of a document that point the same way, to neighbouring suffixes of one earlier text, belong to one maximal run: how many
+there are is by how much its longest common prefix with that text exceeds ``min_lines``. ``maximal_runs`` reports these
+runs with their sources; their union is deleted.
 
 With ``min_words``, a shorter run is a repeat too where its lines have that many words together (words as in ``text``:
 what stands between white space). The depth then grows by one line a round, so that every length under ``min_lines`` is ranked.
@@ -56,11 +59,11 @@ def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     groups = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
     ranks = written(groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), f"ranks-{name}")
     others = [c for c in rows.columns if c not in (_D, _H, "seq", *keys)]
-    return rows.join(ranks, keys).select(_D, _H, "seq", *others, F.col("rank").alias("r"), (F.col("first") < place).alias("later"))
+    return rows.join(ranks, keys).select(_D, _H, "seq", *others, F.col("rank").alias("r"), (F.col("first") < place).alias("later"), "first")
 
 
 def repeated_starts(docs: DataFrame, min_lines: int, text: str = "text", min_words: int | None = None) -> DataFrame:
-    """Positions (document key, seq) whose run of ``n`` non-blank lines also starts earlier, in any document.
+    """Positions (document key, seq) whose run of ``n`` non-blank lines also starts earlier, in any document, and where it starts ``first``.
 
     ``n`` is ``min_lines``, or less where the run has ``min_words`` words.
     """
@@ -78,24 +81,41 @@ def repeated_starts(docs: DataFrame, min_lines: int, text: str = "text", min_wor
         ahead = Window.partitionBy(_D, _H).orderBy("seq").rangeBetween(shift, shift)
         pairs = rows.withColumn("r2", F.max("r").over(ahead))
         if min_words is None:
-            pairs = written(pairs.where(F.col("r2").isNotNull()).drop("later"), f"pairs-{target}")
+            pairs = written(pairs.where(F.col("r2").isNotNull()).drop("later", "first"), f"pairs-{target}")
         else:
             pairs = pairs.withColumn("rest", F.max("total").over(ahead)).withColumn("hit", F.col("later") & (F.col("total") >= min_words))
             pairs = written(pairs.where("hit OR r2 IS NOT NULL").drop("later"), f"pairs-{target}")
-            short.append(pairs.where("hit").select(_D, _H, "seq", F.lit(depth).alias("n")))
+            short.append(pairs.where("hit").select(_D, _H, "seq", F.lit(depth).alias("n"), "first"))
             pairs = pairs.where(F.col("r2").isNotNull()).select(_D, _H, "seq", "own", (F.col("own") + F.col("rest")).alias("total"), "r", "r2")
         rows, depth = _ranked(pairs, ["r", "r2"], str(target)), target
-    found = rows.where("later").select(_D, _H, "seq", F.lit(min_lines).alias("n"))
+    found = rows.where("later").select(_D, _H, "seq", F.lit(min_lines).alias("n"), "first")
     for hits in short:
         found = found.union(hits)
     return found
 
 
+def _run_lengths(starts: DataFrame) -> DataFrame:
+    """``starts`` with ``run_start`` and ``run_lines`` of the maximal run that each is in."""
+    # rows of one document and text are one document, so a start may be there more than once
+    way = [_D, _H, F.col("first").getField(_D), F.col("first").getField(_H), F.col("first").getField("seq") - F.col("seq"), F.col("n")]
+    island = F.col("seq") - F.dense_rank().over(Window.partitionBy(*way).orderBy("seq"))
+    marked = starts.withColumn("island", island)
+    run = Window.partitionBy(*way, "island")
+    return marked.withColumn("run_start", F.min("seq").over(run)).withColumn("run_lines", F.max("seq").over(run) - F.col("run_start") + F.col("n")).drop("island")
+
+
+def maximal_runs(docs: DataFrame, min_lines: int = 3, text: str = "text") -> DataFrame:
+    """doc_id, start, lines, source_id, source_start: every maximal run of a document that stands earlier, with the place where it stands first (non-blank lines, from 0)."""
+    runs = _run_lengths(repeated_starts(docs, min_lines, text)).where("seq = run_start")
+    return runs.select(F.col(_D).alias("doc_id"), F.col("run_start").alias("start"), F.col("run_lines").alias("lines"), F.col("first").getField(_D).alias("source_id"), F.col("first").getField("seq").alias("source_start")).distinct()
+
+
 def dedup_lines(docs: DataFrame, min_lines: int = 3, text: str = "text", counts: bool = False, min_words: int | None = None) -> DataFrame:
-    """``docs`` with later copies of line runs (of ``min_lines`` lines, or of ``min_words`` words) deleted from ``text``; with ``counts`` also ``n_lines`` and ``n_removed``."""
+    """``docs`` with later copies of line runs (of ``min_lines`` lines, or of ``min_words`` words) deleted from ``text``; with ``counts`` also ``n_lines``, ``n_removed`` and ``longest_run`` (lines of its longest maximal run)."""
     hits = repeated_starts(docs, min_lines, text, min_words)
-    gone = hits.select(_D, _H, F.explode(F.sequence("seq", F.col("seq") + F.col("n") - 1)).alias("seq"))
-    gone = gone.groupBy(_D, _H).agg(F.collect_set("seq").alias("__gone"))
+    hits = _run_lengths(hits) if counts else hits.withColumn("run_lines", F.lit(0))
+    gone = hits.select(_D, _H, "run_lines", F.explode(F.sequence("seq", F.col("seq") + F.col("n") - 1)).alias("seq"))
+    gone = gone.groupBy(_D, _H).agg(F.collect_set("seq").alias("__gone"), F.max("run_lines").alias("__longest"))
     keyed = docs.withColumn(_H, F.xxhash64(f"`{text}`"))
     left = keyed.alias("l").join(gone.alias("g"), F.col("l.doc_id").eqNullSafe(F.col(f"g.{_D}")) & (F.col(f"l.{_H}") == F.col(f"g.{_H}")), "left")
     lines = F.split(F.col(f"l.`{text}`"), "\n", -1)
@@ -104,5 +124,5 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, text: str = "text", counts:
     columns = [new.alias(c) if c == text else F.col(f"l.`{c}`") for c in docs.columns]
     if counts:
         n_lines = F.size(F.filter(lines, lambda x: x.rlike(r"\S")))
-        columns += [F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")]
+        columns += [F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__longest", F.lit(0)).cast("long").alias("longest_run")]
     return left.select(*columns)

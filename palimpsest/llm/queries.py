@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, feistel_shards, line_dedup, minhash_forest, packing, pii_surrogates, prefix_tokens, quality_gam, quality_rules, substring_dedup
+from .store import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,15 +52,17 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token count of every document, and whether 4096 tokens hold it."""
-    counts = prefix_tokens.prefix_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+    """Token count of every document, whether 4096 tokens hold it, and how many characters they hold, from the stored prefix counts."""
+    docs = _table(spark, sf_dir, "documents")
+    program = written(prefix_tokens.prefix_counts(docs, public_tokenizers.path("piece_bpe_32k.model")), "prefix-program")
+    counts = prefix_tokens.answers(program, 4096)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_chars", "fits")
 
 
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without later copies of runs of three lines or more."""
     clean = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
-    return clean.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return clean.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +135,10 @@ WITH s AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, '
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM s),
 q AS (SELECT doc_id, line, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 r AS (SELECT doc_id, seq, [line, lead(line, 1) OVER d, lead(line, 2) OVER d] AS run, lead(line, 2) OVER d AS third FROM q WINDOW d AS (PARTITION BY doc_id ORDER BY seq)),
-f AS (SELECT doc_id, seq FROM (SELECT doc_id, seq, row_number() OVER (PARTITION BY run ORDER BY doc_id, seq) AS n FROM r WHERE third IS NOT NULL) WHERE n > 1),
+f AS (SELECT doc_id, seq, d0, s0 FROM (SELECT doc_id, seq, row_number() OVER w AS n, first_value(doc_id) OVER w AS d0, first_value(seq) OVER w AS s0 FROM r WHERE third IS NOT NULL WINDOW w AS (PARTITION BY run ORDER BY doc_id, seq)) WHERE n > 1),
+i AS (SELECT doc_id, d0, s0 - seq AS way, seq - row_number() OVER (PARTITION BY doc_id, d0, s0 - seq ORDER BY seq) AS island FROM f),
+x AS (SELECT doc_id, max(n) + 2 AS longest_run FROM (SELECT doc_id, count(*) AS n FROM i GROUP BY doc_id, d0, way, island) GROUP BY doc_id),
 g AS (SELECT DISTINCT doc_id, seq + j AS seq FROM f, (SELECT unnest([0, 1, 2]) AS j)),
 k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.seq IS NULL) AS kept, count(q.seq) AS n_lines, count(g.seq) AS n_removed
       FROM l LEFT JOIN q ON l.doc_id = q.doc_id AND l.pos = q.pos LEFT JOIN g ON q.doc_id = g.doc_id AND q.seq = g.seq GROUP BY l.doc_id)
-SELECT s.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM s LEFT JOIN k ON s.doc_id = k.doc_id"""
+SELECT s.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256 FROM s LEFT JOIN k ON s.doc_id = k.doc_id LEFT JOIN x ON s.doc_id = x.doc_id"""
