@@ -343,6 +343,32 @@ def test_token_counts_equal_the_library_at_every_prefix():
         assert c.prefixes(text) == [len(c.model.encode(text[:i])) for i in range(1, len(text) + 1)]
 
 
+def test_the_stored_program_is_the_count_of_every_prefix():
+    r = random.Random(6)
+    alphabet = list("ab  the▁\n\té日本😀<s>'sN9.%ﬁ")
+    texts = [None, "", " ", "a ", " a", "▁▁x", "the  cat", *("".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(200)), "x" * 3000, "ab" * 1500 + " end"]
+    c = prefix_tokens.counter(public_tokenizers.path("piece_bpe_32k.model"))
+    for i, _, t in chunks(pa.array(texts), 700):
+        steps, bounds = c.program(prefix_tokens.unmarked(t))
+        for k in range(len(t)):
+            text = texts[i + k] or ""
+            got = np.cumsum(steps[bounds[k] : bounds[k + 1]], dtype=int)
+            places = range(1, len(text) + 1) if len(text) < 100 else range(1, len(text) + 1, 97)
+            assert len(got) == len(text) and [got[p - 1] for p in places] == [len(c.model.encode(text[:p])) for p in places]
+
+
+def test_budget_answers_equal_brute_force(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    c = prefix_tokens.counter(path)
+    rows = [*EDGES[:-1], (50, "the quick brown fox jumps over the lazy dog " * 4), (51, "unbroken" * 40), (52, "日本 été " * 9)]
+    table = prefix_tokens.prefix_counts(spark.createDataFrame(rows, SCHEMA).withColumn("program", F.lit("clash")), path)
+    for budget in (0, 1, 7, 30):
+        want = [(d, max((k for k in range(len(t or "") + 1) if len(c.model.encode((t or "")[:k])) <= budget), default=0)) for d, t in rows]
+        assert sorted(((x.doc_id, x.fits) for x in prefix_tokens.answers(table, budget).collect()), key=key) == sorted(want, key=key)
+        assert sorted(((x.doc_id, x.cut) for x in table.withColumn("cut", prefix_tokens.longest_within(budget)).collect()), key=key) == sorted(want, key=key)
+    assert prefix_tokens.answers(table.limit(0), 5).count() == 0
+
+
 def test_stored_prefixes_answer_truncation(spark):
     rows = [*EDGES, (50, "the quick brown fox jumps over the lazy dog " * 20)]
     c = prefix_tokens.counter(public_tokenizers.path("piece_bpe_32k.model"))
@@ -407,6 +433,29 @@ def test_short_runs_of_many_words_equal_brute_force(spark, m, least):
     assert sorted((x.doc_id, x.text) for x in got.collect()) == want
 
 
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_maximal_runs_equal_brute_force(spark, m):
+    r = random.Random(20 + m)
+    rows = [(i, "\n".join(r.choice(["a", "b", "c", "d", "", "e"]) for _ in range(r.randrange(18)))) for i in range(80)]
+    lines = {d: [x for x in t.split("\n") if x.strip()] for d, t in rows}
+    first, want = {}, set()
+    for d, ls in lines.items():
+        for i in range(len(ls) - m + 1):
+            first.setdefault(tuple(ls[i : i + m]), (d, i))
+    for d, ls in lines.items():
+        at = [first[tuple(ls[i : i + m])] for i in range(len(ls) - m + 1)]
+        i = 0
+        while i < len(at):
+            j = i
+            while j + 1 < len(at) and at[j + 1] == (at[j][0], at[j][1] + 1) and at[i] != (d, i):
+                j += 1
+            if at[i] != (d, i):
+                want.add((d, i, j - i + m, *at[i]))
+            i = j + 1
+    got = line_dedup.maximal_runs(spark.createDataFrame(rows, SCHEMA).withColumn("first", F.lit("clash")), m)
+    assert {tuple(x) for x in got.collect()} == want
+
+
 # 9
 def test_packing_equals_one_by_one_best_fit():
     r = random.Random(1)
