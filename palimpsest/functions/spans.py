@@ -5,11 +5,14 @@ A span is ``struct<entity_type, start, end, score, source>``; offsets are half-o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .prefilter import possible
+
 SPAN = "struct<entity_type:string,start:int,end:int,score:double,source:string>"
 
 
@@ -31,27 +34,58 @@ def unicode_pattern(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
+MATCH = "struct<value:string,start:int,end:int>"
+
+
 def found(text: Column, pattern: str) -> Column:
     """All matches of a pattern as ``array<struct<value, start, end>>``, without a Python function.
 
-    ``split`` gives the gaps between the matches; offsets are running sums of gap and match lengths. Texts without a
-    match skip both.
+    One search: matches are marked by a separator made from the text's own hash (which it cannot hold but by chance), and the
+    text is split at it into gaps and matches in turn; offsets are running sums of their lengths. Texts that lack what the
+    pattern needs are not searched.
     """
-    p = F.lit(unicode_pattern(pattern))
-    values = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.split(text, unicode_pattern(pattern), -1)
-    kind = "struct<pos:int,out:array<struct<value:string,start:int,end:int>>>"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out")).cast(kind)
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc.pos + F.length(x.gap)
-        end = at + F.length(x.value)
-        return F.struct(end.alias("pos"), F.concat(acc.out, F.array(F.struct(x.value.alias("value"), at.alias("start"), end.alias("end")))).alias("out"))
+    def search(mark: Column) -> Column:
+        pieces = F.split(F.regexp_replace(text, F.lit(unicode_pattern(pattern)), F.concat(mark, F.lit("$0"), mark)), mark, -1)
+
+        def cut(parts: Column) -> Column:
+            ends = running(F.transform(parts, F.length), F.lit(0), "int", lambda x, y: x + y)
+            value = lambda e, i: F.struct(F.get(parts, i).alias("value"), e.alias("start"), (e + F.length(F.get(parts, i))).alias("end"))
+            return let(ends, lambda at: F.filter(F.transform(at, lambda e, i: F.when(i % 2 == 1, value(e, i))), lambda m: m.isNotNull()))
+
+        return F.when(F.size(pieces) > 1, let(pieces, cut))
+
+    marked = let(F.concat(F.lit("\x01"), F.hex(F.xxhash64(text)), F.lit("\x01")), search)
+    return F.coalesce(F.when(possible(text, pattern), marked), F.array().cast(f"array<{MATCH}>")).cast(f"array<{MATCH}>")
+
+
+def running(values: Column, zero: Column, kind: str, merge: Callable[[Column, Column], Column], width: int = 256) -> Column:
+    """For each element of an array, the merge of ``zero`` and all elements before it; block by block, so long arrays cost little more than their length."""
+    state = f"struct<t:{kind},out:array<{kind}>>"
+    empty = F.struct(zero.cast(kind).alias("t"), F.array().cast(f"array<{kind}>").alias("out")).cast(state)
+    step = lambda acc, x: F.struct(merge(acc.t, x).cast(kind).alias("t"), F.concat(acc.out, F.array(acc.t)).alias("out"))
+
+    def joined(parts: Column) -> Column:
+        def moved(part: Column, i: Column) -> Column:
+            return let(F.aggregate(F.slice(parts, 1, i), zero.cast(kind), lambda acc, x: merge(acc, x.t).cast(kind)), lambda base: F.transform(part.out, lambda o: merge(base, o).cast(kind)))
+
+        return F.flatten(F.transform(parts, moved))
 
-    pairs = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    return F.when(text.rlike(unicode_pattern(pattern)), F.aggregate(pairs, start, step, lambda acc: acc.out)).otherwise(
-        F.array().cast("array<struct<value:string,start:int,end:int>>")
-    )
+    def blocks(v: Column) -> Column:
+        starts = F.filter(F.transform(v, lambda _, i: i), lambda i: i % width == 0)
+        return let(F.transform(starts, lambda i: F.aggregate(F.slice(v, i + 1, width), empty, step)), joined)
+
+    return let(values, blocks)
+
+
+def grouped(items: Column, first: Callable[[Column, Column], Column]) -> Column:
+    """A sorted array cut into arrays; ``first(items, i)`` says whether place ``i`` starts one (place 0 always does)."""
+
+    def cut(all_: Column) -> Column:
+        starts = F.filter(F.transform(all_, lambda _, i: i), lambda i: (i == 0) | first(all_, i))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.slice(all_, i + 1, F.coalesce(F.get(at, k + 1), F.size(all_)) - i)))
+
+    return let(items, cut)
 
 
 def pattern_spans(text: Column, entity: str, pattern: str, score: float, source: str) -> Column:
@@ -67,8 +101,12 @@ def union(parts: list[Column]) -> Column:
 def ordered(spans: Column) -> Column:
     """Distinct spans by start, end, entity, falling score, source."""
     key = lambda s: F.struct(s.start.alias("a"), s.end.alias("b"), s.entity_type.alias("c"), (-s.score).alias("d"), s.source.alias("e"))
-    keyed = F.array_sort(F.array_distinct(F.transform(spans, key)))
-    return F.transform(keyed, lambda k: span(k.c, k.a, k.b, -k.d, k.e))
+    return F.transform(distinct(F.transform(spans, key)), lambda k: span(k.c, k.a, k.b, -k.d, k.e))
+
+
+def distinct(items: Column) -> Column:
+    """An array's distinct elements in order: sorted and compared one by one, as structs have no hash."""
+    return let(F.array_sort(items), lambda all_: F.filter(all_, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(all_, i - 1))))
 
 
 def let(value: Column, body) -> Column:
@@ -77,26 +115,18 @@ def let(value: Column, body) -> Column:
 
 
 def best(spans: Column, by_source: bool = False) -> Column:
-    """The best-scored span of each (entity, start, end), or also of each source."""
-    key = lambda s: F.struct(s.start.alias("a"), s.end.alias("b"), s.entity_type.alias("c"), *([s.source.alias("e")] if by_source else []))
-
-    def of(all_: Column) -> Column:
-        def top(k: Column) -> Column:
-            same = F.filter(all_, lambda s: key(s) == k)
-            low = F.array_min(F.transform(same, lambda s: F.struct((-s.score).alias("d"), s.source.alias("e"))))
-            return span(k.c, k.a, k.b, -low.d, low.e)
-
-        return F.transform(F.array_sort(F.array_distinct(F.transform(all_, key))), top)
-
-    return let(spans, of)
+    """The best-scored span of each (entity, start, end), or also of each source; the first source on a tie."""
+    source = lambda s: [s.source.alias("e")] if by_source else []
+    key = lambda s: F.struct(s.start.alias("a"), s.end.alias("b"), s.entity_type.alias("c"), *source(s))
+    ranked = F.array_sort(F.transform(spans, lambda s: F.struct(key(s).alias("k"), (-s.score).alias("d"), s.source.alias("e"))))
+    tops = let(ranked, lambda r: F.filter(r, lambda x, i: (i == 0) | (x.k != F.get(r, i - 1).k)))
+    return F.transform(tops, lambda x: span(x.k.c, x.k.a, x.k.b, -x.d, x.e))
 
 
 def invalid(spans: Column, text: Column) -> Column:
     """Whether some span lies outside the text, is empty, or has a score outside 0 to 1 (or none)."""
-    return F.exists(
-        spans,
-        lambda s: (s.start < 0) | (s.end > F.length(text)) | (s.end <= s.start) | s.score.isNull() | F.isnan(s.score) | (s.score < 0) | (s.score > 1),
-    )
+    outside = lambda n: F.exists(spans, lambda s: (s.start < 0) | (s.end > n) | (s.end <= s.start) | s.score.isNull() | F.isnan(s.score) | (s.score < 0) | (s.score > 1))
+    return F.coalesce(let(F.length(text), outside), F.lit(False))
 
 
 def validated(spans: Column, text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +29,32 @@ def differences(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.select("path", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+POINTER = "version long, name string, path string"
+
+
+def _pointers(spark: SparkSession, pointer: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(POINTER).json(pointer)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+
+
 def publish(df: DataFrame, folder: str, name: str, pointer: str) -> str:
-    """Write a table to a folder of its own, then move the pointer table to it; readers of the pointer never see half a write."""
-    path = f"{folder.rstrip('/')}/{name}"
+    """Write a table to a folder of its own, then add its version to the pointer table, which only grows.
+
+    A version becomes visible by the commit of one file, so readers see the last whole one or the new one, never half a write.
+    """
+    spark, path = df.sparkSession, f"{folder.rstrip('/')}/{name}"
     df.write.mode("errorifexists").parquet(path)
-    df.sparkSession.createDataFrame([(name, path)], "name string, path string").write.mode("overwrite").json(pointer)
+    before = _pointers(spark, pointer)
+    last = before.agg(F.max("version")).first()[0] if before is not None else None
+    spark.createDataFrame([((last or 0) + 1, name, path)], POINTER).coalesce(1).write.mode("append").json(pointer)
     return path
 
 
 def published(spark: SparkSession, pointer: str) -> DataFrame:
-    """The table that the pointer names."""
-    return spark.read.parquet(spark.read.schema("name string, path string").json(pointer).first()["path"])
+    """The table that the newest version of the pointer names."""
+    newest = spark.read.schema(POINTER).json(pointer).orderBy(F.desc("version"), "name").first()
+    return spark.read.parquet(newest["path"])

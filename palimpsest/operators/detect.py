@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from .. import catalog
 from ..functions import context, spans
 from ..functions.checks import CHECKS
+from ..functions.prefilter import possible
 from ..policy import Policy
+from .windows import adaptive
 
 Detector = Callable[[Column], Column]
 
@@ -91,11 +93,23 @@ class SpanModel:
     find: Callable[[list[str]], list[list[tuple[str, int, int, float, str]]]]
 
 
-def with_model(segments: DataFrame, model: SpanModel, text: str = "text", into: str = "spans") -> DataFrame:
-    """Append a model's spans, in Arrow batches; malformed evidence fails the query."""
+def above(spans_: Column, threshold: float) -> Column:
+    """Spans of at least a score."""
+    return F.filter(spans_, lambda s: s.score >= threshold)
+
+
+def with_model(segments: DataFrame, model: SpanModel, text: str = "text", into: str = "spans", threshold: float = 0.0, entities: tuple[str, ...] | None = None) -> DataFrame:
+    """``segments`` with a model's spans of at least ``threshold``, in Arrow batches; malformed evidence (place, score, type, or an entity outside ``entities``) fails the query."""
     schema = T.StructType([*[f for f in segments.schema.fields if f.name != into], T.StructField(into, T._parse_datatype_string(f"array<{spans.SPAN}>"))])
     names = [f.name for f in schema.fields[:-1]]
 
+    def checked(t: str, hit: tuple) -> dict:
+        entity, start, end, score, source = hit
+        ok = isinstance(entity, str) and (entities is None or entity in entities) and type(start) is int and type(end) is int and isinstance(score, (int, float)) and not isinstance(score, bool)
+        if not ok or not (0 <= start < end <= len(t) and 0 <= score <= 1):
+            raise ValueError(f"{model.name} returned an invalid span")
+        return {"entity_type": entity, "start": start, "end": end, "score": float(score), "source": source}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("source", pa.string())]))
         for b in batches:
@@ -103,17 +117,39 @@ def with_model(segments: DataFrame, model: SpanModel, text: str = "text", into:
             found = model.find(texts)
             if len(found) != len(texts):
                 raise ValueError(f"{model.name} answered for {len(found)} of {len(texts)} texts")
-            rows = []
-            for t, hits in zip(texts, found, strict=True):
-                for _, start, end, score, _ in hits:
-                    if not (0 <= start < end <= len(t) and 0 <= score <= 1):
-                        raise ValueError(f"{model.name} returned an invalid span")
-                rows.append([dict(zip(("entity_type", "start", "end", "score", "source"), h, strict=True)) for h in hits])
+            rows = [[x for x in (checked(t, h) for h in hits) if x["score"] >= threshold] for t, hits in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array(rows, kind)], names=schema.names)
 
     return segments.select(*names).mapInArrow(run, schema)
 
 
+def remote(name: str, call: Callable[[str], list[tuple[str, int, int, float]]], labels: dict[str, str], ignored: tuple[str, ...] = (), too_large: type[Exception] = ValueError, size: int = 1024, overlap: int = 128, max_calls: int = 1000) -> SpanModel:
+    """A model behind a call, as a plug-in: texts go out in overlapping windows, a window that is too large is halved, labels become entities, ignored ones go.
+
+    A label that is neither mapped nor ignored fails: evidence is not dropped silently.
+    """
+
+    def one(window: str) -> list[tuple[str, int, int, float, str]]:
+        out = []
+        for label, start, end, score in call(window):
+            if label in ignored:
+                continue
+            if label not in labels:
+                raise RuntimeError(f"{name} answered with an unknown label")
+            out.append((labels[label], start, end, score, "transformer"))
+        return out
+
+    return SpanModel(name, lambda texts: adaptive(texts, one, too_large, size, overlap, max_calls))
+
+
+def create(mode: str, policy: Policy) -> Detector:
+    """The detector of a mode: ``deterministic`` (plain patterns), ``rules`` (scored rules with context), ``combined`` (both), each with the policy's own patterns."""
+    layers = {"deterministic": (deterministic(),), "rules": (scored_rules(policy),), "combined": (deterministic(), scored_rules(policy))}
+    if mode not in layers:
+        raise ValueError(f"unknown mode {mode}; one of {sorted(layers)}")
+    return layered(*layers[mode], policy_patterns(policy))
+
+
 def python_pattern_spans(segments: DataFrame, patterns: list[tuple[str, str, float]], text: str = "text", into: str = "spans") -> DataFrame:
     """Spans of patterns in Python's own syntax, for those that Java does not read the same way."""
     import re
@@ -133,4 +169,4 @@ def exploded(segments: DataFrame, span_column: str = "spans", keys: tuple[str, .
 
 def any_pattern(text: Column, patterns: list[str]) -> Column:
     """Whether some pattern matches."""
-    return reduce(lambda a, b: a | b, [text.rlike(spans.unicode_pattern(p)) for p in patterns], F.lit(False))
+    return reduce(lambda a, b: a | b, [possible(text, p) & text.rlike(spans.unicode_pattern(p)) for p in patterns], F.lit(False))

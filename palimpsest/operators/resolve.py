@@ -1,8 +1,9 @@
 """Two-level overlap resolution inside a row.
 
 First, connected spans of one entity become one logical detection; then connected detections of any
-entities become one region, which the strictest action owns. Both are folds over sorted span arrays of a
-segment, so resolution needs no shuffle and no join. Touching spans do not connect.
+entities become one region, which the strictest action owns. Both cut sorted span arrays of a segment where a
+span starts at or after all ends before it, so resolution needs no shuffle and no join, and long arrays cost little
+more than their length. Touching spans do not connect.
 """
 
 from __future__ import annotations
@@ -11,12 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import catalog
+from ..functions.spans import distinct, grouped, let, running
 from ..policy import Policy
 
 LOGICAL = "struct<entity_type:string,start:int,end:int,score:double,source:string,owner_width:int>"
-_KEY = "struct<w:int,s:double,src:string,a:int,b:int>"
-_GROUP = f"struct<entity_type:string,start:int,end:int,key:{_KEY}>"
-_REGION = f"struct<start:int,end:int,members:array<{LOGICAL}>>"
 
 
 def _literal_map(pairs: dict[str, Column]) -> Column | None:
@@ -48,51 +47,47 @@ def strictness_of(action: Column) -> Column:
     return F.element_at(_literal_map({k: F.lit(v) for k, v in catalog.STRICTNESS.items()}), action)
 
 
-def _append_or_replace(groups: Column, joins: Column, merged: Column, new: Column) -> Column:
-    kept = F.slice(groups, 1, F.size(groups) - 1)
-    return F.when(joins, F.concat(kept, F.array(merged))).otherwise(F.concat(groups, F.array(new)))
-
-
 def logical(spans: Column) -> Column:
     """Logical detections: union of connected spans of one entity, owned by the widest (then best scored) of them."""
-    keyed = F.array_sort(
-        F.array_distinct(F.transform(spans, lambda s: F.struct(s.entity_type.alias("e"), s.start.alias("a"), s.end.alias("b"), (-s.score).alias("d"), s.source.alias("src"))))
-    )
+    keyed = distinct(F.transform(spans, lambda s: F.struct(s.entity_type.alias("e"), s.start.alias("a"), s.end.alias("b"), (-s.score).alias("d"), s.source.alias("src"))))
+
+    def connected(items: Column) -> Column:
+        # the latest end so far of the entity at hand: entities come one after another
+        reach = running(F.transform(items, lambda s: F.struct(s.e.alias("e"), s.b.alias("b"))), F.lit(None), "struct<e:string,b:int>", F.greatest)
+        return let(reach, lambda r: grouped(items, lambda all_, i: (F.get(r, i).e != F.get(all_, i).e) | (F.get(all_, i).a >= F.get(r, i).b)))
+
+    def one(g: Column) -> Column:
+        owner = F.array_min(F.transform(g, lambda s: F.struct((s.a - s.b).alias("w"), s.d.alias("d"), s.src.alias("src"), s.a.alias("a"), s.b.alias("b"))))
+        return F.struct(
+            g[0].a.alias("start"), F.array_max(F.transform(g, lambda s: s.b)).alias("end"), g[0].e.alias("entity_type"), (-owner.d).alias("score"), owner.src.alias("source"), (-owner.w).alias("owner_width")
+        )
+
+    out = F.array_sort(F.transform(let(keyed, connected), one))
+    found = F.transform(out, lambda g: F.struct(g.entity_type.alias("entity_type"), g.start.alias("start"), g.end.alias("end"), g.score.alias("score"), g.source.alias("source"), g.owner_width.alias("owner_width")))
+    return F.when(F.size(spans) > 0, found).otherwise(F.array().cast(f"array<{LOGICAL}>"))
 
-    def step(groups: Column, s: Column) -> Column:
-        key = F.struct((s.a - s.b).alias("w"), s.d.alias("s"), s.src.alias("src"), s.a.alias("a"), s.b.alias("b"))
-        joins = F.coalesce((F.size(groups) > 0) & (F.get(groups, F.size(groups) - 1).entity_type == s.e) & (s.a < F.get(groups, F.size(groups) - 1).end), F.lit(False))
-        last = F.get(groups, F.size(groups) - 1)
-        merged = F.struct(s.e.alias("entity_type"), last.start.alias("start"), F.greatest(last.end, s.b).alias("end"), F.when(key < last.key, key).otherwise(last.key).alias("key"))
-        new = F.struct(s.e.alias("entity_type"), s.a.alias("start"), s.b.alias("end"), key.alias("key"))
-        return _append_or_replace(groups, joins, merged, new).cast(f"array<{_GROUP}>")
 
-    groups = F.aggregate(keyed, F.array().cast(f"array<{_GROUP}>"), step)
-    out = F.transform(groups, lambda g: F.struct(g.start.alias("start"), g.end.alias("end"), g.entity_type.alias("entity_type"), (-g.key.s).alias("score"), g.key.src.alias("source"), (-g.key.w).alias("owner_width")))
-    return F.transform(F.array_sort(out), lambda g: F.struct(g.entity_type.alias("entity_type"), g.start.alias("start"), g.end.alias("end"), g.score.alias("score"), g.source.alias("source"), g.owner_width.alias("owner_width")))
+REGION = "struct<entity_type:string,start:int,end:int,score:double,source:string,action:string,members:array<string>,overlap:boolean,size:int>"
 
 
 def regions(detections: Column, policy: Policy, mcp: Column) -> Column:
-    """Regions: connected detections, with the winner's entity, score, source and action, the entities inside, and whether they differ."""
+    """Regions: connected detections, with the winner's entity, score, source and action, the entities inside, whether they differ, and how many detections (in their order) there are."""
     keyed = F.array_sort(F.transform(detections, lambda d: F.struct(d.start.alias("a"), d.end.alias("b"), d.entity_type.alias("e"), d.source.alias("s"), d.alias("d"))))
 
-    def step(groups: Column, k: Column) -> Column:
-        last = F.get(groups, F.size(groups) - 1)
-        joins = F.coalesce((F.size(groups) > 0) & (k.a < last.end), F.lit(False))
-        merged = F.struct(last.start.alias("start"), F.greatest(last.end, k.b).alias("end"), F.concat(last.members, F.array(k.d)).alias("members"))
-        new = F.struct(k.a.alias("start"), k.b.alias("end"), F.array(k.d).alias("members"))
-        return _append_or_replace(groups, joins, merged, new).cast(f"array<{_REGION}>")
+    def connected(items: Column) -> Column:
+        reach = running(F.transform(items, lambda k: k.b), F.lit(None), "int", F.greatest)
+        return let(reach, lambda r: grouped(items, lambda all_, i: F.get(all_, i).a >= F.get(r, i)))
 
     def resolved(g: Column) -> Column:
-        rank = lambda m: F.struct(
-            (-strictness_of(effective_action(policy, m.entity_type, mcp))).alias("r"), (-m.owner_width).alias("w"), (-m.score).alias("d"),
-            m.entity_type.alias("entity_type"), m.source.alias("source"), m.start.alias("a"), m.end.alias("b"),
+        rank = lambda k: F.struct(
+            (-strictness_of(effective_action(policy, k.d.entity_type, mcp))).alias("r"), (-k.d.owner_width).alias("w"), (-k.d.score).alias("d"),
+            k.d.entity_type.alias("entity_type"), k.d.source.alias("source"), k.d.start.alias("a"), k.d.end.alias("b"),
         )
-        winner = F.array_min(F.transform(g.members, rank))
-        inside = F.array_sort(F.array_distinct(F.transform(g.members, lambda m: m.entity_type)))
-        return F.struct(
-            winner.entity_type.alias("entity_type"), g.start.alias("start"), g.end.alias("end"), (-winner.d).alias("score"), winner.source.alias("source"),
-            effective_action(policy, winner.entity_type, mcp).alias("action"), inside.alias("members"), (F.size(inside) > 1).alias("overlap"),
-        )
-
-    return F.transform(F.aggregate(keyed, F.array().cast(f"array<{_REGION}>"), step), resolved)
+        winner = F.array_min(F.transform(g, rank))
+        inside = F.array_sort(F.array_distinct(F.transform(g, lambda k: k.d.entity_type)))
+        return let(winner, lambda w: F.struct(
+            w.entity_type.alias("entity_type"), g[0].a.alias("start"), F.array_max(F.transform(g, lambda k: k.b)).alias("end"), (-w.d).alias("score"), w.source.alias("source"),
+            effective_action(policy, w.entity_type, mcp).alias("action"), inside.alias("members"), (F.size(inside) > 1).alias("overlap"), F.size(g).alias("size"),
+        ))
+
+    return F.when(F.size(detections) > 0, F.transform(let(keyed, connected), resolved)).otherwise(F.array().cast(f"array<{REGION}>"))

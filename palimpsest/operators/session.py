@@ -19,20 +19,53 @@ def episodes(df: DataFrame, key: str, time: str, ttl_seconds: int) -> Column:
 
 
 def sticky(df: DataFrame, key: str = "session_key", order: str = "turn", time: str | None = None, ttl_seconds: int | None = None) -> DataFrame:
-    """``df`` with ``final_decision``, ``final_route`` and ``from_cache``; needs ``decision`` and ``route_class``."""
+    """``df`` with ``final_decision``, ``final_route`` and ``from_cache``; needs ``decision`` and ``route_class``.
+
+    With a ``request_kind`` column also ``session_error``: a session that has a decision takes requests of that decision's kind only;
+    another one gets the error, no decision, and leaves the session as it was.
+    """
     keys = [key]
     if ttl_seconds is not None:
         df = df.withColumn("episode", episodes(df, key, time or order, ttl_seconds))
         keys.append("episode")
     past = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    own = F.when(F.col("decision") == "reroute", F.col("route_class"))
-    df = df.withColumn("__own", own).withColumn("__route", F.first("__own", ignorenulls=True).over(past))
-    df = df.withColumn("__stop", (F.col("decision") == "block") | F.coalesce(F.col("__own") != F.col("__route"), F.lit(False)))
-    df = df.withColumn("from_cache", F.coalesce(F.max("__stop").over(past), F.lit(False)))
-    final = F.when(F.col("from_cache") | F.col("__stop"), "block").when(F.coalesce("__route", "__own").isNotNull(), "reroute").otherwise(F.col("decision"))
+    kinds = "request_kind" in df.columns
+    taints = F.col("decision").isin("block", "reroute")
+    bad = F.coalesce(F.col("request_kind") != F.first(F.when(taints, F.col("request_kind")), ignorenulls=True).over(past), F.lit(False)) if kinds else F.lit(False)
+    df = df.withColumn("__bad", bad)
+    df = df.withColumn("__own", F.when((F.col("decision") == "reroute") & ~F.col("__bad"), F.col("route_class")))
+    df = df.withColumn("__route", F.first("__own", ignorenulls=True).over(past))
+    df = df.withColumn("__stop", ~F.col("__bad") & (F.coalesce(F.col("decision") == "block", F.lit(False)) | F.coalesce(F.col("__own") != F.col("__route"), F.lit(False))))
+    df = df.withColumn("from_cache", ~F.col("__bad") & F.coalesce(F.max("__stop").over(past), F.lit(False)))
+    final = F.when(F.col("__bad"), None).when(F.col("from_cache") | F.col("__stop"), "block").when(F.coalesce("__route", "__own").isNotNull(), "reroute").otherwise(F.col("decision"))
     df = df.withColumn("final_decision", final)
-    route = F.when(F.col("final_decision") == "reroute", F.coalesce("__route", "__own")).when(F.col("final_decision") == "block", None).otherwise(F.col("route_class"))
-    return df.withColumn("final_route", route).drop("__own", "__route", "__stop")
+    route = F.when(F.col("final_decision") == "reroute", F.coalesce("__route", "__own")).when(F.col("__bad") | (F.col("final_decision") == "block"), None).otherwise(F.col("route_class"))
+    df = df.withColumn("final_route", route)
+    if kinds:
+        df = df.withColumn("session_error", F.when(F.col("__bad"), "request_kind"))
+    return df.drop("__own", "__route", "__stop", "__bad")
+
+
+def unsound(d: Column) -> Column:
+    """Why a stored session decision cannot be trusted (the first reason), or null.
+
+    ``d`` has request_kind, decision, route_class, remote_allowed, entities, entity_counts (rows of entity_type and count), report_rows,
+    request_notices and response_notices. Routing must be closed, counts must agree, and rows must fit the decision.
+    """
+    count = lambda entity: F.get(F.transform(F.filter(d.entity_counts, lambda c: c.entity_type == entity), lambda c: c["count"]), F.lit(0))
+    names, counted = F.transform(d.report_rows, lambda r: r.entity_type), F.transform(d.entity_counts, lambda c: c.entity_type)
+    acts = F.transform(d.report_rows, lambda r: r.action)
+    has = lambda action: F.coalesce(F.array_contains(acts, action), F.lit(False))
+    tool = (d.decision != "block") | d.route_class.isNotNull() | (F.size(d.response_notices) > 0) | has("reroute")
+    uneven = (F.size(d.entities) != F.size(F.array_distinct(d.entities))) | (F.array_sort(F.array_distinct(d.entities)) != F.array_sort(F.array_distinct(counted)))
+    return (
+        F.when(~F.coalesce(d.decision.isin("block", "reroute"), F.lit(False)), "decision").when(F.size(d.request_notices) > 0, "request_notices").when(d.remote_allowed, "remote_allowed")
+        .when((d.decision == "block") & d.route_class.isNotNull(), "route_of_block").when((d.decision == "reroute") & d.route_class.isNull(), "no_route").when((d.request_kind == "mcp") & tool, "mcp")
+        .when(F.array_contains(counted, "FACE"), "face").when(uneven, "entities").when(F.size(names) != F.size(F.array_distinct(names)), "rows_repeat").when(F.array_sort(names) != names, "rows_order")
+        .when(F.exists(d.report_rows, lambda r: r.detected_count > F.coalesce(count(r.entity_type), F.lit(-1))), "rows_exceed_counts")
+        .when((d.decision == "block") & F.exists(d.report_rows, lambda r: r.transformed_count > 0), "block_transforms").when((d.decision == "block") & (F.size(acts) > 0) & ~has("block"), "block_without_row")
+        .when((d.decision == "reroute") & (has("block") | ~has("reroute")), "reroute_rows")
+    )
 
 
 def merged_counts(now: Column, cached: Column) -> Column:
@@ -40,6 +73,11 @@ def merged_counts(now: Column, cached: Column) -> Column:
     return F.map_zip_with(now, cached, lambda _, a, b: F.greatest(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0))))
 
 
+def merged_entities(now: Column, cached: Column) -> Column:
+    """Entities of a request and of its session, sorted."""
+    return F.array_sort(F.array_union(now, cached))
+
+
 def overlaid_rows(cached: Column, now: Column) -> Column:
     """Report rows that a session keeps: those it has, overlaid with the request's reroute rows, by entity."""
     fresh = F.filter(now, lambda r: r.action == "reroute")

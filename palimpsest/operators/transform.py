@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import digests
+from ..functions.spans import distinct
 from ..policy import Policy
 
+#: An action of the caller's own: the new text from the value and its entity.
+Operator = Callable[[Column, Column], Column]
 CHANGES = ("mask", "hash", "encrypt", "reversible_replace", "replace", "redact")
 
 
@@ -30,6 +35,19 @@ def masked(value: Column, char: Column, most: Column, from_end: Column) -> Colum
     return F.when(from_end, F.concat(F.substr(value, F.lit(1), F.length(value) - n), stars)).otherwise(F.concat(stars, F.substr(value, n + 1)))
 
 
+def cipher(keys: Keys, entity: Column, value: Column) -> Column:
+    """AES-256-GCM of a value (Base64 of nonce, cipher text and tag), the entity bound in; the nonce is a keyed digest of both, so a run can be repeated."""
+    key = F.lit(bytearray(hashlib.sha256(b"palimpsest:v1:cipher-key:" + keys.hash_key).digest()))
+    iv = F.substring(F.unhex(digests.hmac_sha256(keys.hash_key, F.concat(F.lit("palimpsest:v1:cipher-nonce:"), entity, F.lit(":"), value))), 1, 12)
+    return F.base64(F.aes_encrypt(value.cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), iv, entity.cast("binary")))
+
+
+def deciphered(keys: Keys, entity: Column, text: Column) -> Column:
+    """The value that ``cipher`` hid; null if the text or the entity was changed."""
+    key = F.lit(bytearray(hashlib.sha256(b"palimpsest:v1:cipher-key:" + keys.hash_key).digest()))
+    return F.try_aes_decrypt(F.unbase64(text), key, F.lit("GCM"), F.lit("DEFAULT"), entity.cast("binary")).cast("string")
+
+
 def _params(policy: Policy, entity: Column) -> tuple[Column, Column, Column, Column]:
     """Mask character, count, side and replacement text of an entity."""
     out = []
@@ -47,23 +65,25 @@ def _params(policy: Policy, entity: Column) -> tuple[Column, Column, Column, Col
     return out[0], out[1], out[2], fallback
 
 
-def done(text: Column, regions: Column, policy: Policy, keys: Keys, nonce: Column) -> Column:
+def done(text: Column, regions: Column, policy: Policy, keys: Keys, nonce: Column, operators: Mapping[str, Operator] | None = None) -> Column:
     """What happens to each region: ``array<struct<start, end, entity_type, action, original, new, placeholder>>``.
 
-    ``action`` is null where the text stays (pass, block, or a reroute that does not mask).
+    ``action`` is null where the text stays (pass, block, or a reroute that does not mask). ``operators`` take the place of
+    built-in actions (mask, replace, redact, or the cipher of encrypt).
     """
+    own = operators or {}
 
     def one(r: Column) -> Column:
         original = F.substr(text, r.start + 1, r.end - r.start)
         char, most, from_end, new_value = _params(policy, r.entity_type)
         acts = r.action.isin(*CHANGES) | ((r.action == "reroute") & F.lit(policy.mask_on_reroute))
-        cipher = F.lower(F.hex(original.cast("binary")))
+        plug = lambda action, built_in: own[action](original, r.entity_type) if action in own else built_in
         reversible = digests.placeholder(keys.hash_key, "REV", nonce, r.entity_type, original)
-        encrypted = digests.placeholder(keys.hash_key, "ENCRYPTED", nonce, r.entity_type, cipher)
+        encrypted = digests.placeholder(keys.hash_key, "ENCRYPTED", nonce, r.entity_type, plug("encrypt", cipher(keys, r.entity_type, original)))
         hashed = digests.rolling_hash(keys.hash_key, keys.scope, r.entity_type, original, keys.as_of, policy.hash_window_hours)
         new = (
-            F.when(~acts, original).when(r.action.isin("mask", "reroute"), masked(original, char, most, from_end)).when(r.action == "hash", hashed)
-            .when(r.action == "reversible_replace", reversible).when(r.action == "encrypt", encrypted).when(r.action == "replace", new_value).otherwise(F.lit(""))
+            F.when(~acts, original).when(r.action.isin("mask", "reroute"), plug("mask", masked(original, char, most, from_end))).when(r.action == "hash", hashed)
+            .when(r.action == "reversible_replace", reversible).when(r.action == "encrypt", encrypted).when(r.action == "replace", plug("replace", new_value)).otherwise(plug("redact", F.lit("")))
         )
         mark = F.when(r.action.isin("reversible_replace", "encrypt"), new)
         return F.struct(
@@ -88,7 +108,7 @@ def spliced(text: Column, edits: Column) -> Column:
 def reversal(edits: Column) -> Column:
     """Distinct (placeholder, original) pairs of edits."""
     marked = F.filter(edits, lambda e: e.placeholder.isNotNull())
-    return F.array_distinct(F.transform(marked, lambda e: F.struct(e.placeholder.alias("placeholder"), e.original.alias("original"))))
+    return distinct(F.transform(marked, lambda e: F.struct(e.placeholder.alias("placeholder"), e.original.alias("original"))))
 
 
 def conflicting(pairs: Column) -> Column:

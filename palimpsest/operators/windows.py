@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.digests import hmac_sha256
 from ..functions.spans import SPAN, let
 
 #: Default window and overlap, in characters.
@@ -83,9 +85,9 @@ def bio_spans(tokens: Column, mapping: dict[str, str], source: str) -> Column:
     return F.aggregate(tokens, start, step, lambda acc: acc.out)
 
 
-def memoised(windows: DataFrame, infer: Callable[[list[str]], list[list[tuple[str, int, int, float, str]]]], namespace: str = "", text: str = "window_text") -> DataFrame:
-    """``windows`` with ``spans``: each distinct window text is inferred once, and joined back by its digest."""
-    keyed = windows.withColumn("window_hash", F.sha2(F.concat_ws("\x1f", F.lit(namespace), F.col(text)), 256))
+def memoised(windows: DataFrame, infer: Callable[[list[str]], list[list[tuple[str, int, int, float, str]]]], namespace: str = "", text: str = "window_text", key: bytes = b"window-cache") -> DataFrame:
+    """``windows`` with ``window_hash`` and ``spans``: each distinct window text is inferred once, and joined back by its keyed digest, which says nothing about the text without the key."""
+    keyed = windows.withColumn("window_hash", hmac_sha256(key, F.concat_ws("\x1f", F.lit(namespace), F.col(text))))
     distinct = keyed.groupBy("window_hash").agg(F.first(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,3 +127,48 @@ def adaptive(texts: list[str], call: Callable[[str], list[tuple[str, int, int, f
                 best[key] = max(best.get(key, 0.0), score)
         out.append([(e, s, t, score, source) for (e, s, t, source), score in sorted(best.items(), key=lambda x: (x[0][1], x[0][2], x[0][0], x[0][3]))])
     return out
+
+
+def rechecked(text: str, tokenize: Callable[[str, bool], list[tuple[int, int]]], window: int = 448, overlap: int = 64, limit: int = 512, back: int = 64) -> list[tuple[int, str]]:
+    """(start, text) of windows that cover all characters, each of at most ``limit`` tokens when tokenised again by itself.
+
+    ``tokenize(text, special)`` gives the character spans of the tokens, empty ones for special tokens. A window that turns out too long is
+    cut at the end of its ``window``-th token, ``back`` characters of it kept in the rest; one that cannot be cut is an error.
+    """
+    spans = [s for s in tokenize(text, False) if s[0] < s[1]]
+    todo, i = [], 0
+    while spans:
+        end = len(text) if i + window >= len(spans) else spans[i + window][0]
+        start = spans[i][0] if i else 0
+        todo.append((start, text[start:end]))
+        if end == len(text):
+            break
+        i += window - overlap
+    todo, out = list(reversed(todo or [(0, text)])), []
+    while todo:
+        start, piece = todo.pop()
+        tokens = tokenize(piece, True)
+        if len(tokens) <= limit:
+            out.append((start, piece))
+            continue
+        ends = [e for s, e in tokens if s < e]
+        cut = ends[min(window, len(ends) - 1)]
+        if not back < cut < len(piece):
+            raise RuntimeError("no window of this text is within the bound")
+        todo += [(start + cut - back, piece[cut - back :]), (start, piece[:cut])]
+    return out
+
+
+def model_windows(segments: DataFrame, tokenize: Callable[[str, bool], list[tuple[int, int]]], window: int = 448, overlap: int = 64, limit: int = 512, text: str = "text") -> DataFrame:
+    """``segments`` exploded to windows of ``rechecked``: ``window_start`` and ``window_text`` in place of the text; a null text is empty."""
+    names = [c for c in segments.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cuts = [rechecked(t or "", tokenize, window, overlap, limit) for t in b.column(len(names)).to_pylist()]
+            rows = pa.array([i for i, c in enumerate(cuts) for _ in c], pa.int32())
+            own = [b.column(i).take(rows) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([s for c in cuts for s, _ in c], pa.int32()), pa.array([x for c in cuts for _, x in c], pa.string())], names=[*names, "window_start", "window_text"])
+
+    schema = T.StructType([*[f for f in segments.schema.fields if f.name != text], T.StructField("window_start", T.IntegerType()), T.StructField("window_text", T.StringType())])
+    return segments.select(*names, text).mapInArrow(run, schema)

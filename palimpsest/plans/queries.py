@@ -76,7 +76,14 @@ _VAT = "concat('VAT NL', lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 'B01 or DE',
 _BSN = "concat('bsn: ', lpad(CAST(o_orderkey AS VARCHAR), 9, '0'))"
 _IBAN = "concat('DE', lpad(CAST(c_custkey % 97 AS VARCHAR), 2, '0'), '37040044', lpad(CAST(c_custkey AS VARCHAR), 10, '0'))"
 _ZIP = "concat(c_name, ' ', lpad(CAST(c_custkey AS VARCHAR), 4, '1'), ' AB')"
-_TAX = "concat('Nr ', lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0'), '/', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), '/', lpad(CAST(c_custkey AS VARCHAR), 5, '0'))"
+_PAD = "lpad(CAST(c_custkey AS VARCHAR), {n}, '{fill}')"
+_TAX = "CASE c_custkey % 6 " + " ".join(
+    f"WHEN {i} THEN {x}"
+    for i, x in enumerate((
+        f"concat({_PAD.format(n=5, fill=1)}, '/', {_PAD.format(n=5, fill=2)})", f"concat('12/345/', {_PAD.format(n=5, fill=3)})", f"concat('123/456/', {_PAD.format(n=5, fill=4)})",
+        f"concat('123/4567/', {_PAD.format(n=4, fill=5)})", f"concat('12 345 ', {_PAD.format(n=5, fill=6)})", f"concat('11120', {_PAD.format(n=8, fill=7)})",
+    ))
+) + " END"
 _SECRET = "concat('login ', c_name, ' Password = x', CAST(c_custkey AS VARCHAR), ' done')"
 
 
@@ -121,12 +128,12 @@ def detect_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), "PHONE_NUMBER").select("doc_id", "value")
 
 
-@register(f"SELECT c_custkey, {_TAX} AS value FROM customer WHERE regexp_full_match({_TAX}, 'Nr \\d{{2}}/\\d{{3}}/\\d{{5}}')")
+@register(f"SELECT c_custkey, 3 AS start, length(value) + 3 AS \"end\" FROM (SELECT c_custkey, {_TAX} AS value FROM customer)")
 def detect_steuernummer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """German tax numbers of six formats."""
-    text = _made(_TAX)
     detector = detect.deterministic(("STEUERNUMMER",))
-    return table(spark, sf_dir, "customer").where(F.size(detector(text)) == 1).select("c_custkey", text.alias("value"))
+    each = table(spark, sf_dir, "customer").select("c_custkey", F.explode(detector(F.concat(F.lit("Nr "), _made(_TAX), F.lit(".")))).alias("s"))
+    return each.select("c_custkey", "s.start", "s.end")
 
 
 @register(rf"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])([A-Z0-9]{{9}})(?:$|[^\p{{L}}\p{{N}}_])', 1)) AS v FROM documents) GROUP BY doc_id""")
@@ -285,9 +292,9 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_after(_acted(spark, sf_dir, "redact"))
 
 
-def _hmac_sql(message: str) -> str:
-    inner = "unhex('" + bytes(b ^ 0x36 for b in KEYS.hash_key.ljust(64, b"\0")).hex() + "')"
-    outer = "unhex('" + bytes(b ^ 0x5C for b in KEYS.hash_key.ljust(64, b"\0")).hex() + "')"
+def _hmac_sql(message: str, key: bytes = KEYS.hash_key) -> str:
+    inner = "unhex('" + bytes(b ^ 0x36 for b in key.ljust(64, b"\0")).hex() + "')"
+    outer = "unhex('" + bytes(b ^ 0x5C for b in key.ljust(64, b"\0")).hex() + "')"
     return f"sha256({outer} || unhex(sha256({inner} || encode({message}))))"
 
 
@@ -313,10 +320,11 @@ def reversible_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_after(_acted(spark, sf_dir, "reversible_replace"))
 
 
-@register(_splice_sql(_placeholder_sql("ENCRYPTED", "lower(hex(encode(m$)))")))
+@register(_splice_sql(f"'<ENCRYPTED_EMAIL_ADDRESS_' || {_NONCE_SQL} || '_>'"))
 def encrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A token over the ciphertext in place of every e-mail address (deterministic cipher, so that it can be compared)."""
-    return _text_after(_acted(spark, sf_dir, "encrypt"))
+    """A token over the cipher text in place of every e-mail address (its digest left out: SQL has no cipher)."""
+    done = _text_after(_acted(spark, sf_dir, "encrypt"))
+    return done.select("doc_id", F.regexp_replace("text", r"(<ENCRYPTED_EMAIL_ADDRESS_[0-9a-f]{16}_)[0-9a-f]{16}>", "$1>").alias("text"))
 
 
 @register(f"SELECT DISTINCT doc_id, {_placeholder_sql('REV', 'value')} AS placeholder, value AS original FROM {span_sql('documents', 'doc_id', 'text', PATTERN['EMAIL_ADDRESS'], 'EMAIL_ADDRESS')}")
@@ -348,15 +356,15 @@ r AS (SELECT *, CASE WHEN n_ip > 0 AND n_card > 0 THEN 'block' WHEN n_ip > 0 OR
 )
 
 
-def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ENGINE.analyze_documents(table(spark, sf_dir, "documents"))
+def _analysed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return _ENGINE.analyze_documents(table(spark, sf_dir, "documents"), columns=columns or None)
 
 
 @register(_DECIDED_SQL + " SELECT doc_id, decision, decision IN ('pass', 'apply_actions') AS remote_allowed, CAST(n_mail + n_ip + n_card AS BIGINT) AS detections FROM r")
 def doc_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision of every document, and how much was detected in it."""
     total = F.aggregate("report_rows", F.lit(0).cast("long"), lambda a, r: a + r.detected_count)
-    return _analysed(spark, sf_dir).select(F.col("request_id").cast("long").alias("doc_id"), "decision", "remote_allowed", total.alias("detections"))
+    return _analysed(spark, sf_dir, "request_id", "decision", "remote_allowed", "report_rows").select(F.col("request_id").cast("long").alias("doc_id"), "decision", "remote_allowed", total.alias("detections"))
 
 
 @register(_DECIDED_SQL + """ SELECT h.doc_id, entity_type, CASE WHEN entity_type = 'EMAIL_ADDRESS' THEN 'mask' ELSE 'reroute' END AS action, CAST(count(*) AS INTEGER) AS detected_count,
@@ -364,14 +372,14 @@ CAST(CASE WHEN any_value(decision) = 'block' THEN 0 ELSE count(*) END AS INTEGER
 any_value(decision) AS decision FROM h JOIN r ON h.doc_id = r.doc_id WHERE decision <> 'block' GROUP BY h.doc_id, entity_type""")
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report rows of the documents that no rule blocks."""
-    df = _analysed(spark, sf_dir).where("decision <> 'block'").select(F.col("request_id").cast("long").alias("doc_id"), "decision", F.explode("report_rows").alias("r"))
+    df = _analysed(spark, sf_dir, "request_id", "decision", "report_rows").where("decision <> 'block'").select(F.col("request_id").cast("long").alias("doc_id"), "decision", F.explode("report_rows").alias("r"))
     return df.select("doc_id", "decision", "r.*")
 
 
 @register(_DECIDED_SQL + " SELECT doc_id, CAST(n_ip AS INTEGER) AS n_ip, CAST(n_card AS INTEGER) AS n_card FROM r WHERE decision = 'block'")
 def route_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that two routes claim, which blocks them."""
-    df = _analysed(spark, sf_dir).where("decision = 'block'")
+    df = _analysed(spark, sf_dir, "request_id", "decision", "report_rows").where("decision = 'block'")
     count = lambda e: F.get(F.transform(F.filter("report_rows", lambda r: r.entity_type == e), lambda r: r.detected_count), F.lit(0))
     return df.select(F.col("request_id").cast("long").alias("doc_id"), count("IP_ADDRESS").alias("n_ip"), count("CREDIT_CARD_NUMBER").alias("n_card"))
 
@@ -379,13 +387,13 @@ def route_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(_DECIDED_SQL + " SELECT doc_id, CASE WHEN decision = 'reroute' THEN CASE WHEN n_ip > 0 THEN 'local-net' ELSE 'local-pay' END WHEN contains(text, '|') THEN 'table' WHEN contains(text, '!!') THEN 'loud' ELSE 'general' END AS route_class FROM r WHERE decision <> 'block'")
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route of every document: that of its entities, or its class."""
-    return _analysed(spark, sf_dir).where("decision <> 'block'").select(F.col("request_id").cast("long").alias("doc_id"), "route_class")
+    return _analysed(spark, sf_dir, "request_id", "decision", "route_class").where("decision <> 'block'").select(F.col("request_id").cast("long").alias("doc_id"), "route_class")
 
 
 @register(_DECIDED_SQL + f""" SELECT doc_id, CASE decision WHEN 'block' THEN '' WHEN 'reroute' THEN {_quoted(_DOCS.notice_rerouted)} WHEN 'apply_actions' THEN {_quoted(_DOCS.notice_masked)} ELSE {_quoted(decide.NOTHING)} END AS notice FROM r""")
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notice of every document."""
-    return _analysed(spark, sf_dir).select(F.col("request_id").cast("long").alias("doc_id"), F.array_join("response_notices", " ").alias("notice"))
+    return _analysed(spark, sf_dir, "request_id", "response_notices").select(F.col("request_id").cast("long").alias("doc_id"), F.array_join("response_notices", " ").alias("notice"))
 
 
 @register(_DECIDED_SQL + """ SELECT 'requests' AS metric, decision AS label, CAST(count(*) AS BIGINT) AS value FROM r GROUP BY decision
@@ -393,7 +401,7 @@ UNION ALL SELECT 'entities', entity_type, CAST(count(*) AS BIGINT) FROM h GROUP
 UNION ALL SELECT 'actions', act, CAST(count(*) AS BIGINT) FROM (SELECT unnest(CASE WHEN decision = 'block' THEN ['block'] ELSE list_filter([CASE WHEN n_mail > 0 THEN 'mask' END, CASE WHEN n_ip + n_card > 0 THEN 'reroute' END], lambda x: x IS NOT NULL) END) AS act FROM r) GROUP BY act""")
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters over all results."""
-    return sinks.counters(_analysed(spark, sf_dir))
+    return sinks.counters(_analysed(spark, sf_dir, "decision", "report_rows", "applied_actions", "error"))
 
 
 _SAFETY = dataclasses.replace(_DOCS, safety_custom=(("tables", r"\|\s+\w+\s+\|", "Tables are not allowed"), ("loud", r"(?i)the!!", "Too loud")))
@@ -457,12 +465,12 @@ def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("c_custkey", F.round("s.score", 6).alias("score"))
 
 
-@register(r"""SELECT conv_id, turn, list_filter([replace(lower(w), 'ß', 'ss') FOR w IN regexp_extract_all(text, '[\p{L}\p{N}]+')][-5:], lambda x: true) AS words FROM conversations WHERE role = 'user'""")
+@register(r"""SELECT conv_id, turn, list_filter([replace(lower(w), 'ß', 'ss') FOR w IN regexp_extract_all(text, '[\p{L}\p{N}]+')][-5:], lambda x: true) AS words FROM conversations""")
 def context_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last five words of each user turn."""
+    """The last five words of each turn."""
     index = context.words(F.col("text"))
     last = F.transform(F.slice(index, F.greatest(F.size(index) - 4, F.lit(1)), 5), lambda w: w.word)
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", last.alias("words"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", last.alias("words"))
 
 
 _TURNS_SQL = """t AS (SELECT conv_id, turn, CASE WHEN length(text) % 17 = 0 THEN 'block' WHEN length(text) % 5 = 0 THEN 'reroute' ELSE 'pass' END AS decision,
@@ -500,12 +508,7 @@ def sticky_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block of a user's session expires after six quiet hours."""
     place = F.struct("ts", "event_id")
     df = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.when(F.col("value") > 90, "block").otherwise("pass").alias("decision"), F.lit(None).cast("string").alias("route_class"), place.alias("place"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.when(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp")) > 6 * 3600 * 1_000_000, 1).otherwise(0)
-    df = df.withColumn("ep", F.sum(gap).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("stretch", F.struct("user_id", "ep"))
-    return session.sticky(df, key="stretch", order="place").select("user_id", "event_id", "from_cache")
+    return session.sticky(df, key="user_id", order="place", time="ts", ttl_seconds=6 * 3600).select("user_id", "event_id", "from_cache")
 
 
 def _chat_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -706,5 +709,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     pol = P.Policy(default_action="pass", entity_policies=tuple(P.EntityPolicy(e, "mask") for e in PLAIN))
     got = Engine(pol, detect.deterministic(PLAIN), KEYS).analyze_documents(table(spark, sf_dir, "documents"))
     return got.select(F.col("request_id").cast("long").alias("doc_id"), "decision", F.get(F.col("segments"), F.lit(0)).getField("text").alias("text"), "report_rows", "overlap_count")
-
-

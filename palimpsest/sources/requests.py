@@ -10,7 +10,7 @@ SEGMENTS = "array<struct<id:string,text:string>>"
 REQUEST: tuple[tuple[str, str, object], ...] = (
     ("request_id", "string", None), ("request_kind", "string", "chat"), ("scope", "string", "session"), ("session_key", "string", None), ("placeholder_namespace", "string", None),
     ("text_pii_enabled", "boolean", True), ("attachments_present", "boolean", False), ("face_status", "string", None), ("face_count", "int", None),
-    ("mcp_sources", "array<string>", None), ("destination_model", "string", None), ("segments", SEGMENTS, None),
+    ("mcp_sources", "array<string>", None), ("destination_model", "string", None), ("cached_decision", "string", None), ("cached_route", "string", None), ("segments", SEGMENTS, None),
 )
 
 
@@ -38,7 +38,7 @@ def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def pages(df: DataFrame) -> DataFrame:
     """One request per web page, its markup reduced to text."""
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " "), r"<[^>]*>", " ")
     return documents(df.select("page_id", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text")), "page_id")
 
 

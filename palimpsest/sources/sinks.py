@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ADAPTER_BYTES, STUDIO_BYTES, BODY_BYTES = 10 << 20, 10 << 20, 5 << 20
 
@@ -34,6 +37,29 @@ def counters(results: DataFrame) -> DataFrame:
     return each.groupBy("x.metric", "x.label").agg(F.sum("x.value").alias("value"))
 
 
-def percentile(values: DataFrame, column: str, quantile: float) -> DataFrame:
-    """Nearest-rank percentile: the value whose rank is the quantile's share of the rows, rounded up."""
-    return values.select(F.percentile_disc(column, quantile).alias("value")) if hasattr(F, "percentile_disc") else values.agg(F.expr(f"percentile_disc({quantile}) within group (order by {column})").alias("value"))
+def percentile(values: DataFrame, column: str, quantile: float, most: int = 100_000) -> DataFrame:
+    """Nearest-rank percentile, exact: the value whose rank is the quantile's share of the rows, rounded up; no row if there is no value.
+
+    Approximate quantiles narrow the range round after round, counts below it are exact, and only when it holds ``most`` distinct
+    values or fewer are these ordered. Jobs run when this is called.
+    """
+    c, spark = F.col(column), values.sparkSession
+    rows, low, high = values.where(c.isNotNull()).select(c), None, None
+    n = rows.count()
+    rank = max(1, math.ceil(quantile * n))
+    below = 0
+    while n:
+        inside = rows if low is None else rows.where(c.between(low, high))
+        counts = inside.groupBy(column).agg(F.count("*").alias("n"))
+        if counts.limit(most + 1).count() <= most:
+            ordered = counts.orderBy(column).withColumn("to", F.sum("n").over(Window.orderBy(column)) + below)
+            return ordered.where(F.col("to") >= rank).orderBy(column).limit(1).select(c.alias("value"))
+        size = inside.count()
+        share = (rank - below) / size
+        a, b = inside.select(F.percentile_approx(column, [max(0.0, share - 0.001), min(1.0, share + 0.001)], 10_000)).first()[0]
+        under, upto = (rows.where(x).count() for x in (c < F.lit(a), c <= F.lit(b)))
+        if under < rank <= upto and (a, b) != (low, high):
+            low, high, below = a, b, under
+        else:  # the range cannot be narrowed further
+            most = size
+    return spark.createDataFrame([], T.StructType([T.StructField("value", rows.schema[column].dataType)]))

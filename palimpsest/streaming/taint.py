@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 DECISION = T.StructType([T.StructField("decision", T.StringType()), T.StructField("route", T.StringType()), T.StructField("kind", T.StringType())])
-OUTPUT = "session_key string, seq long, final_decision string, final_route string, from_cache boolean"
+OUTPUT = "session_key string, seq long, final_decision string, final_route string, from_cache boolean, session_error string"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,11 +45,12 @@ class Taint(StatefulProcessor):
         state = (held[0], held[1]) if held else None
         kind = held[2] if held else None
         for r in sorted(rows, key=lambda r: r.seq):
-            if kind is not None and r.request_kind != kind:
-                raise ValueError("a session holds requests of one kind")
+            if kind is not None and r.request_kind != kind:  # an error of this request; the session stays as it was
+                yield Row(session_key=key[0], seq=r.seq, final_decision=None, final_route=None, from_cache=False, session_error="request_kind")
+                continue
             state, decision, route, cached = step(state, r.decision, r.route_class)
             kind = r.request_kind if state else kind
-            yield Row(session_key=key[0], seq=r.seq, final_decision=decision, final_route=route, from_cache=cached)
+            yield Row(session_key=key[0], seq=r.seq, final_decision=decision, final_route=route, from_cache=cached, session_error=None)
         if state:
             self.state.update((state[0], state[1], kind))
 
