@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalog import CONTEXT, INFLECTIONS, STOP_WORDS
+from .literals import mapping, strings
 from .spans import found
 
 
 def _fold(word: Column) -> Column:
     low = F.replace(F.lower(word), F.lit("ß"), F.lit("ss"))
-    folded = F.create_map(*[F.lit(x) for pair in INFLECTIONS.items() for x in pair])
-    return F.coalesce(F.element_at(folded, low), low)
+    return F.coalesce(F.element_at(mapping(INFLECTIONS), low), low)
 
 
 def words(text: Column) -> Column:
@@ -22,7 +22,7 @@ def words(text: Column) -> Column:
 
 def window(index: Column, start: Column, language: str, size: int = 5) -> Column:
     """The last ``size`` content words that begin before ``start``, for one language."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS.get(language, ())])
+    stop = strings(STOP_WORDS.get(language, ()))
     before = F.filter(index, lambda w: (w.start < start) & ~F.array_contains(stop, w.word))
     return F.transform(F.slice(before, F.greatest(F.size(before) - size + 1, F.lit(1)), size), lambda w: w.word)
 
@@ -33,7 +33,7 @@ def contains_phrase(window_: Column, phrase: str) -> Column:
     if not parts:
         return F.lit(False)
     n = len(parts)
-    wanted = F.array(*[F.lit(p) for p in parts])
+    wanted = strings(parts)
     places = F.when(F.size(window_) >= n, F.sequence(F.lit(1), F.size(window_) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.exists(places, lambda i: F.slice(window_, i, n) == wanted)
 

@@ -14,6 +14,8 @@ from re import _parser as syntax
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .literals import strings
+
 #: A condition: the text holds one of these literals; the empty set stands for a decimal digit.
 Needs = tuple[frozenset[str], ...]
 DIGIT: frozenset[str] = frozenset()
@@ -88,5 +90,10 @@ def possible(text: Column, pattern: str, low: Column | None = None) -> Column:
     """Whether the conditions of a pattern hold; ``low`` is the lowered text where the caller has it."""
     conditions, folded = needs(pattern)
     where = (low if low is not None else lowered(text)) if folded else text
-    one = lambda n: text.rlike(r"\p{Nd}") if n == DIGIT else reduce(lambda a, b: a | b, [F.contains(where, F.lit(x)) for x in sorted(n)])
+
+    def one(n: frozenset[str]) -> Column:
+        if n == DIGIT:
+            return text.rlike(r"\p{Nd}")
+        return F.contains(where, F.lit(next(iter(n)))) if len(n) == 1 else F.exists(strings(sorted(n)), lambda x: F.contains(where, x))
+
     return reduce(lambda a, b: a & b, [one(n) for n in conditions], F.lit(True))

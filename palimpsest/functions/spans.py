@@ -75,7 +75,7 @@ def running(values: Column, zero: Column, kind: str, merge: Callable[[Column, Co
         starts = F.filter(F.transform(v, lambda _, i: i), lambda i: i % width == 0)
         return let(F.transform(starts, lambda i: F.aggregate(F.slice(v, i + 1, width), empty, step)), joined)
 
-    return let(values, blocks)
+    return let(values, lambda v: F.when(F.size(v) <= width, F.aggregate(v, empty, step, lambda acc: acc.out)).otherwise(blocks(v)))
 
 
 def grouped(items: Column, first: Callable[[Column, Column], Column]) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from .. import catalog
 from ..functions import context, spans
 from ..functions.checks import CHECKS
+from ..functions.literals import mapping
 from ..functions.prefilter import possible
 from ..policy import Policy
 from .windows import adaptive
@@ -70,7 +71,7 @@ def layered(*detectors: Detector) -> Detector:
 
 def normalized_labels(spans_: Column, labels: dict[str, str] = catalog.LABELS, ignored: tuple[str, ...] = ()) -> Column:
     """Labels of another recognizer as catalogue entities; ignored labels are dropped."""
-    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    table = mapping(labels)
     kept = F.filter(spans_, lambda s: ~s.entity_type.isin(*ignored)) if ignored else spans_
     return F.transform(kept, lambda s: s.withField("entity_type", F.coalesce(F.element_at(table, s.entity_type), s.entity_type)))
 

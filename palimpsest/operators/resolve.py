@@ -12,21 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import catalog
+from ..functions.literals import mapping
 from ..functions.spans import distinct, grouped, let, running
 from ..policy import Policy
 
 LOGICAL = "struct<entity_type:string,start:int,end:int,score:double,source:string,owner_width:int>"
 
 
-def _literal_map(pairs: dict[str, Column]) -> Column | None:
-    return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]) if pairs else None
-
-
 def action_of(policy: Policy, entity: Column) -> Column:
     """The configured action of an entity, or the default (a literal map: policies are small)."""
-    table = _literal_map({e.entity_type: F.lit(e.action) for e in policy.entity_policies})
+    table = {e.entity_type: e.action for e in policy.entity_policies}
     default = F.lit(policy.default_action)
-    return default if table is None else F.coalesce(F.element_at(table, entity), default)
+    return F.coalesce(F.element_at(mapping(table), entity), default) if table else default
 
 
 def effective_action(policy: Policy, entity: Column, mcp: Column) -> Column:
@@ -37,14 +34,14 @@ def effective_action(policy: Policy, entity: Column, mcp: Column) -> Column:
 
 def route_of(policy: Policy, entity: Column) -> Column:
     """Route of a rerouted entity, or the default target."""
-    table = _literal_map({e.entity_type: F.lit(e.route_class) for e in policy.entity_policies if e.route_class})
+    table = {e.entity_type: e.route_class for e in policy.entity_policies if e.route_class}
     default = F.lit(policy.default_target)
-    return default if table is None else F.coalesce(F.element_at(table, entity), default)
+    return F.coalesce(F.element_at(mapping(table), entity), default) if table else default
 
 
 def strictness_of(action: Column) -> Column:
     """Rank of an action, 1 (pass) to 9 (block)."""
-    return F.element_at(_literal_map({k: F.lit(v) for k, v in catalog.STRICTNESS.items()}), action)
+    return F.element_at(mapping(catalog.STRICTNESS), action)
 
 
 def logical(spans: Column) -> Column:

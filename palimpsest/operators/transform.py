@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import digests
+from ..functions.literals import mapping
 from ..functions.spans import distinct
 from ..policy import Policy
 
@@ -55,12 +56,12 @@ def _params(policy: Policy, entity: Column) -> tuple[Column, Column, Column, Col
     for name in ("masking_char", "chars_to_mask", "from_end"):
         table = {e.entity_type: getattr(e, name) for e in policy.entity_policies}
         value = F.lit(getattr(default, name))
-        out.append(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), entity), value) if table else value)
+        out.append(F.coalesce(F.element_at(mapping(table), entity), value) if table else value)
     named = F.concat(F.lit("<"), entity, F.lit(">"))
     table = {e.entity_type: e.new_value or "<ENTITY>" for e in policy.entity_policies}
     fallback = F.lit(default.new_value) if default.new_value else named
     if table:
-        given = F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), entity)
+        given = F.element_at(mapping(table), entity)
         fallback = F.coalesce(F.replace(given, F.lit("<ENTITY>"), named), fallback)
     return out[0], out[1], out[2], fallback
 
