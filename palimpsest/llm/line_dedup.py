@@ -116,12 +116,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, text: str = "text", counts:
     hits = _run_lengths(hits) if counts else hits.withColumn("run_lines", F.lit(0))
     gone = hits.select(_D, _H, "run_lines", F.explode(F.sequence("seq", F.col("seq") + F.col("n") - 1)).alias("seq"))
     gone = gone.groupBy(_D, _H).agg(F.collect_set("seq").alias("__gone"), F.max("run_lines").alias("__longest"))
-    keyed = docs.withColumn(_H, F.xxhash64(f"`{text}`"))
-    left = keyed.alias("l").join(gone.alias("g"), F.col("l.doc_id").eqNullSafe(F.col(f"g.{_D}")) & (F.col(f"l.{_H}") == F.col(f"g.{_H}")), "left")
-    lines = F.split(F.col(f"l.`{text}`"), "\n", -1)
-    kept = _let(lines, lambda ls: _let(_solid(ls), lambda at: F.array_join(F.transform(F.array_except(_places(ls), F.transform("__gone", lambda s: at[s])), lambda i: ls[i]), "\n")))
-    new: Column = F.when(F.col("__gone").isNull(), F.col(f"l.`{text}`")).otherwise(kept)
-    columns = [new.alias(c) if c == text else F.col(f"l.`{c}`") for c in docs.columns]
+    own = [f"__own{i}" for i in range(len(docs.columns))]  # so that no column is taken for one of these
+    at, key = F.col(f"l.{own[docs.columns.index(text)]}"), F.col(f"l.{own[docs.columns.index('doc_id')]}")
+    left = docs.toDF(*own).alias("l").join(gone.alias("g"), key.eqNullSafe(F.col(f"g.{_D}")) & (F.xxhash64(at) == F.col(f"g.{_H}")), "left")
+    lines = F.split(at, "\n", -1)
+    kept = _let(lines, lambda ls: _let(_solid(ls), lambda solid: F.array_join(F.transform(F.array_except(_places(ls), F.transform("__gone", lambda s: solid[s])), lambda i: ls[i]), "\n")))
+    new: Column = F.when(F.col("__gone").isNull(), at).otherwise(kept)
+    columns = [new.alias(c) if c == text else F.col(f"l.{o}").alias(c) for o, c in zip(own, docs.columns, strict=True)]
     if counts:
         n_lines = F.size(F.filter(lines, lambda x: x.rlike(r"\S")))
         columns += [F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__longest", F.lit(0)).cast("long").alias("longest_run")]

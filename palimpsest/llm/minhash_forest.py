@@ -442,6 +442,8 @@ def one_of_each(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     alone = F.when(F.col("n_shingles") == 0, key).alias("alone")
     least = _grouped(docs, p).groupBy("group", alone).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
     kept = least.select(F.struct("k.doc_id", "k.h").alias("__key"), F.col("alone").isNotNull().alias("__all"))
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
-    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return keyed.join(kept, "__key").withColumn("__place", place).where("__all OR __place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [f"__own{i}" for i in range(len(docs.columns))]  # so that no column is taken for one of these
+    at = {c: F.col(o) for o, c in zip(own, docs.columns, strict=True)}
+    keyed = docs.toDF(*own).withColumn("__key", F.struct(at["doc_id"].alias("doc_id"), F.xxhash64(at["text"]).alias("h")))
+    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*own)))
+    return keyed.join(kept, "__key").withColumn("__place", place).where("__all OR __place = 1").select(*own).toDF(*docs.columns)

@@ -156,7 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Gam:
         .select("doc_id", F.col("quality").cast("double").alias("quality")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    # of a doc_id that repeats, the text with the least hash is learnt from
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("quality", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Gam:
                 x = features(t)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality double, x array<double>").dropDuplicates(["doc_id"]).toArrow()
+    got = rows.mapInArrow(run, schema).toArrow()
     order = np.argsort(got.column(0).to_numpy(), kind="stable")
     x = got.column(2).combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if len(order) else np.empty((0, len(FEATURES)))
     return fit(x[order], got.column(1).to_numpy()[order])

@@ -53,6 +53,18 @@ def test_classifier_edges(spark):
     assert quality_gam.score(spark.createDataFrame([], SCHEMA), model).count() == 0
 
 
+def test_classifier_repeats_and_clashes(spark):
+    r = random.Random(8)
+    rows = [(f"d{i}", " ".join(r.choice(["fine", "words,", "here."] if i % 2 else ["!!!", "|", "X"]) for _ in range(40))) for i in range(60)]
+    labels = spark.createDataFrame([(d, int(d[1:]) % 2) for d, _ in rows], "doc_id string, quality int")
+    docs = spark.createDataFrame([*rows, *rows, (rows[1][0], "another text"), (None, "x" * 200_000)], "doc_id string, text string").withColumn("quality", F.lit("clash")).withColumn("x", F.lit(1))
+    one, two = (quality_gam.train(d, labels) for d in (docs, docs.repartition(5)))
+    a, b = (sorted(map(key, quality_gam.score(docs, m).collect())) for m in (one, two))
+    assert a == b and len(a) == 122
+    got = {x.doc_id: x.predicted for x in quality_gam.score(docs.limit(60), one).collect()}
+    assert np.mean([got[d] == int(d[1:]) % 2 for d, _ in rows]) > 0.9
+
+
 # 2
 def edits(item, words):
     row = list(range(len(item) + 1))

@@ -79,3 +79,28 @@ def test_one_row_of_each_group_stays(spark):
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(d, t, "en", s, 0) for d, t, s in rows], SCHEMA), "").collect()
     assert Counter(x.text.split()[0][0] if x.text else "" for x in got) == Counter({"w": 1, "x": 1, "y": 1, "o": 1, "": 2})
     assert [x.doc_id for x in got if x.text[:1] == "w"] == [1]
+
+
+def test_stages_take_repeats_long_texts_and_extra_columns(spark, tmp_path):
+    r = random.Random(12)
+    item = words(r, 30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = "\n".join(words(r, 12) for _ in range(6000))
+    base = words(r, 120)
+    near = " ".join("changed" if i == 60 else w for i, w in enumerate(base.split()))
+    rows = [(1, base), (2, near), (3, long), (3, long), (4, words(r, 60) + " " + item), (None, words(r, 80)), (None, words(r, 80)), (5, None), (6, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA)
+    clash = ("n_words", "failure_bits", "item_ids", "short_item_ids", "cid", "group", "seq", "total", "first", "h", "__key", "__place", "__gone", "__longest")
+    for c in clash:
+        docs = docs.withColumn(c, F.lit(c))
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got[name] = out.collect()
+        assert all(x[c] == c for x in got[name] for c in clash)
+    ids = {name: Counter(x.doc_id for x in kept) for name, kept in got.items()}
+    assert ids["quality_rules"] == Counter({1: 1, 2: 1, 3: 2, 4: 1, None: 2})
+    assert ids["near_dedup"] == Counter({1: 1, 3: 1, 4: 1, None: 2, 5: 1, 6: 1}) and 2 not in ids["near_dedup"]
+    assert ids["decontamination"] == Counter({1: 1, 2: 1, 3: 2, None: 2, 5: 1, 6: 1})
+    assert {x.doc_id: x.text for x in got["line_dedup"]}[3] == long
