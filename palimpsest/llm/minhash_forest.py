@@ -63,8 +63,8 @@ class Forest:
     trees: int = 28
     depth: int = 4
     loss: float = 1e-9
-    #: Least and largest number of classes in a block; in between it grows with the square root of the group.
-    block: int = 128
+    #: Least and largest number of classes in a block; in between it grows with the square root of the group. A task holds two blocks.
+    block: int = 1024
     most: int = 1024
     #: Classes of a region up to which it is searched one value less deep, and from which it is taken whole.
     sparse: int = 32
