@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import written
-from .text import Texts, chunks, ragged, span_hash
+from .text import SpanIndex, Texts, chunks, ragged
 
 END_ID = 0
-#: Words kept per worker (some 40 bytes each); the table starts afresh beyond it.
+#: Words kept per worker (some 60 bytes each); the table starts afresh beyond it.
 MAX_WORDS = 2_000_000
 
 
@@ -47,24 +47,17 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.index = SpanIndex()
         self.begin, self.size, self.flat, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def ids(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents, each followed by the end id, and the id bounds by document."""
         starts, ends, bounds = t.words()
-        keys = span_hash(t.data, starts, ends)
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > MAX_WORDS:
+        if len(self.index) > MAX_WORDS:
             self._clear()
-        at = np.searchsorted(self.keys, unique)
-        new = np.ones(len(unique), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != unique[inside]
-        if new.any():
-            words = [t.data[a:b].tobytes().decode() for a, b in zip(starts[first[new]], ends[first[new]], strict=True)]
-            self._add(unique[new], [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
-        entry = self.at[np.searchsorted(self.keys, unique)][back] if len(unique) else np.zeros(0, np.int64)
+        entry, new = self.index.numbers(t.data, starts, ends)
+        if new:
+            self._add([e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)])
         # the end id takes the place of one more word in each document
         n_words, n_docs = len(starts), len(t)
         place = np.arange(n_words) + np.repeat(np.arange(n_docs), np.diff(bounds))
@@ -77,19 +70,15 @@ class WordIds:
         ids[total[1:][stop] - 1] = END_ID
         return ids, np.concatenate([[0], total[1:][stop]])
 
-    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+    def _add(self, ids: list[list[int]]) -> None:
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))
         if self.n + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.n], np.zeros(max(len(self.flat), len(flat)), np.uint32)])
         self.flat[self.n : self.n + len(flat)] = flat
-        entry = len(self.size) + np.arange(len(keys))
         self.begin = np.concatenate([self.begin, self.n + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.n += len(flat)
-        keys, at = np.concatenate([self.keys, keys]), np.concatenate([self.at, entry])
-        order = np.argsort(keys)
-        self.keys, self.at = keys[order], at[order]
 
 
 @lru_cache(4)

@@ -6,10 +6,10 @@ encode independently. The dynamic program therefore runs on units: the count at
 count at its start plus the unit's own, and within a unit the counts of its prefixes follow the
 chain of last tokens (a token extends a prefix if the two last tokens encode to themselves).
 The stored program of a text is one signed byte per character, by how much the count of the prefix that ends there differs from that of the
-prefix before it; running sums answer truncation and budget questions without encoding again.
+prefix before it (four bytes each, little-endian, in a text where a step needs more); running sums answer truncation and budget questions without encoding again.
 
 Units are worked out once per worker, new ones in alphabetical order, so that each goes on from what it shares with the
-one before it; a bounded table keyed by a 64-bit hash of the unit keeps their programs. The library's own count of each whole unit is
+one before it; a bounded table, looked up by hash and confirmed byte by byte, keeps their programs. The library's own count of each whole unit is
 compared; a unit on which the two differ is encoded prefix by prefix.
 
 Defined results: a null text counts as empty and has 0 tokens; a text of spaces only has the
@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
-from .text import Texts, chunks, mix, ragged, span_hash
+from .text import SpanIndex, Texts, chunks, ragged
 
 #: Units, and characters of their programs, kept per worker (about 16 bytes and one); the table starts afresh beyond it.
 MAX_UNITS, MAX_CHARS = 2_000_000, 64_000_000
+#: Steps from -BYTE to BYTE - 1 are one byte; half of that for a text's first, which two steps are added up in.
+BYTE = 64
 _MARK = "▁".encode()
 
 
@@ -60,7 +62,7 @@ class PrefixCounter:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.index = SpanIndex()
         self.begin, self.size, self.values, self.flat, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.int8), 0
 
     def units(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,21 +87,14 @@ class PrefixCounter:
         starts, ends, lead, bounds = self.units(t)
         # the mark of the first space (or of the prefix that the model adds) is added by encoding
         inner = np.where(lead, starts, starts + 1)
-        keys = span_hash(t.data, inner, ends)
-        empty = inner == ends
-        keys = np.where(empty, mix(np.zeros(1, np.uint64))[0], keys)
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > MAX_UNITS or self.n > MAX_CHARS:
+        if len(self.index) > MAX_UNITS or self.n > MAX_CHARS:
             self._clear()
-        at = np.searchsorted(self.keys, unique)
-        new = np.ones(len(unique), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != unique[inside]
-        if new.any():
-            self._add(unique[new], [t.data[a:b].tobytes().decode() for a, b in zip(inner[first[new]], ends[first[new]], strict=True)])
-        return ends, lead, bounds, self.at[np.searchsorted(self.keys, unique)][back] if len(unique) else np.zeros(0, np.int64)
-
-    def _add(self, keys: np.ndarray, units: list[str]) -> None:
+        entry, new = self.index.numbers(t.data, inner, ends)
+        if new:
+            self._add([u.decode() for u in new])
+        return ends, lead, bounds, entry
+
+    def _add(self, units: list[str]) -> None:
         known = [len(x) if u else 1 for u, x in zip(units, self.model.encode(units, num_threads=1), strict=True)]
         programs: list[list[int]] = [[]] * len(units)
         state: tuple[str, list[int], list[str | None]] = ("", [0], [None])
@@ -113,15 +108,13 @@ class PrefixCounter:
         steps = np.diff(flat, prepend=0)
         begin = np.cumsum(size) - size
         steps[begin[1:]] = flat[begin[1:]]
+        if len(steps) and self.flat.dtype != np.int32 and not -BYTE <= steps.min() <= steps.max() < BYTE:
+            self.flat = self.flat.astype(np.int32)
         if self.n + len(steps) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.n], np.zeros(max(len(self.flat), len(steps)), np.int8)])
+            self.flat = np.concatenate([self.flat[: self.n], np.zeros(max(len(self.flat), len(steps)), self.flat.dtype)])
         self.flat[self.n : self.n + len(steps)] = steps
-        entry = len(self.size) + np.arange(len(keys))
         self.begin, self.size, self.values = np.concatenate([self.begin, self.n + begin]), np.concatenate([self.size, size]), np.concatenate([self.values, np.array(known, np.int64)])
         self.n += len(steps)
-        keys, at = np.concatenate([self.keys, keys]), np.concatenate([self.at, entry])
-        order = np.argsort(keys)
-        self.keys, self.at = keys[order], at[order]
 
     def counts(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit ends (bytes), cumulative token counts at them within their document, and unit bounds by document."""
@@ -130,7 +123,7 @@ class PrefixCounter:
         return ends, total[1:] - np.repeat(total[bounds[:-1]], np.diff(bounds)), bounds
 
     def program(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Steps of the count from character to character (int8) of all documents, and their character bounds."""
+        """Steps of the count from character to character of all documents, and their character bounds."""
         _, lead, bounds, entry = self._entries(t)
         # a unit that opens a document has the model's mark, which is no character of the text: its step is carried into the next
         begin, size = self.begin[entry] + lead, self.size[entry] - lead
@@ -206,10 +199,22 @@ def unmarked(t: Texts) -> Texts:
     return Texts(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
 
 
+def stored(steps: np.ndarray) -> bytes:
+    """One byte a step, or four where one is too small."""
+    if steps.dtype != np.int8 and len(steps) and not -128 <= steps.min() <= steps.max() < 128:
+        return steps.astype("<i4").tobytes()
+    return steps.astype(np.int8).tobytes()
+
+
+def steps_of(program: bytes, n_chars: int) -> np.ndarray:
+    """The steps of a stored program of a text of ``n_chars`` characters."""
+    return np.frombuffer(program, np.int8 if len(program) == n_chars else "<i4")
+
+
 def prefix_counts(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_chars, n_tokens and, if ``keep``, ``program``: the stored steps of the count, one signed byte per character."""
-    stored = [T.StructField("program", T.BinaryType())] if keep else []
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_chars", "n_tokens")], *stored])
+    program_field = [T.StructField("program", T.BinaryType())] if keep else []
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_chars", "n_tokens")], *program_field])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         program = counter(path)
@@ -220,7 +225,7 @@ def prefix_counts(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
                 total = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
                 columns = [b.column(0).slice(i, j - i), pa.array(sizes), pa.array(np.diff(bounds)), pa.array(total[bounds[1:]] - total[bounds[:-1]])]
                 if keep:
-                    columns.append(pa.array([steps[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
+                    columns.append(pa.array([stored(steps[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -233,8 +238,8 @@ def answers(programs: DataFrame, budget: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fits = []
-            for steps in b.column("program").to_pylist():
-                within = np.flatnonzero(np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64) <= budget)
+            for program, n_chars in zip(b.column("program").to_pylist(), b.column("n_chars").to_pylist(), strict=True):
+                within = np.flatnonzero(np.cumsum(steps_of(program, n_chars), dtype=np.int64) <= budget)
                 fits.append(int(within[-1]) + 1 if len(within) else 0)  # counts can fall as a text grows: the last, not the first excess
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in schema.names[:-1]], pa.array(fits, pa.int64())], names=schema.names)
 
@@ -242,10 +247,15 @@ def answers(programs: DataFrame, budget: int) -> DataFrame:
 
 
 def longest_within(budget: Column | int) -> Column:
-    """From a stored program: characters of the longest prefix with at most ``budget`` tokens."""
+    """From a stored program (columns ``program`` and ``n_chars``): characters of the longest prefix with at most ``budget`` tokens."""
     budget = budget if isinstance(budget, Column) else F.lit(budget)
-    signed = lambda h: F.conv(h, 16, 10).cast("int")
-    steps = F.transform(F.regexp_extract_all(F.hex("program"), F.lit(".."), F.lit(0)), lambda h: F.when(signed(h) > 127, signed(h) - 256).otherwise(signed(h)))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+    wide = F.octet_length("program") > F.col("n_chars")
+    number = lambda h: F.conv(h, 16, 10).cast("long")
+    byte = lambda h: F.when(number(h) > 127, number(h) - 256).otherwise(number(h))
+    four = lambda h: F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
+    word = lambda h: F.when(number(four(h)) > 0x7FFFFFFF, number(four(h)) - (1 << 32)).otherwise(number(four(h)))
+    cut = lambda n: F.regexp_extract_all(F.hex("program"), F.lit("." * n), F.lit(0))
+    steps = F.when(wide, F.transform(cut(8), word)).otherwise(F.transform(cut(2), byte))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("best"))
     step = lambda a, x: F.struct((a.i + 1).alias("i"), (a.n + x).alias("n"), F.when(a.n + x <= budget, a.i + 1).otherwise(a.best).alias("best"))
     return F.aggregate(steps, start, step, lambda a: a.best)

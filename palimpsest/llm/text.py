@@ -4,8 +4,9 @@ Everything works on the buffers of an Arrow string column: no Python object is m
 word. A word is a maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D``; those bytes
 never occur inside a multi-byte UTF-8 sequence, so byte-level splitting is exact.
 
-Hashes are 64-bit polynomials over random byte codes (generated by a fixed rule, so every
-executor and every run agrees), finished with an avalanche step.
+Hashes are 64 bits: spans are read in lanes of eight bytes, each lane mixed in by a bijection (so
+spans of one length up to eight bytes never share a hash), long ones by xxh3; windows join the
+hashes of shorter runs. All is fixed, so every executor and every run agrees.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step handles; a single longer document is a step of its own.
@@ -35,73 +37,86 @@ def mix(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> U64(31))
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = 1 << max(12, (n - 1).bit_length())
-            out = []
-            for b in (self.base, self.inverse):
-                x = np.full(size, b, U64)
-                x[0] = 1
-                with np.errstate(over="ignore"):
-                    out.append(np.multiply.accumulate(x))
-            self.up, self.down = out
-        return self.up[:n], self.down[:n]
+#: Spans over this many bytes are hashed one by one; shorter ones in lanes of eight bytes, all at once.
+LONG = 64
+_LANE = U64(0xA0761D6478BD642F)
+_JOIN = U64(0xD1342543DE82EF93)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 
-_BYTES, _WORDS = _Powers(0x9E3779B97F4A7C1B), _Powers(0xD1342543DE82EF93)
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
-_CODES: dict[tuple[int, bool], np.ndarray] = {}
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on, as one number; the last eight places have none."""
+    return np.ndarray(max(len(data) - 7, 0), "<u8", data, strides=(1,)) if len(data) else np.empty(0, U64)
 
 
-def _codes(seed: int, lower: bool) -> np.ndarray:
-    if (seed, lower) not in _CODES:
-        t = splitmix(0xC0DE + seed, 256)
-        _CODES[seed, lower] = t[_LOWER] if lower else t
-    return _CODES[seed, lower]
+def padded(data: np.ndarray) -> np.ndarray:
+    """``data`` with the spare bytes that the lanes of its last places read."""
+    return np.concatenate([data, np.zeros(8, np.uint8)])
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, seed: int = 0, lower: bool = False) -> np.ndarray:
     """64-bit hash of each byte span of ``data``; equal bytes give equal hashes wherever they stand."""
-    up, down = _BYTES.get(len(data) + 1)
+    data = padded(_LOWER[data] if lower else data)
+    lanes, size = _lanes(data), ends - starts
     with np.errstate(over="ignore"):
-        acc = np.empty(len(data) + 1, U64)
-        acc[0] = 0
-        np.cumsum(_codes(seed, lower)[data] * up[:-1], out=acc[1:])
-        h = (acc[ends] - acc[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
+        h = mix(size.astype(U64) * _LANE + U64(seed))
+    h = mix(h ^ (lanes[starts] & _MASK[np.minimum(size, 8)]))
+    active, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(active):
+        rest = size[active] - at
+        h[active] = mix(h[active] ^ (lanes[starts[active] + at] & _MASK[np.minimum(rest, 8)]))
+        active, at = active[rest > 8], at + 8
+    if len(big := np.flatnonzero(size > LONG)):
+        view = memoryview(data)
+        h[big] = np.fromiter((xxh3_64_intdigest(view[a:b], seed) for a, b in zip(starts[big].tolist(), ends[big].tolist(), strict=True)), U64, len(big))
+    return h
+
+
+def spans_equal(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``size`` bytes agree byte by byte; both buffers are ``padded``."""
+    x, y = _lanes(a), _lanes(b)
+    same = (x[a_starts] ^ y[b_starts]) & _MASK[np.minimum(size, 8)] == 0
+    active, at = np.flatnonzero(same & (size > 8) & (size <= LONG)), 8
+    while len(active):
+        rest = size[active] - at
+        good = (x[a_starts[active] + at] ^ y[b_starts[active] + at]) & _MASK[np.minimum(rest, 8)] == 0
+        same[active] = good
+        active, at = active[good & (rest > 8)], at + 8
+    for i in np.flatnonzero(same & (size > LONG)).tolist():
+        same[i] = np.array_equal(a[a_starts[i] : a_starts[i] + size[i]], b[b_starts[i] : b_starts[i] + size[i]])
+    return same
+
+
+def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(x * _JOIN + y)
 
 
 def window_hash(words: np.ndarray, width: int) -> np.ndarray:
     """64-bit hash of each run of ``width`` consecutive word hashes (``len - width + 1`` of them)."""
-    n = len(words)
-    if n < width:
+    n = len(words) - width + 1
+    if n < 1:
         return np.empty(0, U64)
-    up, down = _WORDS.get(n + 1)
-    with np.errstate(over="ignore"):
-        acc = np.empty(n + 1, U64)
-        acc[0] = 0
-        np.cumsum(words * up[:n], out=acc[1:])
-        return mix((acc[width:] - acc[: n - width + 1]) * down[: n - width + 1] + U64(width))
+    # runs of 1, 2, 4, ... words, put together where the width has that bit
+    out, done, power, size = None, 0, words, 1
+    while True:
+        if width & size:
+            part = power[done : done + n]
+            out = part if out is None else _joined(out, part)
+            done += size
+        if done == width:
+            with np.errstate(over="ignore"):
+                return mix(out + U64(width))
+        power, size = _joined(power[:-size], power[size:]), 2 * size
 
 
 def sequence_hash(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """64-bit hash of the word hashes between consecutive ``bounds``."""
-    n = len(words)
-    up, down = _WORDS.get(n + 1)
-    with np.errstate(over="ignore"):
-        acc = np.empty(n + 1, U64)
-        acc[0] = 0
-        np.cumsum(words * up[:n], out=acc[1:])
-        a, b = bounds[:-1], bounds[1:]
-        return mix((acc[b] - acc[a]) * down[a] + (b - a).astype(U64) * U64(0x9FB21C651E98DF25))
+    view = memoryview(np.ascontiguousarray(words))
+    at = bounds.tolist()
+    return np.fromiter((xxh3_64_intdigest(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)), U64, len(at) - 1)
 
 
 class Texts:
@@ -131,6 +146,61 @@ class Texts:
         return starts, ends, np.searchsorted(starts, off)
 
 
+class SpanIndex:
+    """Numbers of distinct byte spans, kept from call to call: looked up by hash, confirmed byte by byte."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at = np.empty(0, U64), np.empty(0, np.int64)
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.text, self.used = np.zeros(1 << 16, np.uint8), 0
+        #: Spans whose hash another span has.
+        self.odd: dict[bytes, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def _keep(self, spans: list[bytes]) -> np.ndarray:
+        size = np.fromiter(map(len, spans), np.int64, len(spans))
+        total = int(size.sum())
+        if self.used + total + 8 > len(self.text):
+            self.text = np.concatenate([self.text[: self.used], np.zeros(max(len(self.text), total) + 8, np.uint8)])
+        self.text[self.used : self.used + total] = np.frombuffer(b"".join(spans), np.uint8)
+        numbers = len(self.begin) + np.arange(len(spans))
+        self.begin, self.size = np.concatenate([self.begin, self.used + np.cumsum(size) - size]), np.concatenate([self.size, size])
+        self.used += total
+        return numbers
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each span of ``data``, and the spans that are new, in the order of their numbers."""
+        if not len(starts):
+            return np.empty(0, np.int64), []
+        unique, first, back = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, unique)
+        new = np.ones(len(unique), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != unique[inside]
+        fresh = [data[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+        if fresh:
+            keys, at = np.concatenate([self.keys, unique[new]]), np.concatenate([self.at, self._keep(fresh)])
+            order = np.argsort(keys)
+            self.keys, self.at = keys[order], at[order]
+        found = self.at[np.searchsorted(self.keys, unique)][back]
+        size = ends - starts
+        same = self.size[found] == size
+        ok = np.flatnonzero(same)
+        same[ok] = spans_equal(padded(data), starts[ok], self.text, self.begin[found[ok]], size[ok])
+        for i in np.flatnonzero(~same).tolist():
+            span = data[starts[i] : ends[i]].tobytes()
+            if span not in self.odd:
+                self.odd[span] = int(self._keep([span])[0])
+                fresh.append(span)
+            found[i] = self.odd[span]
+        return found, fresh
+
+
 def chunks(column: pa.ChunkedArray | pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Texts]]:
     """``(first row, end row, Texts)`` over a string column, each of about ``limit`` bytes, covering every row."""
     if isinstance(column, pa.ChunkedArray):

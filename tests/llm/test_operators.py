@@ -378,6 +378,8 @@ def test_budget_answers_equal_brute_force(spark):
         want = [(d, max((k for k in range(len(t or "") + 1) if len(c.model.encode((t or "")[:k])) <= budget), default=0)) for d, t in rows]
         assert sorted(((x.doc_id, x.fits) for x in prefix_tokens.answers(table, budget).collect()), key=key) == sorted(want, key=key)
         assert sorted(((x.doc_id, x.cut) for x in table.withColumn("cut", prefix_tokens.longest_within(budget)).collect()), key=key) == sorted(want, key=key)
+    wide = table.withColumn("program", F.when(F.col("doc_id") == 50, F.lit(b"".join(int(x).to_bytes(4, "little", signed=True) for x in (300, -299, *[0] * (len(rows[-3][1]) - 2))))).otherwise(F.col("program"))).where("doc_id = 50")
+    assert [(x.cut, x.fits) for x in prefix_tokens.answers(wide, 30).join(wide.withColumn("cut", prefix_tokens.longest_within(30)).select("doc_id", "cut"), "doc_id").collect()] == [(len(rows[-3][1]),) * 2]
     assert prefix_tokens.answers(table.limit(0), 5).count() == 0
 
 
