@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, feistel_shards, line_dedup, minhash_forest, packing, pii_surrogates, prefix_tokens, quality_gam, quality_rules, substring_dedup
+from . import decontam, divergence, feistel_shards, line_dedup, minhash_forest, mixing, packing, pii_surrogates, prefix_tokens, quality_gam, quality_rules, resampling, substring_dedup
 from .store import written
 
 
@@ -75,9 +75,24 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix of all sources takes."""
+    return mixing.taken(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every pair of sources of a language, and the terms that set each source apart."""
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance score of every document towards the benchmark's texts, and the ranks of those drawn."""
+    return resampling.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_gam, op2_cgk_decontamination, op3_fixed_block_anchors, op4_rule_ledger, op5_feistel_shards, op6_pii_surrogates, op7_prefix_tokens, op8_line_runs, op9_best_fit_packing, op10_minhash_forest)
+    for f in (op1_quality_gam, op2_cgk_decontamination, op3_fixed_block_anchors, op4_rule_ledger, op5_feistel_shards, op6_pii_surrogates, op7_prefix_tokens, op8_line_runs, op9_best_fit_packing, op10_minhash_forest, op11_mixed_blocks, op12_divergence_audit, op13_target_resampling)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -142,3 +157,36 @@ g AS (SELECT DISTINCT doc_id, seq + j AS seq FROM f, (SELECT unnest([0, 1, 2]) A
 k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.seq IS NULL) AS kept, count(q.seq) AS n_lines, count(g.seq) AS n_removed
       FROM l LEFT JOIN q ON l.doc_id = q.doc_id AND l.pos = q.pos LEFT JOIN g ON q.doc_id = g.doc_id AND q.seq = g.seq GROUP BY l.doc_id)
 SELECT s.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256 FROM s LEFT JOIN k ON s.doc_id = k.doc_id LEFT JOIN x ON s.doc_id = x.doc_id"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE_SQL["op12_divergence_audit"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+c AS (SELECT id, lang, source, term, count(*) AS n FROM (SELECT id, lang, source, unnest(words) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS ln FROM c GROUP BY lang, term HAVING count(*) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(ln) AS lw FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, term, sum(n) AS n FROM c SEMI JOIN k USING (lang, term) GROUP BY ALL),
+gw AS (SELECT lang, source, sum(n) AS w FROM gn GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(gn.n, 0) AS n, 1 + (1000000000 * (coalesce(gn.n, 0) + 2)) // (coalesce(gw.w, 0) + 2 * l.v) AS p, 1 + (1000000000 * (k.ln + 2)) // (l.lw + 2 * l.v) AS q
+      FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN gw ON gw.lang = g.lang AND gw.source = g.source LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source AND gn.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+x AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM x WHERE part = 'pair' OR rank <= 10"""
+ORACLE_SQL["op13_target_resampling"] = rf"""
+WITH a AS (SELECT row_number() OVER () AS id, doc_id, text, true AS have FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, false FROM benchmark),
+w AS (SELECT id, doc_id, have, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM a),
+u AS (SELECT id, have, unnest(words) AS word FROM w),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
+b AS (SELECT word, xor(list_reduce([4294967295] || [CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode(word)), '..')], lambda c, x: xor(steps[xor(c, x) % 256 + 1], c // 256)), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT word FROM u), crc),
+f AS (SELECT id, have, bucket, count(*) AS n FROM u JOIN b USING (word) GROUP BY ALL),
+t AS (SELECT bucket, coalesce(sum(n) FILTER (have), 0) AS s, coalesce(sum(n) FILTER (NOT have), 0) AS t FROM f GROUP BY bucket),
+z AS (SELECT coalesce(sum(s), 0) AS sa, coalesce(sum(t), 0) AS ta FROM t),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sa + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(ta + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM t, z),
+k AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM f JOIN g USING (bucket) WHERE have GROUP BY id),
+x AS (SELECT w.id, w.doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+      CAST('0x' || substr(sha256('2024:' || coalesce(CAST(w.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN k ON w.id = k.id WHERE have),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM y)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN n_words >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM r"""
