@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..catalog import SUFFIXES
+from . import identifiers, phones, suffixes
 
 
 def digits(value: Column) -> Column:
@@ -44,23 +44,15 @@ def mod97(value: Column) -> Column:
     return F.aggregate(letters, F.lit(0), step) == 1
 
 
-def nhs(value: Column) -> Column:
-    """Health number: weights 10 to 2, eleven's complement of the remainder is the last digit (11 counts as 0, 10 is never valid)."""
-    d = digits(value)
-    weights = F.array(*[F.lit(w) for w in range(10, 1, -1)])
-    total = F.aggregate(F.zip_with(F.slice(d, 1, 9), weights, lambda a, b: a * b), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
-    return (F.size(d) == 10) & ((11 - total % 11) % 11 == F.element_at(d, -1))
-
-
 def phone(value: Column) -> Column:
-    """Eight to fifteen digits (a length rule; numbering plans are not part of this library)."""
-    n = F.size(digits(value))
-    return (n >= 8) & (n <= 15)
+    """A number of some country's numbering plan."""
+    return phones.valid(value)
 
 
 def suffix(value: Column) -> Column:
-    """The mail domain ends in a known suffix."""
-    return F.lower(F.substring_index(value, ".", -1)).isin(*SUFFIXES)
+    """The mail domain is a name under a public suffix."""
+    return suffixes.COMMON.registrable(F.substring_index(value, "@", -1))
 
 
-CHECKS: dict[str, Callable[[Column], Column]] = {"luhn": luhn, "octets": octets, "eleven": eleven, "mod97": mod97, "nhs": nhs, "phone": phone, "suffix": suffix}
+CHECKS: dict[str, Callable[[Column], Column]] = {"luhn": luhn, "octets": octets, "eleven": eleven, "mod97": mod97, "phone": phone, "suffix": suffix}
+CHECKS |= {name: kind.valid for name, kind in identifiers.IDENTIFIERS.items()}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import catalog
-from ..functions import context, spans
+from ..functions import context, identifiers, spans
 from ..functions.checks import CHECKS
 from ..functions.literals import mapping
 from ..functions.prefilter import possible
@@ -46,14 +46,21 @@ def _scored(text: Column, index: Column, rule: catalog.Rule, languages: tuple[st
     return F.transform(hits, one)
 
 
-def scored_rules(policy: Policy) -> Detector:
-    """Scored rules with checks and context, and the policy's custom recognizers.
+def country_rules(countries: tuple[str, ...]) -> list[catalog.Rule]:
+    """Rules for the national numbers of some countries, each with its check characters."""
+    if unknown := set(countries) - set(identifiers.COUNTRIES):
+        raise ValueError(f"no numbers of {sorted(unknown)}; known: {', '.join(identifiers.COUNTRIES)}")
+    return [catalog.Rule(x.entity, x.pattern, x.score, name, x.context) for name, x in identifiers.IDENTIFIERS.items() if x.country in countries]
+
+
+def scored_rules(policy: Policy, countries: tuple[str, ...] = ()) -> Detector:
+    """Scored rules with checks and context, the national numbers of ``countries``, and the policy's custom recognizers.
 
     Only selected entities are looked for, an invalid value scores nothing, context can raise a
     built-in rule's score, and what stays under the threshold is dropped.
     """
     selected, languages = set(policy.entities), policy.analyzer_languages
-    rules = [r for r in catalog.RULES if r.entity in selected]
+    rules = [r for r in (*catalog.RULES, *country_rules(countries)) if r.entity in selected]
     custom = [c for c in policy.custom_recognizers if c.entity in selected and set(c.languages) & set(languages)]
 
     def run(text: Column) -> Column:

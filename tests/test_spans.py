@@ -26,7 +26,7 @@ def test_offsets_equal_python(spark, text):
 
 @pytest.mark.parametrize(("check", "good", "bad"), [
     ("luhn", "4111 1111 1111 1111", "4111 1111 1111 1112"), ("mod97", "DE89370400440532013000", "DE88370400440532013000"),
-    ("eleven", "123456782", "123456783"), ("eleven", "123456782", "000000000"), ("octets", "192.0.2.1", "999.999.999.999"), ("nhs", "943 476 5919", "943 476 5918"),
+    ("eleven", "123456782", "123456783"), ("eleven", "123456782", "000000000"), ("octets", "192.0.2.1", "999.999.999.999"), ("UK_NHS", "943 476 5919", "943 476 5918"),
 ])
 def test_checks(spark, check, good, bad):
     assert one(spark, checks.CHECKS[check](F.col("t")), good) and not one(spark, checks.CHECKS[check](F.col("t")), bad)
