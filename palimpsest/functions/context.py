@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalog import CONTEXT, INFLECTIONS, STOP_WORDS
 from .literals import mapping, strings
-from .spans import found
+from .spans import found, let
 
 
 def _fold(word: Column) -> Column:
-    low = F.replace(F.lower(word), F.lit("ß"), F.lit("ss"))
+    # beyond lower case: letters that are one to a reader who ignores case
+    low = F.replace(F.translate(F.lower(word), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
     return F.coalesce(F.element_at(mapping(INFLECTIONS), low), low)
 
 
@@ -20,11 +24,35 @@ def words(text: Column) -> Column:
     return F.transform(found(text, r"[^\W_]+"), lambda m: F.struct(_fold(m.value).alias("word"), m.start.alias("start")))
 
 
+def content(index: Column, language: str) -> Column:
+    """The words that are no stop words of a language."""
+    stop = strings(STOP_WORDS.get(language, ()))
+    return F.filter(index, lambda w: ~F.array_contains(stop, w.word))
+
+
+def _begun(words_: Column, start: Column) -> Column:
+    """How many of the words, which are in order, begin before ``start``: found by halving."""
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(words_) + 1)).cast("int"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at.lo + at.hi) / 2).cast("int")
+        before = F.get(words_, middle).start < start
+        lo = F.when((at.lo < at.hi) & before, middle + 1).otherwise(at.lo)
+        hi = F.when((at.lo < at.hi) & ~before, middle).otherwise(at.hi)
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    return F.aggregate(halvings, F.struct(F.lit(0).alias("lo"), F.size(words_).alias("hi")), halve, lambda at: at.lo)
+
+
+def before(content_: Column, start: Column, size: int = 5) -> Column:
+    """The last ``size`` of the content words that begin before ``start``."""
+    last = lambda n: F.transform(F.slice(content_, F.greatest(n - size + 1, F.lit(1)), F.least(n, F.lit(size))), lambda w: w.word)
+    return let(_begun(content_, start), last)
+
+
 def window(index: Column, start: Column, language: str, size: int = 5) -> Column:
     """The last ``size`` content words that begin before ``start``, for one language."""
-    stop = strings(STOP_WORDS.get(language, ()))
-    before = F.filter(index, lambda w: (w.start < start) & ~F.array_contains(stop, w.word))
-    return F.transform(F.slice(before, F.greatest(F.size(before) - size + 1, F.lit(1)), size), lambda w: w.word)
+    return let(content(index, language), lambda words_: before(words_, start, size))
 
 
 def contains_phrase(window_: Column, phrase: str) -> Column:
@@ -38,13 +66,21 @@ def contains_phrase(window_: Column, phrase: str) -> Column:
     return F.exists(places, lambda i: F.slice(window_, i, n) == wanted)
 
 
-def supports(index: Column, start: Column, entity: str, languages: tuple[str, ...], own: tuple[str, ...] = ()) -> Column:
+def contents(index: Column, languages: tuple[str, ...]) -> Column:
+    """The content words of each language, as fields of one struct."""
+    return F.struct(*[content(index, language).alias(language) for language in languages])
+
+
+def _any_phrase(phrases: tuple[str, ...]) -> Callable[[Column], Column]:
+    return lambda near: reduce(lambda a, b: a | b, [contains_phrase(near, p) for p in phrases])
+
+
+def supports(contents_: Column, start: Column, entity: str, languages: tuple[str, ...], own: tuple[str, ...] = ()) -> Column:
     """Whether a context phrase of the entity (or of the rule's own) stands before ``start`` in some language."""
     out = F.lit(False)
     for language in languages:
-        near = window(index, start, language)
-        for phrase in (*own, *CONTEXT.get(entity, {}).get(language, ())):
-            out = out | contains_phrase(near, phrase)
+        if phrases := (*own, *CONTEXT.get(entity, {}).get(language, ())):
+            out = out | let(before(contents_[language], start), _any_phrase(phrases))
     return out
 
 

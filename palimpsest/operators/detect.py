@@ -34,13 +34,13 @@ def policy_patterns(policy: Policy) -> Detector:
     return lambda text: spans.union([spans.pattern_spans(text, e, p, 0.95, "policy-regex") for e, p in chosen])
 
 
-def _scored(text: Column, index: Column, rule: catalog.Rule, languages: tuple[str, ...]) -> Column:
+def _scored(text: Column, contents: Column, rule: catalog.Rule, languages: tuple[str, ...]) -> Column:
     hits = spans.found(text, rule.pattern)
     if rule.check:
         hits = F.filter(hits, lambda m: CHECKS[rule.check](m.value))
 
     def one(m: Column) -> Column:
-        near = context.supports(index, m.start, rule.entity, languages, rule.context)
+        near = context.supports(contents, m.start, rule.entity, languages, rule.context)
         return spans.span(rule.entity, m.start, m.end, F.when(near, context.boosted(rule.score)).otherwise(F.lit(rule.score)), "deterministic")
 
     return F.transform(hits, one)
@@ -64,7 +64,7 @@ def scored_rules(policy: Policy, countries: tuple[str, ...] = ()) -> Detector:
     custom = [c for c in policy.custom_recognizers if c.entity in selected and set(c.languages) & set(languages)]
 
     def run(text: Column) -> Column:
-        built = spans.let(context.words(text), lambda index: spans.union([_scored(text, index, r, languages) for r in rules])) if rules else spans.no_spans()
+        built = spans.let(spans.let(context.words(text), lambda index: context.contents(index, languages)), lambda c: spans.union([_scored(text, c, r, languages) for r in rules])) if rules else spans.no_spans()
         own = [spans.pattern_spans(text, c.entity, c.regex, c.score, "deterministic") for c in custom]
         return spans.best(F.filter(spans.union([built, *own]), lambda s: (s.score > 0) & (s.score >= policy.score_threshold)))
 
@@ -106,10 +106,16 @@ def above(spans_: Column, threshold: float) -> Column:
     return F.filter(spans_, lambda s: s.score >= threshold)
 
 
-def with_model(segments: DataFrame, model: SpanModel, text: str = "text", into: str = "spans", threshold: float = 0.0, entities: tuple[str, ...] | None = None) -> DataFrame:
-    """``segments`` with a model's spans of at least ``threshold``, in Arrow batches; malformed evidence (place, score, type, or an entity outside ``entities``) fails the query."""
-    schema = T.StructType([*[f for f in segments.schema.fields if f.name != into], T.StructField(into, T._parse_datatype_string(f"array<{spans.SPAN}>"))])
-    names = [f.name for f in schema.fields[:-1]]
+def with_model(segments: DataFrame, model: SpanModel, text: str = "text", into: str = "spans", threshold: float = 0.0, entities: tuple[str, ...] | None = None, errors: str | None = None) -> DataFrame:
+    """``segments`` with a model's spans of at least ``threshold``, in Arrow batches.
+
+    Malformed evidence (place, score, type, or an entity outside ``entities``) and a model that fails are never dropped: they end the query, or, with a
+    column named by ``errors``, become an error value of their row, which then has no spans. A batch that fails as a whole is asked text by text.
+    """
+    added = {into, errors} - {None}
+    fields = [f for f in segments.schema.fields if f.name not in added]
+    schema = T.StructType([*fields, T.StructField(into, T._parse_datatype_string(f"array<{spans.SPAN}>")), *([T.StructField(errors, T.StringType())] if errors else [])])
+    names = [f.name for f in fields]
 
     def checked(t: str, hit: tuple) -> dict:
         entity, start, end, score, source = hit
@@ -118,15 +124,37 @@ def with_model(segments: DataFrame, model: SpanModel, text: str = "text", into:
             raise ValueError(f"{model.name} returned an invalid span")
         return {"entity_type": entity, "start": start, "end": end, "score": float(score), "source": source}
 
+    def asked(texts: list[str]) -> list[list[dict]]:
+        found = model.find(texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{model.name} answered for {len(found)} of {len(texts)} texts")
+        return [[x for x in (checked(t, h) for h in hits) if x["score"] >= threshold] for t, hits in zip(texts, found, strict=True)]
+
+    def each(texts: list[str]) -> tuple[list[list[dict] | None], list[str | None]]:
+        """Spans and errors, one text at a time."""
+        rows, failed = [], []
+        for t in texts:
+            try:
+                rows += asked([t])
+                failed.append(None)
+            except Exception as e:  # the plug-in's own; its message may hold text, so only its kind is told
+                rows.append(None)
+                failed.append("invalid_evidence" if isinstance(e, (TypeError, ValueError)) else "model_failed")
+        return rows, failed
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("source", pa.string())]))
         for b in batches:
             texts = [t or "" for t in b.column(names.index(text)).to_pylist()]
-            found = model.find(texts)
-            if len(found) != len(texts):
-                raise ValueError(f"{model.name} answered for {len(found)} of {len(texts)} texts")
-            rows = [[x for x in (checked(t, h) for h in hits) if x["score"] >= threshold] for t, hits in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array(rows, kind)], names=schema.names)
+            failed: list[str | None] = [None] * len(texts)
+            try:
+                rows = asked(texts)
+            except Exception:
+                if errors is None:
+                    raise
+                rows, failed = each(texts)
+            told = [pa.array(failed, pa.string())] if errors else []
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array(rows, kind), *told], names=schema.names)
 
     return segments.select(*names).mapInArrow(run, schema)
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.digests import hmac_sha256
-from ..functions.spans import SPAN, let
+from ..functions.spans import SPAN, let, span
 
 #: Default window and overlap, in characters.
 SIZE, OVERLAP = 900_000, 10_000
+SPAN_FIELDS = ("entity_type", "start", "end", "score", "source")
+SPAN_ARROW = pa.list_(pa.struct(list(zip(SPAN_FIELDS, (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string()), strict=True))))
 
 
 def text_windows(segments: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
@@ -65,24 +67,32 @@ def winning(probabilities: Column, labels: list[str]) -> Column:
 
 
 def bio_spans(tokens: Column, mapping: dict[str, str], source: str) -> Column:
-    """Spans of BIO-labelled ``tokens`` (array<struct<start, end, label, score>>): an I- token goes on with the span before it of the same label."""
+    """Spans of BIO-labelled ``tokens`` (array<struct<start, end, label, score>>).
+
+    Whether a token goes on with the span before it can be told from the token before alone: an I- token does, right after a token of the
+    same name that ends no later than it begins. So spans open and close at places that are found in one pass, and long texts cost their length.
+    """
     table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    kind = f"struct<prev:string,out:array<{SPAN}>>"
+    name = lambda t: F.substr(t.label, F.lit(3))
+    labelled = lambda t: (t.label != "O") & (t.start != t.end)
+
+    def decoded(all_: Column) -> Column:
+        def goes_on(i: Column) -> Column:
+            t, p = F.get(all_, i), F.get(all_, i - 1)
+            on = labelled(t) & labelled(p) & t.label.startswith("I-") & (name(t) == name(p)) & F.element_at(table, name(t)).isNotNull() & (p.end <= t.start)
+            return F.coalesce((i > 0) & on, F.lit(False))
+
+        places = F.transform(all_, lambda _, i: i)
+        opens = F.filter(places, lambda i: labelled(F.get(all_, i)) & ~goes_on(i))
+        closes = F.filter(places, lambda i: labelled(F.get(all_, i)) & ~goes_on(i + 1))
 
-    def step(acc: Column, t: Column) -> Column:
-        n = F.size(acc.out)
-        last = F.get(acc.out, n - 1)
-        name = F.substr(t.label, F.lit(3))
-        entity = F.element_at(table, name)
-        outside = (t.label == "O") | (t.start == t.end)
-        joins = F.coalesce(t.label.startswith("I-") & (F.substr(acc.prev, F.lit(3)) == name) & (n > 0) & (last.entity_type == entity) & (last.end <= t.start), F.lit(False))
-        new = F.struct(entity.alias("entity_type"), t.start.cast("int").alias("start"), t.end.cast("int").alias("end"), t.score.cast("double").alias("score"), F.lit(source).alias("source"))
-        longer = last.withField("end", t.end.cast("int")).withField("score", F.greatest(last.score, t.score))
-        out = F.when(outside, acc.out).when(joins, F.concat(F.slice(acc.out, 1, n - 1), F.array(longer))).otherwise(F.concat(acc.out, F.array(new)))
-        return F.struct(F.when(outside, "O").otherwise(t.label).alias("prev"), out.alias("out")).cast(kind)
+        def one(a: Column, z: Column) -> Column:
+            score = F.array_max(F.transform(F.slice(all_, a + 1, z - a + 1), lambda t: t.score))
+            return span(F.element_at(table, name(F.get(all_, a))), F.get(all_, a).start.cast("int"), F.get(all_, z).end.cast("int"), score.cast("double"), source)
 
-    start = F.struct(F.lit("O").alias("prev"), F.array().cast(f"array<{SPAN}>").alias("out")).cast(kind)
-    return F.aggregate(tokens, start, step, lambda acc: acc.out)
+        return F.zip_with(opens, closes, one)
+
+    return let(tokens, decoded)
 
 
 def memoised(windows: DataFrame, infer: Callable[[list[str]], list[list[tuple[str, int, int, float, str]]]], namespace: str = "", text: str = "window_text", key: bytes = b"window-cache") -> DataFrame:
@@ -91,10 +101,9 @@ def memoised(windows: DataFrame, infer: Callable[[list[str]], list[list[tuple[st
     distinct = keyed.groupBy("window_hash").agg(F.first(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("source", pa.string())]))
         for b in batches:
-            rows = [[dict(zip(("entity_type", "start", "end", "score", "source"), h, strict=True)) for h in hits] for hits in infer(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=["window_hash", "spans"])
+            rows = [[dict(zip(SPAN_FIELDS, h, strict=True)) for h in hits] for hits in infer(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, SPAN_ARROW)], names=["window_hash", "spans"])
 
     found = distinct.mapInArrow(run, f"window_hash string, spans array<{SPAN}>")
     return keyed.join(found, "window_hash")
@@ -129,34 +138,79 @@ def adaptive(texts: list[str], call: Callable[[str], list[tuple[str, int, int, f
     return out
 
 
-def rechecked(text: str, tokenize: Callable[[str, bool], list[tuple[int, int]]], window: int = 448, overlap: int = 64, limit: int = 512, back: int = 64) -> list[tuple[int, str]]:
+def budgeted(
+    windows: DataFrame, call: Callable[[str], list[tuple[str, int, int, float, str]]], max_calls: int, request: str = "request_id", order: tuple[str, ...] = ("window_start",), text: str = "window_text",
+    too_large: type[Exception] = ValueError, overlap: int = 128,
+) -> DataFrame:
+    """``windows`` with ``spans`` and ``error``: all windows of a request share ``max_calls`` calls of a model, in their ``order``.
+
+    A window that the model finds too large is halved, and each part is a call. A request that needs more calls than it has, and one
+    with a window that cannot be halved, gets an error value on all its windows, and no spans; other requests are not touched. A request's windows beyond
+    its budget are never gathered: that they are there is enough.
+    """
+    place = F.row_number().over(Window.partitionBy(request).orderBy(*order))
+    ranked = windows.withColumn("__place", place)
+    asked = ranked.select(F.col(request).alias("request"), "__place", F.coalesce(text, F.lit("")).alias("text")).where(F.col("__place") <= max_calls + 1)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("__place")
+        calls, error, rows = group.num_rows if group.num_rows > max_calls else 0, None, []
+        for t in group.column("text").to_pylist():
+            best: dict[tuple[str, int, int, str], float] = {}
+            parts = [(0, len(t))]
+            while parts and error is None:
+                a, b = parts.pop()
+                calls += 1
+                if calls > max_calls:
+                    error = "model_call_budget"
+                    break
+                try:
+                    hits = call(t[a:b])
+                except too_large:
+                    if b - a <= 2 * overlap:
+                        error = "model_input_too_large"
+                    middle = (a + b) // 2
+                    parts += [(max(a, middle - overlap // 2), b), (a, min(b, middle + overlap // 2))]
+                    continue
+                for e, s, z, score, source in hits:
+                    at = (e, a + s, a + z, source)
+                    best[at] = max(best.get(at, 0.0), score)
+            rows.append([dict(zip(SPAN_FIELDS, (e, s, z, score, source), strict=True)) for (e, s, z, source), score in sorted(best.items(), key=lambda x: (x[0][1], x[0][2], x[0][0], x[0][3]))])
+            if error:
+                break
+        n = group.num_rows
+        answers = [None] * n if error else rows
+        return pa.table({"request": group.column("request"), "__place": group.column("__place"), "spans": pa.array(answers, SPAN_ARROW), "error": pa.array([error] * n, pa.string())})
+
+    schema = T.StructType([T.StructField("request", windows.schema[request].dataType), T.StructField("__place", T.IntegerType()), T.StructField("spans", T._parse_datatype_string(f"array<{SPAN}>")), T.StructField("error", T.StringType())])
+    told = asked.groupBy("request").applyInArrow(run, schema).alias("a")
+    same = F.col(f"w.{request}").eqNullSafe(F.col("a.request")) & (F.col("w.__place") == F.col("a.__place"))
+    error = F.when(F.col("w.__place") > max_calls, F.lit("model_call_budget")).otherwise(F.col("a.error"))
+    return ranked.alias("w").join(told, same, "left").select(*[F.col(f"w.`{c}`") for c in windows.columns], F.col("a.spans").alias("spans"), error.alias("error"))
+
+
+def rechecked(text: str, tokenize: Callable[[str, bool], list[tuple[int, int]]], window: int = 448, overlap: int = 64, limit: int = 512) -> list[tuple[int, str]]:
     """(start, text) of windows that cover all characters, each of at most ``limit`` tokens when tokenised again by itself.
 
-    ``tokenize(text, special)`` gives the character spans of the tokens, empty ones for special tokens. A window that turns out too long is
-    cut at the end of its ``window``-th token, ``back`` characters of it kept in the rest; one that cannot be cut is an error.
+    ``tokenize(text, special)`` gives the character spans of the tokens, empty ones for special tokens. Windows are cut from left to right: each takes up to
+    ``window`` of the text's tokens, as many as fit when it is read by itself, and the next begins ``overlap`` tokens before its end (at most half of
+    it). A single token that does not fit is an error.
     """
-    spans = [s for s in tokenize(text, False) if s[0] < s[1]]
-    todo, i = [], 0
-    while spans:
-        end = len(text) if i + window >= len(spans) else spans[i + window][0]
-        start = spans[i][0] if i else 0
-        todo.append((start, text[start:end]))
-        if end == len(text):
-            break
-        i += window - overlap
-    todo, out = list(reversed(todo or [(0, text)])), []
-    while todo:
-        start, piece = todo.pop()
-        tokens = tokenize(piece, True)
-        if len(tokens) <= limit:
-            out.append((start, piece))
-            continue
-        ends = [e for s, e in tokens if s < e]
-        cut = ends[min(window, len(ends) - 1)]
-        if not back < cut < len(piece):
-            raise RuntimeError("no window of this text is within the bound")
-        todo += [(start + cut - back, piece[cut - back :]), (start, piece[:cut])]
-    return out
+    tokens = [a for a, b in tokenize(text, False) if a < b]
+    # the first window begins with the text, the last one ends with it
+    edges = [0, *tokens[1:], len(text)]
+    out, first = [], 0
+    while True:
+        last = min(first + window, len(edges) - 1)
+        while (size := len(tokenize(text[edges[first] : edges[last]], True))) > limit:
+            if last == first + 1:
+                raise RuntimeError("no window of this text is within the bound")
+            # as much less as it was too long
+            last = first + max(1, min(last - first - 1, (last - first) * limit // size))
+        out.append((edges[first], text[edges[first] : edges[last]]))
+        if last == len(edges) - 1:
+            return out
+        first = last - min(overlap, (last - first) // 2)
 
 
 def model_windows(segments: DataFrame, tokenize: Callable[[str, bool], list[tuple[int, int]]], window: int = 448, overlap: int = 64, limit: int = 512, text: str = "text") -> DataFrame:

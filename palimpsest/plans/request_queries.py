@@ -494,6 +494,16 @@ def rechecked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("doc_id").agg(F.count("*").alias("n_windows"))
 
 
+@register("""WITH n AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN n > 6 THEN 'model_call_budget' END AS error, CASE WHEN n <= 6 THEN CAST(len(string_split(coalesce(text, ''), 'a')) - 1 AS INTEGER) END AS n_spans FROM n""")
+def call_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of a conversation share six calls of a model; a conversation that needs more has an error, the others their spans."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    model = lambda t: [("PRIVATE", m.start(), m.end(), 0.9, "transformer") for m in re.finditer("a", t)]
+    got = windows.budgeted(turns, model, 6, "conv_id", ("turn",), "text")
+    return got.select("conv_id", "turn", "error", F.size("spans").alias("n_spans"))
+
+
 @register("SELECT DISTINCT doc_id, " + q._hmac_sql("'ns' || chr(31) || text", b"window-cache") + " AS window_hash FROM documents WHERE text IS NOT NULL")
 def window_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed digests that windows are remembered by."""

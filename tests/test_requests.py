@@ -104,7 +104,7 @@ def test_windows_are_checked_again():
         return [(0, 0), *found, (0, 0)] if special else found
 
     text = " ".join("word%d" % i for i in range(900))
-    got = windows.rechecked(text, tokenize, 100, 10, 104, back=16)
+    got = windows.rechecked(text, tokenize, 100, 10, 104)
     assert all(len(tokenize(p, True)) <= 104 and text[s : s + len(p)] == p for s, p in got)
     covered = set()
     for s, p in got:
@@ -112,6 +112,44 @@ def test_windows_are_checked_again():
     assert covered == set(range(len(text))) and windows.rechecked("", tokenize) == [(0, "")]
     with pytest.raises(RuntimeError):
         windows.rechecked("abc", lambda t, s: [(0, 1)] * 600)
+    # one that reads longer by itself than as a part of the text is cut shorter, and no more than needed
+    odd = lambda t, s: [(i, i + 1) for i in range(len(t))] * (2 if s else 1)
+    got = windows.rechecked("x" * 1000, odd, 100, 10, 120)
+    assert {len(p) for _, p in got[:-1]} == {60} and all(b[0] == a[0] + 50 for a, b in zip(got, got[1:], strict=False)) and got[-1][0] + len(got[-1][1]) == 1000
+
+
+def test_a_request_has_a_budget_of_calls(spark):
+    class TooLarge(Exception):
+        pass
+
+    def call(text):
+        if len(text) > 40:
+            raise TooLarge
+        return [("A", m.start(), m.end(), 0.9, "m") for m in re.finditer("needle", text)]
+
+    rows = [("few", 0, "a needle"), ("few", 1, None), ("many", 0, "x"), ("many", 1, "y"), ("many", 2, "z"), ("many", 3, "needle"), ("many", 4, "needle"), ("long", 0, "." * 60 + "needle"), ("halves", 0, "." * 200 + "needle"), ("odd", 0, "needle"), (None, 0, "needle")]
+    df = spark.createDataFrame(rows, "request_id string, window_start int, window_text string").withColumn("error", F.lit("old")).drop("error").withColumn("text", F.lit("clash"))
+    got = {(x.request_id, x.window_start): ([(s.start, s.end) for s in x.spans] if x.spans is not None else None, x.error) for x in windows.budgeted(df, call, 3, too_large=TooLarge, overlap=8).collect()}
+    assert got == {
+        ("few", 0): ([(2, 8)], None), ("few", 1): ([], None), **{("many", i): (None, "model_call_budget") for i in range(5)}, ("long", 0): ([(60, 66)], None), ("halves", 0): (None, "model_call_budget"),
+        ("odd", 0): ([(0, 6)], None), (None, 0): ([(0, 6)], None),
+    }
+    stuck = windows.budgeted(df.where("request_id = 'long'"), call, 50, too_large=TooLarge, overlap=40).first()
+    assert (stuck.spans, stuck.error) == (None, "model_input_too_large")
+    assert windows.budgeted(df.limit(0), call, 3).count() == 0
+
+
+def test_bad_evidence_is_an_error_value_of_its_row(spark):
+    def find(texts):
+        if "boom" in texts:
+            raise RuntimeError("down")
+        return [[("A", 0, 99 if "bad" in t else 1, 0.5, "m")] for t in texts]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["fine", "bad", "boom", None, "also"])], "id int, text string").coalesce(1)
+    got = detect.with_model(df, detect.SpanModel("m", find), errors="failed").orderBy("id").collect()
+    assert [(x.failed, None if x.spans is None else len(x.spans)) for x in got] == [(None, 1), ("invalid_evidence", None), ("model_failed", None), ("invalid_evidence", None), (None, 1)]
+    with pytest.raises(Exception, match="invalid span"):
+        detect.with_model(df.where("id = 1"), detect.SpanModel("m", find)).collect()
 
 
 def test_settings(tmp_path):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,14 @@ def test_scored_rules_with_context_and_custom(spark):
     assert not one(spark, detector(F.col("t")), "L01X00T47 id number")
 
 
+def test_context_of_many_values_costs_their_number(spark):
+    text = " ".join(f"phone +31 6 {10_000_000 + i}" for i in range(1500))
+    detector = detect.scored_rules(P.Policy(analyzer_languages=("en",), analyzer_entities=("PHONE_NUMBER",)))
+    began = time.perf_counter()
+    got = one(spark, detector(F.col("t")), text)
+    assert len(got) == 1500 and {s.score for s in got} == {0.75} and time.perf_counter() - began < 30
+
+
 def test_hmac(spark):
     import hashlib
     import hmac
@@ -161,6 +170,38 @@ def test_windows_and_bio(spark):
     tokens = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(c).alias("label"), F.lit(d).alias("score")) for a, b, c, d in [(0, 2, "B-PER", 0.5), (3, 5, "I-PER", 0.9), (6, 7, "O", 1.0), (8, 9, "I-PER", 0.7)]])
     assert [tuple(s) for s in one(spark, windows.bio_spans(tokens, {"PER": "PERSON_NAME"}, "transformer"))] == [("PERSON_NAME", 0, 5, 0.9, "transformer"), ("PERSON_NAME", 8, 9, 0.7, "transformer")]
 
+    # against one pass with a state, on random labels, empty tokens and overlaps included
+    r = random.Random(5)
+    many = []
+    for k in range(60):
+        at, row = 0, []
+        for _ in range(r.randrange(12)):
+            size = r.randrange(3)
+            row.append((at, at + size, r.choice(["O", "B-PER", "I-PER", "B-X", "I-X", "I-LOC"]), r.randrange(10) / 10))
+            at += size - r.choice([0, 0, -1, 1])
+        many.append((k, row))
+    labels = {"PER": "P", "LOC": "P"}
+
+    def brute(row):
+        out, before = [], "O"
+        for a, b, label, score in row:
+            if label == "O" or a == b:
+                before = "O"
+                continue
+            if label[0] == "I" and before[2:] == label[2:] and label[2:] in labels and out[-1][2] <= a:
+                out[-1] = (*out[-1][:2], b, max(out[-1][3], score))
+            else:
+                out.append((labels.get(label[2:]), a, b, score))
+            before = label
+        return out
+
+    table = spark.createDataFrame(many, "k int, t array<struct<start:int,end:int,label:string,score:double>>")
+    got = {x.k: [tuple(s)[:4] for s in x.s] for x in table.select("k", windows.bio_spans(F.col("t"), labels, "m").alias("s")).collect()}
+    assert got == {k: brute(row) for k, row in many}
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: F.struct((i * 2).alias("start"), (i * 2 + 2).alias("end"), F.when(i % 3 == 0, "B-PER").otherwise("I-PER").alias("label"), F.lit(0.5).alias("score"))).alias("t"))
+    began = time.perf_counter()
+    assert long.select(F.size(windows.bio_spans(F.col("t"), labels, "m"))).first()[0] == 33_334 and time.perf_counter() - began < 20
+
     class TooLarge(Exception):
         pass
 
