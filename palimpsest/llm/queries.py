@@ -150,7 +150,8 @@ WITH s AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, '
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM s),
 q AS (SELECT doc_id, line, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 r AS (SELECT doc_id, seq, [line, lead(line, 1) OVER d, lead(line, 2) OVER d] AS run, lead(line, 2) OVER d AS third FROM q WINDOW d AS (PARTITION BY doc_id ORDER BY seq)),
-f AS (SELECT doc_id, seq, d0, s0 FROM (SELECT doc_id, seq, row_number() OVER w AS n, first_value(doc_id) OVER w AS d0, first_value(seq) OVER w AS s0 FROM r WHERE third IS NOT NULL WINDOW w AS (PARTITION BY run ORDER BY doc_id, seq)) WHERE n > 1),
+o AS (SELECT doc_id, seq, run, dense_rank() OVER (ORDER BY run) AS k, row_number() OVER (ORDER BY doc_id, seq) AS place FROM r WHERE third IS NOT NULL),
+f AS (SELECT a.doc_id, a.seq, b.doc_id AS d0, b.seq AS s0 FROM o a JOIN o b ON a.k = b.k AND b.place < a.place),
 i AS (SELECT doc_id, d0, s0 - seq AS way, seq - row_number() OVER (PARTITION BY doc_id, d0, s0 - seq ORDER BY seq) AS island FROM f),
 x AS (SELECT doc_id, max(n) + 2 AS longest_run FROM (SELECT doc_id, count(*) AS n FROM i GROUP BY doc_id, d0, way, island) GROUP BY doc_id),
 g AS (SELECT DISTINCT doc_id, seq + j AS seq FROM f, (SELECT unnest([0, 1, 2]) AS j)),

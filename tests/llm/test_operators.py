@@ -447,27 +447,41 @@ def test_short_runs_of_many_words_equal_brute_force(spark, m, least):
     assert sorted((x.doc_id, x.text) for x in got.collect()) == want
 
 
-@pytest.mark.parametrize("m", [1, 2, 3])
-def test_maximal_runs_equal_brute_force(spark, m):
-    r = random.Random(20 + m)
-    rows = [(i, "\n".join(r.choice(["a", "b", "c", "d", "", "e"]) for _ in range(r.randrange(18)))) for i in range(80)]
-    lines = {d: [x for x in t.split("\n") if x.strip()] for d, t in rows}
-    first, want = {}, set()
-    for d, ls in lines.items():
-        for i in range(len(ls) - m + 1):
-            first.setdefault(tuple(ls[i : i + m]), (d, i))
-    for d, ls in lines.items():
-        at = [first[tuple(ls[i : i + m])] for i in range(len(ls) - m + 1)]
-        i = 0
-        while i < len(at):
-            j = i
-            while j + 1 < len(at) and at[j + 1] == (at[j][0], at[j][1] + 1) and at[i] != (d, i):
-                j += 1
-            if at[i] != (d, i):
-                want.add((d, i, j - i + m, *at[i]))
-            i = j + 1
-    got = line_dedup.maximal_runs(spark.createDataFrame(rows, SCHEMA).withColumn("first", F.lit("clash")), m)
-    assert {tuple(x) for x in got.collect()} == want
+def longest_matches(rows):
+    """(document, place): length and place of the longest run of lines that begins at an earlier place, the earliest such place."""
+    lines = {d: [x for x in (t or "").split("\n") if x.strip()] for d, t in rows}
+    places = [(d, i) for d in sorted(lines) for i in range(len(lines[d]))]
+
+    def common(p, q):
+        a, b = lines[p[0]][p[1] :], lines[q[0]][q[1] :]
+        return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    out = {}
+    for k, p in enumerate(places):
+        n, q = max(((common(p, q), (-j, q)) for j, q in enumerate(places[:k])), default=(0, (0, None)))
+        out[p] = (n, q[1])
+    return out
+
+
+@pytest.mark.parametrize(("m", "letters", "seed"), [(1, "abcde", 1), (2, "abcde", 2), (3, "ab", 3), (2, "a", 4)])
+def test_maximal_runs_equal_longest_matches(spark, m, letters, seed):
+    r = random.Random(20 + seed)
+    rows = [(i, "\n".join(r.choice([*letters, ""]) for _ in range(r.randrange(14)))) for i in range(40)]
+    rows += [(100, rows[3][1] + "\n" + rows[5][1]), (101, "x\n" * 3 + rows[7][1]), (102, None), (103, "")]
+    best = longest_matches(rows)
+    want = {(d, i, n, *q) for (d, i), (n, q) in best.items() if n >= m and best.get((d, i - 1), (0,))[0] <= n}
+    table = spark.createDataFrame([*rows, rows[3], rows[-4]], SCHEMA).withColumns({"first": F.lit("clash"), "seq": F.lit("clash")})
+    assert {tuple(x) for x in line_dedup.maximal_runs(table, m).collect()} == want
+    longest = {d: max([n for (e, _), (n, _) in best.items() if e == d and n >= m], default=0) for d, _ in rows}
+    got = {x.doc_id: x.longest_run for x in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), m, counts=True).collect()}
+    assert got == longest
+
+
+def test_a_run_is_found_whole_though_parts_of_it_stood_elsewhere(spark):
+    l = [f"line {i}" for i in range(9)]  # noqa: E741
+    docs = spark.createDataFrame([(1, "\n".join(l[3:6])), (2, "\n".join(l[1:])), (3, "\n".join(l[1:]))], SCHEMA)
+    assert {tuple(x) for x in line_dedup.maximal_runs(docs, 3).collect()} == {(2, 2, 3, 1, 0), (3, 0, 8, 2, 0)}
+    assert {x.doc_id: x.longest_run for x in line_dedup.dedup_lines(docs, 3, counts=True).collect()} == {1: 0, 2: 3, 3: 8}
 
 
 # 9
