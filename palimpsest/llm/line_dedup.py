@@ -98,6 +98,7 @@ def longest_repeats(docs: DataFrame, least: int = 1, text: str = "text") -> Data
         here = alive.alias("x").join(ahead, F.col(f"x.{_D}").eqNullSafe(F.col("d2")) & (F.col(f"x.{_H}") == F.col("h2")) & (F.col("x.seq") + F.col("x.n") == F.col("s2")), "left").select(_D, _H, *place, "r")
         here = written(here, f"told-{step}") if k < len(levels) - 1 else here
         deeper = here.where("r IS NOT NULL").groupBy("first", "n", "r").agg(F.min(_place()).alias("source"), F.max(_place()).alias("last")).where("source < last").drop("last")
+        deeper = written(deeper, f"deeper-{step}")  # so that the join below is dealt for itself, and can be split
         found = here.join(deeper, ["first", "n", "r"], "left")
         moves = F.coalesce(F.col("source") < _place(), F.lit(False))
         old = found.select(_D, _H, "seq", F.when(moves, F.col("source")).otherwise(F.col("first")).alias("first"), F.when(moves, F.col("n") + step).otherwise(F.col("n")).alias("n"))
