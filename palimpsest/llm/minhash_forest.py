@@ -9,7 +9,7 @@
 3. Candidates form coarse groups. Inside a group all links are confirmed on full sets by exact intersection counts.
    A group is ordered by set size and cut into blocks; blocks are first confirmed with their successor. Classes
    that are not in the group's largest component by then are cut into blocks again and confirmed with every block that they could have a
-   link with (set sizes alone exclude some). So no task holds more than two blocks, a dense group costs
+   link with (set sizes alone exclude some). A block is bounded in classes and in shingles, so no task holds more than two blocks of either, a dense group costs
    as much as it has members, and every pair is either compared or known to be in one component.
    A task returns a spanning forest of its links, never all pairs.
 4. Connected components of the confirmed links give the result.
@@ -63,9 +63,9 @@ class Forest:
     trees: int = 28
     depth: int = 4
     loss: float = 1e-9
-    #: Least and largest number of classes in a block; in between it grows with the square root of the group. A task holds two blocks.
+    #: Classes in a block, and shingles: a class of more than ``shingles / block`` takes the room of several. A task holds two blocks.
     block: int = 1024
-    most: int = 1024
+    shingles: int = 1 << 22
     #: Classes of a region up to which it is searched one value less deep, and from which it is taken whole.
     sparse: int = 32
     window: int = 1024
@@ -359,14 +359,14 @@ def _confirmed(sets: DataFrame, meets: DataFrame, p: Forest) -> DataFrame:
 
 def _placed(sized: DataFrame, p: Forest, name: str) -> DataFrame:
     """The members of each ``root`` ordered by set size and cut into blocks: ``block``, and ``blocks``, how many; as a written table."""
-    total = sized.groupBy("root").agg(F.count("*").alias("n"))
     # exact counts per (group, size), then places inside a size by hash; a group has as many sizes as its largest set
-    per_size = sized.groupBy("root", "n_shingles").agg(F.count("*").alias("m"))
-    before = per_size.withColumn("before", F.expr("coalesce(sum(m) over (partition by root order by n_shingles rows between unbounded preceding and 1 preceding), 0)"))
+    room = F.greatest(F.ceil(F.col("n_shingles") * p.block / p.shingles), F.lit(1))
+    per_size = sized.groupBy("root", "n_shingles").agg(F.count("*").alias("m")).withColumn("room", room)
+    total = per_size.groupBy("root").agg(F.sum(F.col("m") * F.col("room")).alias("n"))
+    before = per_size.withColumn("before", F.expr("coalesce(sum(m * room) over (partition by root order by n_shingles rows between unbounded preceding and 1 preceding), 0)"))
     joined = sized.join(before, ["root", "n_shingles"]).join(total, "root")
-    width = F.least(F.lit(p.most), F.greatest(F.lit(p.block), F.sqrt("n").cast("int")))
-    block = F.floor((F.col("before") + F.pmod(F.xxhash64("cid"), F.col("m"))) / width).cast("int")
-    return written(joined.select(*sized.columns, block.alias("block"), F.ceil(F.col("n") / width).cast("int").alias("blocks")), name)
+    block = F.floor((F.col("before") + F.pmod(F.xxhash64("cid"), F.col("m")) * F.col("room")) / p.block).cast("int")
+    return written(joined.select(*sized.columns, block.alias("block"), F.ceil(F.col("n") / p.block).cast("int").alias("blocks")), name)
 
 
 def _chained(placed: DataFrame) -> DataFrame:

@@ -554,7 +554,7 @@ def near(rows, width, percent=80):
     return sorted(((d, len(sets[i]), low[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows)), key=key)
 
 
-@pytest.mark.parametrize("forest", [minhash_forest.Forest(), minhash_forest.Forest(block=48, window=16), minhash_forest.Forest(block=8, most=8, window=8, sparse=2)])
+@pytest.mark.parametrize("forest", [minhash_forest.Forest(), minhash_forest.Forest(block=48, window=16), minhash_forest.Forest(block=8, window=8, sparse=2), minhash_forest.Forest(block=8, shingles=64, window=8, sparse=2)])
 def test_near_duplicates_equal_brute_force(spark, forest):
     r = random.Random(2)
     base = [r.choice("abcdefgh") for _ in range(60)]
@@ -592,7 +592,7 @@ def test_a_crowded_region_loses_no_link(spark):
         own = [f"o{i}x{k}" for k in range(40)]
         rows += [(2 * i, " ".join(base + own)), (2 * i + 1, " ".join(base + own[:-1] + ["changed"]))]
     r.shuffle(rows)
-    forest = minhash_forest.Forest(window=4, block=16, most=16, sparse=1)
+    forest = minhash_forest.Forest(window=4, block=16, sparse=1)
     got = {x.doc_id: x.component_id for x in minhash_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), forest).collect()}
     assert got == {d: d // 2 * 2 for d in range(800)}
 
