@@ -46,26 +46,73 @@ def sticky(df: DataFrame, key: str = "session_key", order: str = "turn", time: s
     return df.drop("__own", "__route", "__stop", "__bad")
 
 
+def _doubts(d: Column) -> dict[str, Column]:
+    """What makes a stored decision unsound, by name."""
+    names, counted = F.transform(d.report_rows, lambda r: r.entity_type), F.transform(d.entity_counts, lambda c: c.entity_type)
+    acts = F.transform(d.report_rows, lambda r: r.action)
+    says = lambda action: F.coalesce(F.array_contains(acts, action), F.lit(False))
+    known = F.map_from_entries(F.transform(d.entity_counts, lambda c: F.struct(c.entity_type, c["count"])))
+    block, reroute, routed = d.decision == "block", d.decision == "reroute", d.route_class.isNotNull()
+    once = lambda x: F.size(x) == F.size(F.array_distinct(x))
+    return {
+        "block_transforms": block & F.exists(d.report_rows, lambda r: r.transformed_count > 0),
+        "block_without_row": block & (F.size(acts) > 0) & ~says("block"),
+        "decision": ~F.coalesce(block | reroute, F.lit(False)),
+        "entities": ~once(d.entities) | (F.array_sort(d.entities) != F.array_sort(counted)),
+        "face": F.array_contains(counted, "FACE"),
+        "mcp": (d.request_kind == "mcp") & (~block | routed | says("reroute") | (F.size(d.response_notices) > 0)),
+        "no_route": reroute & ~routed,
+        "remote_allowed": d.remote_allowed,
+        "request_notices": F.size(d.request_notices) > 0,
+        "reroute_rows": reroute & (says("block") | ~says("reroute")),
+        "route_of_block": block & routed,
+        "rows_exceed_counts": F.exists(d.report_rows, lambda r: r.detected_count > F.coalesce(F.element_at(known, r.entity_type), F.lit(-1))),
+        "rows_order": F.array_sort(names) != names,
+        "rows_repeat": ~once(names),
+    }
+
+
 def unsound(d: Column) -> Column:
-    """Why a stored session decision cannot be trusted (the first reason), or null.
+    """Why a stored session decision cannot be trusted (the first reason, by name), or null.
 
     ``d`` has request_kind, decision, route_class, remote_allowed, entities, entity_counts (rows of entity_type and count), report_rows,
     request_notices and response_notices. Routing must be closed, counts must agree, and rows must fit the decision.
     """
-    count = lambda entity: F.get(F.transform(F.filter(d.entity_counts, lambda c: c.entity_type == entity), lambda c: c["count"]), F.lit(0))
-    names, counted = F.transform(d.report_rows, lambda r: r.entity_type), F.transform(d.entity_counts, lambda c: c.entity_type)
-    acts = F.transform(d.report_rows, lambda r: r.action)
-    has = lambda action: F.coalesce(F.array_contains(acts, action), F.lit(False))
-    tool = (d.decision != "block") | d.route_class.isNotNull() | (F.size(d.response_notices) > 0) | has("reroute")
-    uneven = (F.size(d.entities) != F.size(F.array_distinct(d.entities))) | (F.array_sort(F.array_distinct(d.entities)) != F.array_sort(F.array_distinct(counted)))
-    return (
-        F.when(~F.coalesce(d.decision.isin("block", "reroute"), F.lit(False)), "decision").when(F.size(d.request_notices) > 0, "request_notices").when(d.remote_allowed, "remote_allowed")
-        .when((d.decision == "block") & d.route_class.isNotNull(), "route_of_block").when((d.decision == "reroute") & d.route_class.isNull(), "no_route").when((d.request_kind == "mcp") & tool, "mcp")
-        .when(F.array_contains(counted, "FACE"), "face").when(uneven, "entities").when(F.size(names) != F.size(F.array_distinct(names)), "rows_repeat").when(F.array_sort(names) != names, "rows_order")
-        .when(F.exists(d.report_rows, lambda r: r.detected_count > F.coalesce(count(r.entity_type), F.lit(-1))), "rows_exceed_counts")
-        .when((d.decision == "block") & F.exists(d.report_rows, lambda r: r.transformed_count > 0), "block_transforms").when((d.decision == "block") & (F.size(acts) > 0) & ~has("block"), "block_without_row")
-        .when((d.decision == "reroute") & (has("block") | ~has("reroute")), "reroute_rows")
-    )
+    return F.coalesce(*[F.when(wrong, F.lit(name)) for name, wrong in sorted(_doubts(d).items())])
+
+
+def held(results: DataFrame, key: str = "session_key", order: str = "seq") -> DataFrame:
+    """Session, decision, route, kind, overlaps, counts and rows that every session holds after its last request; sessions without a decision have no row.
+
+    ``results`` has request_kind, decision, route_class, overlap_count, entity_counts and report_rows of each request. Counts and overlaps are
+    the largest since the session was rerouted; rows are those of the first such request, overlaid with later reroute rows; a second
+    route overlays all of its rows and blocks; a request that is blocked by itself brings its own.
+    """
+    told = sticky(results, key, order)
+    writes = F.col("session_error").isNull() & F.col("final_decision").isin("block", "reroute") & ~F.col("from_cache")
+    live = told.where(writes).withColumn("__conflict", (F.col("final_decision") == "block") & (F.col("decision") != "block"))
+    live = live.withColumn("__alone", (F.col("decision") == "block"))
+    by = Window.partitionBy(key)
+    live = live.withColumn("__first", F.min(order).over(by)).withColumn("__last", F.max(order).over(by)).withColumn("__ends", F.max("__alone").over(by))
+    # a request that is blocked by itself is the last to write, and what stood before it is dropped
+    live = live.where(~F.col("__ends") | F.col("__alone"))
+    last = F.col(order) == F.col("__last")
+    head = live.groupBy(key).agg(
+        F.max(F.when(last, F.col("final_decision"))).alias("decision"), F.max(F.when(last, F.col("final_route"))).alias("route"), F.max(F.when(last, F.col("request_kind"))).alias("kind"),
+        F.max(F.coalesce("overlap_count", F.lit(0))).alias("overlaps"),
+    )
+    counts = live.select(key, F.explode("entity_counts").alias("c")).groupBy(key, "c.entity_type").agg(F.max("c.count").alias("count"))
+    counts = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("entity_type", "count"))).alias("entity_counts"))
+    each = live.select(key, order, (F.col(order) == F.col("__first")) | F.col("__alone") | F.col("__conflict"), F.explode("report_rows").alias("r")).toDF(key, order, "all", "r")
+    rows = each.where(F.col("all") | (F.col("r.action") == "reroute")).groupBy(key, F.col("r.entity_type").alias("entity")).agg(F.max_by("r", order).alias("r"))
+    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("report_rows"))
+    out = head.join(counts, key, "left").join(rows, key, "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    kinds = dict(out.dtypes)
+    report = empty(F.col("report_rows"), kinds["report_rows"])
+    says = F.exists(report, lambda r: r.action == "block")
+    shown = F.transform(report, lambda r: r.withField("action", F.when(says, r.action).otherwise("block")).withField("transformed_count", F.lit(0).cast("long")))
+    return out.select(key, "decision", "route", "kind", "overlaps", empty(F.col("entity_counts"), kinds["entity_counts"]).alias("entity_counts"), F.when(F.col("decision") == "block", shown).otherwise(report).alias("report_rows"))
 
 
 def merged_counts(now: Column, cached: Column) -> Column:

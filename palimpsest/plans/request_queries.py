@@ -393,9 +393,9 @@ _STATE = """s AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'block'
   CASE c_custkey % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'reroute' ELSE 'mask' END AS act, c_custkey % 6 AS n, c_custkey % 13 = 0 AS changed FROM customer)"""
 
 
-@register("WITH " + _STATE + """ SELECT k, CASE WHEN decision = 'pass' THEN 'decision' WHEN remote THEN 'remote_allowed' WHEN decision = 'block' AND route IS NOT NULL THEN 'route_of_block' WHEN decision = 'reroute' AND route IS NULL THEN 'no_route'
-WHEN kind = 'mcp' AND (decision <> 'block' OR route IS NOT NULL OR act = 'reroute') THEN 'mcp' WHEN n > 4 THEN 'rows_exceed_counts' WHEN decision = 'block' AND changed THEN 'block_transforms'
-WHEN decision = 'block' AND act <> 'block' THEN 'block_without_row' WHEN decision = 'reroute' AND act <> 'reroute' THEN 'reroute_rows' END AS reason FROM s""")
+@register("WITH " + _STATE + """ SELECT k, CASE WHEN decision = 'block' AND changed THEN 'block_transforms' WHEN decision = 'block' AND act <> 'block' THEN 'block_without_row' WHEN decision = 'pass' THEN 'decision'
+WHEN kind = 'mcp' AND (decision <> 'block' OR route IS NOT NULL OR act = 'reroute') THEN 'mcp' WHEN decision = 'reroute' AND route IS NULL THEN 'no_route' WHEN remote THEN 'remote_allowed' WHEN decision = 'reroute' AND act <> 'reroute' THEN 'reroute_rows'
+WHEN decision = 'block' AND route IS NOT NULL THEN 'route_of_block' WHEN n > 4 THEN 'rows_exceed_counts' END AS reason FROM s""")
 def state_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a stored session decision cannot be trusted."""
     state = table(spark, sf_dir, "customer").select(
@@ -509,3 +509,28 @@ def window_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed digests that windows are remembered by."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("window_text"))
     return windows.memoised(docs, lambda texts: [[] for _ in texts], "ns").select("doc_id", "window_hash").distinct()
+
+
+@register("""WITH d AS (SELECT conv_id, turn, n, CASE WHEN n % 4 = 0 THEN 'reroute' WHEN n % 11 = 1 THEN 'block' ELSE 'pass' END AS decision, CASE WHEN n % 4 = 0 THEN CASE WHEN n % 3 = 0 THEN 'b' ELSE 'a' END END AS route FROM (SELECT conv_id, turn, coalesce(length(text), 0) AS n FROM conversations)),
+f AS (SELECT *, min(CASE WHEN decision <> 'pass' THEN turn END) OVER (PARTITION BY conv_id) AS t0, first_value(route IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS r0 FROM d),
+s AS (SELECT *, min(CASE WHEN decision = 'block' OR route <> r0 THEN turn END) OVER (PARTITION BY conv_id) AS stop FROM f),
+a AS (SELECT *, bool_or(turn = stop AND decision = 'block') OVER (PARTITION BY conv_id) AS alone FROM s WHERE turn >= t0 AND (stop IS NULL OR turn <= stop)),
+k AS (SELECT *, turn = t0 OR alone OR turn = stop AS whole FROM a WHERE NOT coalesce(alone, false) OR turn = stop)
+SELECT conv_id, CASE WHEN any_value(stop) IS NULL THEN 'reroute' ELSE 'block' END AS decision, CASE WHEN any_value(stop) IS NULL THEN any_value(r0) END AS route, CAST(max(n % 6) AS BIGINT) AS overlaps,
+  CAST(max(n % 3 + 1) AS BIGINT) AS bsn, CAST(max(n % 5 + 1) AS BIGINT) AS iban, CAST(arg_max(n % 5 + 1, turn) FILTER (whole OR decision = 'reroute') AS BIGINT) AS iban_detected,
+  CASE WHEN any_value(stop) IS NULL THEN 'reroute' ELSE 'block' END AS iban_action, CASE WHEN any_value(stop) IS NULL OR bool_or(alone) THEN 'mask' ELSE 'block' END AS bsn_action,
+  CASE WHEN any_value(stop) IS NULL THEN CAST(arg_max(n % 2, turn) FILTER (whole) AS BIGINT) ELSE 0 END AS bsn_transformed FROM k GROUP BY conv_id""")
+def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every conversation holds after its last turn: decision, route, counts and report rows."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    turns = turns.withColumn("decision", F.expr("CASE WHEN n % 4 = 0 THEN 'reroute' WHEN n % 11 = 1 THEN 'block' ELSE 'pass' END")).withColumn("route_class", F.expr("CASE WHEN n % 4 = 0 THEN CASE WHEN n % 3 = 0 THEN 'b' ELSE 'a' END END"))
+    action = "CASE decision WHEN 'pass' THEN 'mask' ELSE decision END"
+    row = "named_struct('entity_type', '{}', 'action', {}, 'detected_count', {}, 'transformed_count', n % 2)"
+    turns = turns.withColumn("entity_counts", F.expr("array(named_struct('entity_type', 'BSN', 'count', n % 3 + 1), named_struct('entity_type', 'IBAN', 'count', n % 5 + 1))"))
+    turns = turns.withColumn("report_rows", F.expr(f"array({row.format('BSN', repr('mask'), '1L')}, {row.format('IBAN', action, 'n % 5 + 1')})"))
+    held = session.held(turns.withColumn("request_kind", F.lit("chat")).withColumn("overlap_count", F.col("n") % 6), "conv_id", "turn")
+    count, kept = (lambda i: F.get("entity_counts", F.lit(i)).getField("count")), (lambda i: F.get("report_rows", F.lit(i)))
+    return held.select(
+        "conv_id", "decision", "route", "overlaps", count(0).alias("bsn"), count(1).alias("iban"), kept(1).getField("detected_count").alias("iban_detected"), kept(1).getField("action").alias("iban_action"),
+        kept(0).getField("action").alias("bsn_action"), kept(0).getField("transformed_count").alias("bsn_transformed"),
+    )
