@@ -57,7 +57,7 @@ def window(index: Column, start: Column, language: str, size: int = 5) -> Column
 
 def contains_phrase(window_: Column, phrase: str) -> Column:
     """Whether the words of ``phrase`` stand in the window, one after another."""
-    parts = [INFLECTIONS.get(w.casefold(), w.casefold()) for w in phrase.split()]
+    parts = _folded(phrase)
     if not parts:
         return F.lit(False)
     n = len(parts)
@@ -71,8 +71,20 @@ def contents(index: Column, languages: tuple[str, ...]) -> Column:
     return F.struct(*[content(index, language).alias(language) for language in languages])
 
 
+def _folded(phrase: str) -> list[str]:
+    return [INFLECTIONS.get(w.casefold(), w.casefold()) for w in phrase.split()]
+
+
 def _any_phrase(phrases: tuple[str, ...]) -> Callable[[Column], Column]:
-    return lambda near: reduce(lambda a, b: a | b, [contains_phrase(near, p) for p in phrases])
+    """Whether a window has one of the phrases; those of one word are looked up together."""
+    single = sorted({x[0] for x in map(_folded, phrases) if len(x) == 1})
+    longer = sorted({p for p in phrases if len(_folded(p)) > 1})
+
+    def has(near: Column) -> Column:
+        parts = ([F.arrays_overlap(near, strings(single))] if single else []) + [contains_phrase(near, p) for p in longer]
+        return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
+
+    return has
 
 
 def supports(contents_: Column, start: Column, entity: str, languages: tuple[str, ...], own: tuple[str, ...] = ()) -> Column:
