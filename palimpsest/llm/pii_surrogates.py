@@ -7,9 +7,13 @@ its kind (a letter becomes a letter of the same case, a digit a digit, an octet
 distinct surrogates by construction; card and bank numbers get valid check digits. Names are invented
 from syllables of the script, given names with an ending of the title's gender.
 
-Names: a name that follows a title (with particles, initials, apostrophes and hyphens) gives its
-words to the document; wherever such a word stands in that document, with or without the title, capitalised or in capitals,
-alone or with a genitive s, it is the same entity and gets the same surrogate.
+Names: a name that follows a title, or begins with a common given name and goes on with a capitalised word (with particles, initials,
+apostrophes and hyphens), gives its words to the document; wherever such a word stands in that document, with or without the title, capitalised
+or in capitals, alone or with a genitive s, it is the same entity and gets the same surrogate. It is no name before a word of
+places and institutions, nor, if it is an everyday word, at the start of a sentence that goes on with anything but a verb of persons.
+
+Dates, time stamps, decimal fractions, numbers with grouped thousands and runs of up to eight digits are found too, and stay as they are, so that no part
+of them is taken for a telephone number. Secrets are long mixed words, keys with a known prefix (which stays), and what is assigned to a password.
 
 Collision checks run over the distinct values of the whole table: a surrogate that two values
 share (formats can meet), or that is itself a value of the table, is drawn again with the next attempt number,
@@ -18,8 +22,8 @@ until none is left. No format holds a draw up: a name gets one more syllable wit
 10.0.0.0/8, for others any address, then 2001:db8::/32.
 
 A text is searched once: the pattern marks matches and kinds with a separator made from the text's own hash, and
-the pieces between separators are written; everything later joins on a row number. Texts without an at sign, a digit or a title are
-never searched. Everything is built-in expressions.
+the pieces between separators are written; everything later joins on a row number. Texts without an at sign, a digit or a name are
+left as they are. Everything is built-in expressions.
 
 Defined results: a null or empty text stays as it is; repeated rows get equal replacements; texts
 of any length are handled whole; an initial before a name becomes another letter, without a collision check; extra columns
@@ -29,7 +33,6 @@ of any name pass through, and ``doc_id`` is not read; an empty table gives an em
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +42,32 @@ from .store import written
 # Titles by gender. (en, de, fr, es, nl, ru, el)
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Meneer", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Mevrouw", "Госпожа", "Κυρία")
+#: Titles that tell no gender.
+NEUTRAL = ("Dr", "Doctor", "Prof", "Professor", "President", "Senator", "Governor", "Judge", "Captain", "Sergeant", "Minister", "Kanzler", "Président", "Presidente", "Доктор", "Δρ")
+# Common given names that are not everyday words.
+MEN = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Paul Andrew Joshua Kenneth Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan Jacob "
+    "Hans Peter Klaus Jürgen Wolfgang Andreas Stefan Markus Jean Pierre Jacques Luc José Juan Carlos Luis Miguel Jan Piet Willem Иван Сергей Дмитрий Алексей Γιώργος Νίκος Mohammed Ahmed Ali"
+).split()
+WOMEN = (
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Anna Emma Julia "
+    "Ursula Monika Petra Sabine Claudia Katharina Marie Isabelle Sophie Camille María Carmen Ana Lucía Johanna Maria Елена Ольга Наталья Татьяна Μαρία Ελένη Fatima Aisha"
+).split()
+# Words after a name that make it one of a place or an institution.
+PLACES = (
+    "House Street Road Avenue Lane Square Park Bridge River Lake Island Mountain Mountains Sea County City Center Centre University College School Hospital Church Cathedral Airport Station Hall Museum Library Bank "
+    "Award Prize Foundation Institute Company Inc Ltd Straße Strasse Platz Allee"
+).split()
+# Surnames that are everyday words too, and verbs of persons.
+EVERYDAY = "white black brown green gray grey young long short rose may will mark grant stone wood woods hill field fields rich price bell cook baker king bishop page banks bush rice best day love little small strong sharp cross weiß schwarz klein groß lang kurz".split()
+VERBS = "said says told tells asked asks wrote writes replied answered was is has had will would could should did does went came met left joined called and also then kam ging sagte war ist hat".split()
+# Beginnings of keys.
+KEYS = ("AKIA", "ASIA", "AROA", "AIDA", "AIza", "sk[-_]", "pk[-_]", "rk[-_]", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox[abeoprs]-", "npm_", "hf_")
+# First and last letters of alphabets beyond ASCII, as code points.
+LETTERS = (
+    (0x00C0, 0x00D6), (0x00D8, 0x00DE), (0x00DF, 0x00F6), (0x00F8, 0x00FF), (0x0100, 0x017F), (0x0391, 0x03A1), (0x03B1, 0x03C9), (0x0410, 0x042F), (0x0430, 0x044F), (0x05D0, 0x05EA), (0x0641, 0x064A), (0x3041, 0x3096), (0x30A1, 0x30FA),
+    (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+)
 # Syllables of invented names by script.
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi".split(),
@@ -50,9 +79,8 @@ ENDINGS = {"latin": ("an", "ela"), "cyrillic": ("ан", "ела"), "greek": ("α
 #: Attempts that stay in the format of the original, and rounds of the permutation.
 ROOMY, ROUNDS = 3, 6
 
-_TITLES = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
-#: Titles that hold no other title: a text with none of them has no titled name.
-_HINTS = tuple(t for t in MALE + FEMALE if not any(o != t and o in t for o in MALE + FEMALE))
+_any = lambda words: "|".join(sorted(words, key=len, reverse=True))
+_TITLES = _any(MALE + FEMALE + NEUTRAL)
 # Particles inside names, and academic titles before them.
 PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "ten", "ter", "zu", "zum", "bin", "al", "el", "af", "av")
 DEGREES = ("Dr", "Prof", "Doctor", "Professor")
@@ -61,16 +89,32 @@ DIGITS = "٠١٢٣٤٥٦٧٨٩" "۰۱۲۳۴۵۶۷۸۹" "०१२३४५६७
 
 _TITLE = rf"(?<!\p{{L}})(?:{_TITLES})\.? (?:(?:{'|'.join(DEGREES)})\.? ){{0,2}}"
 _CORE = r"\p{Lu}(?:\p{Ll}{1,30}(?:\p{Lu}\p{Ll}{1,30})?|\p{Lu}{1,30})"
-_WORD = rf"(?:\p{{Lu}}['’])?{_CORE}(?:[-'’]{_CORE}){{0,3}}"
+_WORD = rf"(?!(?:{_any(PLACES)})(?!\p{{L}}))(?:\p{{Lu}}['’])?{_CORE}(?:[-'’]{_CORE}){{0,3}}"
 _BEFORE = rf"(?:(?:{'|'.join(PARTICLES)}|(?:\p{{Lu}}\.){{1,3}}) ){{0,4}}"
-_TITLED = rf"{_TITLE}{_BEFORE}{_WORD}(?: {_BEFORE}{_WORD}){{0,2}}"
+_GIVEN = rf"(?<!\p{{L}})(?:{_any([*MEN, *WOMEN])})(?:-{_CORE})?(?: {_BEFORE}{_WORD}){{1,2}}"
+_TITLED = rf"{_TITLE}{_BEFORE}{_WORD}(?: {_BEFORE}{_WORD}){{0,2}}|{_GIVEN}"
+_YEAR, _MONTH, _DAY = r"(?:1[6-9]|20)\d\d", r"(?:1[0-2]|0?[1-9])", r"(?:3[01]|[12]\d|0?[1-9])"
+_CLOCK = r"(?:(?:T|,? )\d{1,2}[:.]\d{2}(?:[:.]\d{2}(?:[.,]\d{1,9})?)?)?(?:Z|(?:\+|-)\d{2}:?\d{2})?"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+_ASSIGNED = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key)[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
 #: Types in order of precedence; every pattern is bounded, so no text makes a match run long.
 PATTERNS: tuple[tuple[str, str], ...] = (
-    ("email", r"(?<![A-Za-z0-9._%+'-])[A-Za-z0-9._%+'-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
-    ("secret", r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,256}[0-9])(?=[0-9_]{0,256}[A-Za-z])[A-Za-z0-9_]{24,256}(?![A-Za-z0-9_])"),
+    ("email", r"(?<![\p{L}\p{N}._%+'-])[\p{L}\p{M}\p{N}._%+'-]{1,64}+@(?:[\p{L}\p{M}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"),
+    (
+        "secret",
+        r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,256}[0-9])(?=[0-9_]{0,256}[A-Za-z])[A-Za-z0-9_]{24,256}(?![A-Za-z0-9_])"
+        rf"|(?<![A-Za-z0-9_-])(?:{'|'.join(KEYS)})(?=[A-Za-z_-]{{0,256}}[0-9])[A-Za-z0-9_-]{{16,256}}(?![A-Za-z0-9_-])"
+        rf"|(?<=[\s:=\"'])(?<={_ASSIGNED})(?=[^\s\"',;]{{0,63}}[0-9])[^\s\"',;]{{5,127}}[^\s\"',;.!?)\]]",
+    ),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]\d)(?!\d)"),
+    ("ip6", rf"(?<![\w:.])(?=[A-Fa-f:]{{0,39}}\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,5}})?::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
+    (
+        "plain",
+        rf"(?<![\w.,+-])(?:{_YEAR}(?<dash>[-./]){_MONTH}\k<dash>{_DAY}{_CLOCK}|{_DAY}(?<dot>[-./]){_DAY}\k<dot>(?:{_YEAR}|\d\d(?=[^\d.-]|$)){_CLOCK}|{_YEAR}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:[T _-]?(?:[01]\d|2[0-3])(?:[0-5]\d){{1,2}})?"
+        r"|[1-9]\d?(?<group>[ ,.\u00A0\u202F])\d{3}(?:\k<group>\d{3}){1,6}|[1-9]\d{2}(?<wide>[,\u00A0\u202F])\d{3}(?:\k<wide>\d{3}){1,6}|(?:0|[1-9]\d{0,8})\.\d{5,30}|\d{1,8}|1\d{9})(?!\w|[ .-]?\(?\d)",
+    ),
     ("card", r"(?<![\w-])(?:\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"),
     ("phone", r"(?<![\w+])\+?\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)"),
 )
@@ -83,12 +127,14 @@ def _all(patterns: tuple[tuple[str, str], ...]) -> str:
 
 
 def names(text: Column) -> Column:
-    """Words of the titled names of a text as ``array<struct<word, role>>``; the role is a gender (given name), - (surname) or i (initial)."""
-    hint = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in _HINTS])
+    """Words of the names of a text as ``array<struct<word, role>>``; the role is a gender (given name; n: not told), - (surname) or i (initial)."""
+    given = lambda words: rf"^(?:{_any(words)})(?!\p{{L}})"
 
     def of(m: Column) -> Column:
-        gender = F.when(m.rlike(rf"(?U)^(?:{'|'.join(FEMALE)})\.? "), "f").otherwise("m")
-        tokens = F.split(F.regexp_replace(m, rf"(?U)^{_TITLE}", ""), " ")
+        bare = F.regexp_replace(m, rf"(?U)^{_TITLE}", "")
+        titled = lambda words: m.rlike(rf"(?U)^(?:{_any(words)})\.? ")
+        gender = F.when(titled(FEMALE), "f").when(titled(MALE), "m").when(bare.rlike(given(WOMEN)), "f").when(bare.rlike(given(MEN)), "m").otherwise("n")
+        tokens = F.split(bare, " ")
 
         def words(token: Column, i: Column) -> Column:
             found = F.regexp_extract_all(token, F.lit(r"\p{Lu}\p{L}*"), F.lit(0))
@@ -96,15 +142,23 @@ def names(text: Column) -> Column:
 
         return F.flatten(F.transform(tokens, words))
 
-    titled = F.regexp_extract_all(text, F.lit(f"(?U){_TITLED}"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(f"(?U){_TITLED}"), F.lit(0))
     none = F.array().cast("array<struct<word:string,role:string>>")
-    return F.coalesce(F.when(hint, F.flatten(F.transform(titled, of))), none)
+    return F.coalesce(F.flatten(F.transform(found, of)), none)
+
+
+def _groups(m: Column) -> Column:
+    """The 32 hexadecimal digits of an address of version 6, whatever is left out in it."""
+    halves = F.split(F.lower(m), "::", -1)
+    part = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda x: x != "")
+    left, right = part(0), part(1)
+    return F.array_join(F.transform(F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right), lambda x: F.lpad(x, 4, "0")), "")
 
 
 def canonical(kind: Column, m: Column) -> Column:
     """What mentions of one value have in common (names are handled by their words)."""
     bare = F.translate(F.regexp_replace(m, r"[^\p{L}\p{N}]", ""), DIGITS, "0123456789" * (len(DIGITS) // 10))
-    return F.when(kind == "email", F.lower(m)).when(kind.isin("ip", "secret", "name"), m).when(kind == "iban", F.upper(bare)).otherwise(bare)
+    return F.when(kind == "email", F.lower(m)).when(kind == "ip6", _groups(m)).when(kind.isin("ip", "secret", "name"), m).when(kind == "iban", F.upper(bare)).otherwise(bare)
 
 
 def _digest(*parts: Column | str) -> Column:
@@ -149,12 +203,17 @@ def _alike(value: Column, seed: Column) -> Column:
     def cell(ch: Column, hexadecimal: Column) -> Column:
         n = F.ascii(ch)
         digit, upper, lower = ch.rlike("^[0-9]$"), ch.rlike("^[A-Z]$"), ch.rlike("^[a-z]$")
-        code = F.when(hexadecimal, F.conv(ch, 16, 10).cast("int")).when(digit, n - 48).when(upper, n - 65).when(lower, n - 97).otherwise(0)
-        size = F.when(hexadecimal, 16).when(digit, 10).when(upper | lower, 26).otherwise(1)
-        return F.struct(code.alias("c"), size.alias("m"), F.when(digit & ~hexadecimal, "d").when(upper, "u").when(hexadecimal, "h").when(lower, "l").otherwise("").alias("k"), ch.alias("s"))
+        code = F.when(hexadecimal, F.conv(ch, 16, 10).cast("int")).when(digit, n - 48).when(upper, n - 65).when(lower, n - 97)
+        size = F.when(hexadecimal, 16).when(digit, 10).when(upper | lower, 26)
+        first = F.lit(0)
+        for a, z in LETTERS:
+            inside = n.between(a, z)
+            code, size, first = code.when(inside, n - a), size.when(inside, z - a + 1), F.when(inside, a).otherwise(first)
+        known = F.when(digit & ~hexadecimal, "d").when(upper, "u").when(hexadecimal, "h").when(lower, "l").when(n > 127, F.when(first > 0, "w").otherwise("")).otherwise("")
+        return F.struct(code.otherwise(0).alias("c"), size.otherwise(1).alias("m"), known.alias("k"), ch.alias("s"), first.alias("b"))
 
     def shown(e: Column) -> Column:
-        return F.when(e.k == "d", F.chr(e.c + 48)).when(e.k == "u", F.chr(e.c + 65)).when(e.k == "l", F.chr(e.c + 97)).when(e.k == "h", F.lower(F.hex(e.c))).otherwise(e.s)
+        return F.when(e.k == "d", F.chr(e.c + 48)).when(e.k == "u", F.chr(e.c + 65)).when(e.k == "l", F.chr(e.c + 97)).when(e.k == "h", F.lower(F.hex(e.c))).when(e.k == "w", F.decode(F.unhex(F.lpad(F.hex(e.c + e.b), 4, "0")), "UTF-16BE")).otherwise(e.s)
 
     cells = _once(value.rlike("^(?=.*[a-f])[0-9a-f]{16,}$"), lambda h: F.transform(F.filter(F.split(value, ""), lambda ch: ch != ""), lambda ch: cell(ch, h)))
     return F.array_join(F.transform(_feistel(cells, seed), shown), "")
@@ -193,19 +252,21 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The replacement of a canonical value."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"))
     domain = F.substring_index(value, "@", -1)
-    host = _alike(F.regexp_replace(domain, r"\.[a-z]+$", ""), F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(domain, ".", -1)))
+    host = _alike(F.regexp_replace(domain, r"\.[^.]+$", ""), F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(domain, ".", -1)))
     more = _digest("more", seed, value)
     extra = F.when(attempt < ROOMY, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), attempt - ROOMY), lambda i: (_number(more, i) % 10).cast("string")), ""))
     # one permutation serves all formats: the part of the value that is free to change
     valid_card = (kind == "card") & F.call_function("luhn_check", value)
-    free = F.when(kind == "email", F.substring_index(value, "@", 1)).when(valid_card, F.substr(value, F.lit(1), F.length(value) - 1)).when(kind == "iban", F.substr(value, F.lit(5))).otherwise(value)
+    free = F.when(kind == "email", F.substring_index(value, "@", 1)).when(valid_card, F.substr(value, F.lit(1), F.length(value) - 1)).when(kind == "iban", F.substr(value, F.lit(5)))
+    prefix = F.regexp_extract(value, f"^(?:{'|'.join(KEYS)})", 0)
+    free = free.when(kind == "ip6", F.substr(value, F.lit(9))).when(kind == "secret", F.substr(value, F.length(prefix) + 1)).otherwise(value)
     country = F.substring(value, 1, 2)
 
     def finished(body: Column) -> Column:
         email = F.concat(body, F.when(attempt > 0, attempt.cast("string")).otherwise(""), F.lit("@"), host, F.lit(".example"))
         check = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: F.concat(body, x.cast("string"))), lambda x: F.call_function("luhn_check", x))[0]
         iban = F.concat(country, F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body)
-        return F.when(kind == "email", email).when(valid_card, check).when(kind == "iban", iban).otherwise(body)
+        return F.when(kind == "email", email).when(valid_card, check).when(kind == "iban", iban).when(kind == "ip6", F.concat(F.lit("20010db8"), F.substring(body, 1, 24))).when(kind == "secret", F.concat(prefix, body)).otherwise(body)
 
     return F.when(kind == "ip", _address(value, attempt, seed)).when(kind == "name", _named(value, key, attempt)).otherwise(_once(F.concat(_alike(free, seed), extra), finished))
 
@@ -227,7 +288,8 @@ def _formatted(kind: Column, match: Column, new: Column) -> Column:
     spaced = F.transform(F.split(match, ""), lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), F.substr(new, F.length(F.regexp_replace(F.substr(match, F.lit(1), i), r"[^\p{L}\p{N}]", "")) + 1, F.lit(1))).otherwise(c))
     spaced = F.concat(F.array_join(spaced, ""), F.substr(new, F.length(F.regexp_replace(match, r"[^\p{L}\p{N}]", "")) + 1))
     loud = (F.length(match) > 1) & (F.upper(match) == match)
-    return F.when(kind.isin("email", "ip", "secret"), new).when(kind == "name", F.when(loud, F.upper(new)).otherwise(new)).otherwise(spaced)
+    groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(new, i * 4 + 1, F.lit(4)), "^0{1,3}", "")), ":")
+    return F.when(kind == "ip6", groups).when(kind.isin("email", "ip", "secret"), new).when(kind == "name", F.when(loud, F.upper(new)).otherwise(new)).otherwise(spaced)
 
 
 def searched(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -249,13 +311,25 @@ def _marks(h: Column) -> tuple[Column, Column]:
     return F.concat(F.lit("\x01"), h, F.lit("\x01")), F.concat(F.lit("\x02"), h, F.lit("\x02"))
 
 
+def _ordinary(word: Column, p: Column, inner: Column) -> Column:
+    """Whether a capitalised word is no name where it stands: before a word of places, or an everyday word that begins a sentence about something else."""
+    bare = lambda piece: F.coalesce(F.array_join(F.split(piece, inner, -1), ""), F.lit(""))
+    place = (p.after == " ") & bare(p.next).isin(*PLACES)
+    last = bare(p.last)
+    abbreviated = p.before.startswith(".") & (last.isin(*MALE, *FEMALE, *NEUTRAL, *DEGREES) | (F.length(last) == 1))
+    starts = ((p.last.isNull() & p.before.rlike(r"^\s*$")) | p.before.rlike(r"[.!?][\"')\]]*\s+$|\n\s*$")) & ~abbreviated
+    goes_on = p.after.rlike(rf"^ (?!(?:{'|'.join(VERBS)})(?!\p{{L}}))\p{{Ll}}")
+    return F.coalesce(place | (starts & goes_on & F.lower(word).isin(*EVERYDAY)), F.lit(False))
+
+
 def mentions(found: DataFrame) -> DataFrame:
     """Mentions of a searched table in order: ``__row``, ``i``, kind, match, value, and ``rest``, what follows the value inside the match; as a written table."""
     _, inner = _marks(F.col("__h"))
-    each = found.where(F.size("__pieces") > 1).select("__row", "__h", F.posexplode("__pieces").alias("i", "piece")).where("i % 2 = 1")
-    each = each.withColumn("parts", F.split("piece", inner, -1))
-    kind = F.element_at(F.array(*[F.lit(k) for k, _ in (*PATTERNS, NAME)]), F.array_position(F.transform("parts", lambda x: x != ""), F.lit(True)).cast("int"))
-    each = each.select("__row", "i", kind.alias("kind"), F.array_join("parts", "").alias("match"))
+    around = F.transform("__pieces", lambda p, i: F.when(i % 2 == 1, F.struct(F.split(p, inner, -1).alias("parts"), *[F.get("__pieces", i + k).alias(n) for n, k in (("last", -2), ("before", -1), ("after", 1), ("next", 2))])))
+    each = found.where(F.size("__pieces") > 1).select("__row", "__h", F.posexplode(around).alias("i", "p")).where("i % 2 = 1")
+    kind = F.element_at(F.array(*[F.lit(k) for k, _ in (*PATTERNS, NAME)]), F.array_position(F.transform("p.parts", lambda x: x != ""), F.lit(True)).cast("int"))
+    each = each.select("__row", "__h", "i", "p", kind.alias("kind"), F.array_join("p.parts", "").alias("match")).where("kind <> 'plain'")
+    each = each.where((F.col("kind") != "name") | ~_ordinary(F.col("match"), F.col("p"), inner)).drop("p", "__h")
     plain = each.where("kind <> 'name'").select("__row", "i", "kind", "match", canonical(F.col("kind"), F.col("match")).alias("value"), F.lit("").alias("rest"))
     own = found.where(F.size("__names") > 0).select("__row", F.explode("__names").alias("n")).groupBy("__row", F.col("n.word").alias("word")).agg(F.min("n.role").alias("role"))
     low = F.lower("match")
