@@ -1,10 +1,10 @@
-"""Sinks: bounded JSON responses and counters."""
+"""Sinks: bounded JSON responses, counters, histograms and gauges."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,32 @@ def counters(results: DataFrame) -> DataFrame:
     return each.groupBy("x.metric", "x.label").agg(F.sum("x.value").alias("value"))
 
 
+#: Upper bounds of durations in seconds.
+DURATIONS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 600.0)
+
+
+def histogram(values: DataFrame, column: str, bounds: tuple[float, ...] = DURATIONS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(labels of ``by``, le, count, total): how many values are at most each bound, the last of them infinity, and their sum; nulls and NaN are left out.
+
+    Every row adds to one bucket before the shuffle, and buckets are added up by bound afterwards; a label without a value has no row.
+    """
+    edges = sorted(bounds)
+    c = F.col(column).cast("double")
+    place = F.lit(len(edges))
+    for i in reversed(range(len(edges))):
+        place = F.when(c <= edges[i], i).otherwise(place)
+    own = values.where(c.isNotNull() & ~F.isnan(c)).groupBy(*by, place.alias("bucket")).agg(F.count("*").alias("n"), F.sum(c).alias("s"))
+    one = lambda i: F.struct(F.lit(edges[i] if i < len(edges) else float("inf")).alias("le"), F.coalesce(F.sum(F.when(F.col("bucket") <= i, F.col("n"))), F.lit(0)).alias("count"))
+    each = own.groupBy(*by).agg(F.array(*[one(i) for i in range(len(edges) + 1)]).alias("x"), F.sum("s").alias("total"), F.sum("n").alias("all")).where(F.col("all") > 0)
+    return each.select(*by, F.explode("x").alias("x"), "total").select(*by, "x.le", "x.count", "total")
+
+
+def observed(df: DataFrame, name: str, **gauges: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with aggregates that are measured while it is written, so that gauges cost no job of their own; read ``.get`` after the action."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(n) for n, c in gauges.items()]), seen
+
+
 def percentile(values: DataFrame, column: str, quantile: float, most: int = 100_000) -> DataFrame:
     """Nearest-rank percentile, exact: the value whose rank is the quantile's share of the rows, rounded up; no row if there is no value.
 
