@@ -1,4 +1,4 @@
-"""Registered queries over what an operator watches: model answers kept over batches, and histograms."""
+"""Registered queries over what an operator watches: model answers kept over batches, histograms, and resolution over rows."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import resolve_rows
 from ..operators.window_cache import WindowCache
 from ..sources import sinks
+from . import queries as q
 from .queries import register, table
 
 
@@ -39,3 +41,32 @@ SELECT t.event_type, b.le, (SELECT count(*) FROM events e WHERE e.event_type IS
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative bucket counts of event values by type."""
     return sinks.histogram(table(spark, sf_dir, "events"), "value", (1.0, 5.0, 10.0, 50.0, 100.0, 500.0), ("event_type",)).drop("total")
+
+
+def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of ``queries._line_spans``, a row each."""
+    return q._line_spans(spark, sf_dir).select("k", F.explode("spans").alias("s")).select("k", "s.*")
+
+
+@register(q.SQL["logical_detections"])
+def logical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logical detections of spans that are rows."""
+    return resolve_rows.logical(_line_rows(spark, sf_dir), ["k"], block=16)
+
+
+@register(q.SQL["effective_regions"])
+def region_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of spans that are rows."""
+    found = resolve_rows.regions(resolve_rows.logical(_line_rows(spark, sf_dir), ["k"], block=16), ["k"], q._LINES, block=16)
+    return found.select("k", "entity_type", "start", "end", "score", "source", "action", "overlap")
+
+
+@register("""WITH s AS (SELECT l_returnflag AS e, l_orderkey * 9 + l_linenumber AS a, l_orderkey * 9 + l_linenumber + 1 + l_suppkey % 12 AS b FROM lineitem),
+o AS (SELECT *, CASE WHEN a >= coalesce(max(b) OVER (PARTITION BY e ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS opens FROM s),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY e ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS gid FROM o)
+SELECT e AS entity_type, min(a) AS start, max(b) AS "end", max(b - a) AS owner_width FROM g GROUP BY e, gid""")
+def one_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as spans of one text: a segment that holds the whole table."""
+    a = F.col("l_orderkey") * 9 + F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("entity_type"), a.alias("start"), (a + 1 + F.col("l_suppkey") % 12).alias("end"), F.lit(0.5).alias("score"), F.lit("rules").alias("source"))
+    return resolve_rows.logical(rows.withColumn("k", F.lit(1)), ["k"]).select("entity_type", "start", "end", "owner_width")

@@ -1,12 +1,14 @@
-"""Model answers over batches, racing publishers, histograms and gauges."""
+"""Model answers over batches, racing publishers, histograms and gauges, resolution over rows."""
 
 from __future__ import annotations
 
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import bundle
+from palimpsest import policy as P
+from palimpsest.operators import bundle, resolve, resolve_rows
 from palimpsest.operators.window_cache import WindowCache, accounted, bounded
 from palimpsest.sources import sinks
 
@@ -82,3 +84,25 @@ def test_histogram_and_gauges(spark):
     watched, seen = sinks.observed(df, "gauges", rows=F.count("*"), most=F.max(F.when(~F.isnan("v"), F.col("v"))))
     watched.write.format("noop").mode("overwrite").save()
     assert seen.get == {"rows": 7, "most": 99.0}
+
+
+def test_resolution_over_rows_equals_that_in_a_row(spark):
+    r = random.Random(5)
+    data = [(r.choice([None, "x", "y"]), r.choice("ABC"), a, a + r.randint(1, 9), r.randint(1, 9) / 10, r.choice("pq")) for a in (r.randrange(300) for _ in range(400))]
+    rows = spark.createDataFrame([*data, *data[:50]], "k string, entity_type string, start int, end int, score double, source string")
+    policy = P.Policy(default_action="mask", entity_policies=(P.EntityPolicy("A", "block"), P.EntityPolicy("B", "replace")))
+    inside = rows.groupBy("k").agg(F.collect_list(F.struct("entity_type", "start", "end", "score", "source")).alias("s")).withColumn("l", resolve.logical(F.col("s")))
+    whole = sorted(map(str, inside.select("k", F.inline("l")).collect()))
+    for block in (1, 7, 1 << 16):
+        found = resolve_rows.logical(rows, ["k"], block)
+        assert sorted(map(str, found.select("k", "entity_type", "start", "end", "score", "source", "owner_width").collect())) == whole
+    want = inside.select("k", F.inline(resolve.regions(F.col("l"), policy, F.lit(False))))
+    got = resolve_rows.regions(found, ["k"], policy, block=7)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert resolve_rows.regions(resolve_rows.logical(rows.limit(0), ["k"]), ["k"], policy).count() == 0
+
+
+def test_a_segment_of_a_million_spans(spark):
+    rows = spark.range(1_000_000).select(F.lit("s").alias("k"), F.lit("A").alias("entity_type"), (F.col("id") * 5).cast("int").alias("start"), (F.col("id") * 5 + 3 + F.when(F.col("id") % 10 < 9, 3).otherwise(0)).cast("int").alias("end"), F.lit(0.5).alias("score"), F.lit("r").alias("source"))
+    got = resolve_rows.logical(rows, ["k"])
+    assert got.agg(F.count("*"), F.min(F.col("end") - F.col("start")), F.max(F.col("end") - F.col("start")), F.sum("start")).first()[:] == (100_000, 48, 48, sum(range(0, 5_000_000, 50)))
