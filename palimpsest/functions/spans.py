@@ -59,6 +59,12 @@ def found(text: Column, pattern: str) -> Column:
     return F.coalesce(F.when(possible(text, pattern), marked), F.array().cast(f"array<{MATCH}>")).cast(f"array<{MATCH}>")
 
 
+def consumed(text: Column, pattern: str) -> Column:
+    """Values of a pattern that no letter, number or ``_`` touches, where each neighbour is consumed, as in engines without look-around: one that stood after a match does not stand before the next."""
+    outside = r"[^\p{L}\p{N}_]"
+    return F.when(possible(text, pattern), F.regexp_extract_all(text, F.lit(rf"(?:^|{outside})({pattern})(?:\z|{outside})"), F.lit(1)))
+
+
 def running(values: Column, zero: Column, kind: str, merge: Callable[[Column, Column], Column], width: int = 256) -> Column:
     """For each element of an array, the merge of ``zero`` and all elements before it; block by block, so long arrays cost little more than their length."""
     state = f"struct<t:{kind},out:array<{kind}>>"

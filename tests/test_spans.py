@@ -227,3 +227,17 @@ def test_bundle(spark, tmp_path):
         bundle.manifest(spark.createDataFrame([("0" * 64 + "  ../c.bin",)], "value string")).collect()
     bundle.publish(files, str(tmp_path / "out"), "v1", str(tmp_path / "pointer"))
     assert bundle.published(spark, str(tmp_path / "pointer")).count() == 2
+
+
+def test_consumed_boundaries(spark, tmp_path):
+    import duckdb
+
+    from palimpsest.plans import queries
+
+    texts = ["946913 +1 (438) 555-5817 that", "912946913 +1 (438) 555-5817", "123456789,987654321 x", "á+1 (438) 555-5817", "a²+1 (438) 555-5817", "1234567890\n", "x1234567890", "123456789,98 7654321098", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in queries.detect_phone(spark, str(tmp_path)).select("doc_id", "value").collect()]
+    assert sorted(got) == sorted(con.execute(queries.SQL["detect_phone"]).fetchall())
+    assert (1, "1 (438) 555-5817") in got
