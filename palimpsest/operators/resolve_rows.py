@@ -1,7 +1,8 @@
 """Overlap resolution over rows, one span each: for segments whose spans are too many for one row.
 
 Islands are found block by block of start positions. What reaches into a block from those before it is one number for each block of a segment,
-so a segment of any length is worked on by as many tasks as it has blocks, and a block holds no more rows than it has positions.
+so a segment of any length is worked on by as many tasks as it has blocks. Spans that begin at one place are first made one, so a block holds no
+more rows than it has positions, for each entity.
 Spans end after they begin; keys may be null, and null keys are equal.
 """
 
@@ -18,25 +19,30 @@ BLOCK = 65_536
 
 
 def islands(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", block: int = BLOCK) -> DataFrame:
-    """``spans`` with ``island``, the start of the connected run of spans of one key that each belongs to; a span that begins where all before it have ended opens a new one."""
-    key = F.struct(*[F.col(k) for k in keys])
-    own = spans.withColumn("__k", key)
-    at = own.groupBy("__k", F.col(start).alias("__a")).agg(F.max(end).alias("__z")).withColumn("__block", F.floor(F.col("__a") / block))
+    """``spans`` with ``island``, the start of the connected run of spans of one key that each belongs to; a span that begins where all before it have ended opens a new one.
+
+    Inside its block a span that begins where all before it there have ended may open one; it does if what reaches into the block ends there too. So
+    the last that may is also the last that does, if any does, and two numbers of a block are all that later blocks need.
+    """
+    own = spans.withColumn("__k", F.struct(*[F.col(k) for k in keys])).withColumn("__block", F.floor(F.col(start) / block))
+    in_block = Window.partitionBy("__k", "__block").orderBy(start)
     of_key = Window.partitionBy("__k").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    in_block = Window.partitionBy("__k", "__block").orderBy("__a")
-    reach = at.groupBy("__k", "__block").agg(F.max("__z").alias("__top")).withColumn("__before", F.max("__top").over(of_key)).drop("__top")
-    seen = F.greatest("__before", F.max("__z").over(in_block.rowsBetween(Window.unboundedPreceding, -1)))
-    opened = at.join(reach, ["__k", "__block"]).withColumn("__seen", seen).withColumn("__open", F.when(F.col("__seen").isNull() | (F.col("__a") >= F.col("__seen")), F.col("__a")))
-    carried = opened.groupBy("__k", "__block").agg(F.max("__open").alias("__last")).withColumn("__carry", F.max("__last").over(of_key)).drop("__last")
-    latest = F.max("__open").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = opened.withColumn("__latest", latest).join(carried, ["__k", "__block"]).select("__k", "__a", F.coalesce("__latest", "__carry").alias("island"))
-    return own.withColumn("__a", F.col(start)).join(found, ["__k", "__a"]).select(*spans.columns, "island")
+    seen = F.max(end).over(in_block.rangeBetween(Window.unboundedPreceding, -1))
+    may = own.withColumn("__seen", seen).withColumn("__may", F.when(F.col("__seen").isNull() | (F.col(start) >= F.col("__seen")), F.col(start)))
+    may = may.withColumn("__latest", F.max("__may").over(in_block.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("__seen", "__may")
+    opens = lambda at: F.col("__before").isNull() | (F.col(at) >= F.col("__before"))
+    of_block = may.groupBy("__k", "__block").agg(F.max(end).alias("__top"), F.max("__latest").alias("__last")).withColumn("__before", F.max("__top").over(of_key))
+    of_block = of_block.withColumn("__carry", F.max(F.when(opens("__last"), F.col("__last"))).over(of_key)).select("__k", "__block", "__before", "__carry")
+    return may.join(of_block, ["__k", "__block"]).select(*spans.columns, F.when(opens("__latest"), F.col("__latest")).otherwise(F.col("__carry")).alias("island"))
 
 
 def logical(spans: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """Logical detections of rows (``keys``, entity_type, start, end, score, source): connected spans of one entity, with the score, source and width of the widest, then best scored, of them."""
+    of_entity = [*keys, "entity_type"]
     owner = F.min(F.struct((F.col("start") - F.col("end")).alias("w"), (-F.col("score")).alias("d"), F.col("source").alias("s")))
-    each = islands(spans, [*keys, "entity_type"], block=block).groupBy(*keys, "entity_type", "island").agg(F.max("end").alias("end"), owner.alias("o"))
+    # spans that begin at one place are of one island
+    at = spans.groupBy(*of_entity, "start").agg(F.max("end").alias("end"), owner.alias("o"))
+    each = islands(at, of_entity, block=block).groupBy(*of_entity, "island").agg(F.max("end").alias("end"), F.min("o").alias("o"))
     return each.select(*keys, "entity_type", F.col("island").alias("start"), "end", (-F.col("o.d")).alias("score"), F.col("o.s").alias("source"), (-F.col("o.w")).alias("owner_width"))
 
 

@@ -106,3 +106,20 @@ def test_a_segment_of_a_million_spans(spark):
     rows = spark.range(1_000_000).select(F.lit("s").alias("k"), F.lit("A").alias("entity_type"), (F.col("id") * 5).cast("int").alias("start"), (F.col("id") * 5 + 3 + F.when(F.col("id") % 10 < 9, 3).otherwise(0)).cast("int").alias("end"), F.lit(0.5).alias("score"), F.lit("r").alias("source"))
     got = resolve_rows.logical(rows, ["k"])
     assert got.agg(F.count("*"), F.min(F.col("end") - F.col("start")), F.max(F.col("end") - F.col("start")), F.sum("start")).first()[:] == (100_000, 48, 48, sum(range(0, 5_000_000, 50)))
+
+
+def test_rows_are_dealt_once(spark):
+    # rows meet only the numbers of their block
+    rows = spark.range(8).select(F.col("id").alias("k"), F.lit("A").alias("entity_type"), F.lit(1).alias("start"), F.lit(3).alias("end"), F.lit(0.5).alias("score"), F.lit("r").alias("source"))
+    plan = resolve_rows.logical(rows, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_line_rows_are_not_gathered(spark, tmp_path):
+    from palimpsest.plans import operation_queries
+
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string"
+    spark.createDataFrame([(None, 3, 4, 1, 5.0, "A"), (None, 3, 4, 1, 5.0, "A"), (1, 3, 4, 1, 5.0, None)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = operation_queries.logical_rows(spark, str(tmp_path))
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, ((r.k, r.start, r.end, r.source) for r in got.collect()))) == ["(1, 3, 8, None)", "(None, 3, 8, 'A')"]
