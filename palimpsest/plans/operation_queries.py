@@ -44,8 +44,7 @@ def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spans of ``queries._line_spans``, a row each."""
-    return q._line_spans(spark, sf_dir).select("k", F.explode("spans").alias("s")).select("k", "s.*")
+    return q.line_rows(spark, sf_dir).select("k", "s.*")
 
 
 @register(q.SQL["logical_detections"])
