@@ -96,6 +96,11 @@ def supports(contents_: Column, start: Column, entity: str, languages: tuple[str
     return out
 
 
+def has_phrases(entity: str, languages: tuple[str, ...], own: tuple[str, ...] = ()) -> bool:
+    """Whether any context phrase can support an entity."""
+    return bool(languages) and bool(own or any(CONTEXT.get(entity, {}).get(language) for language in languages))
+
+
 def boosted(score: Column | float) -> Column:
     """A supported score: 0.35 more, at least 0.4 and at most 1."""
     score = score if isinstance(score, Column) else F.lit(score)

@@ -34,11 +34,12 @@ def policy_patterns(policy: Policy) -> Detector:
     return lambda text: spans.union([spans.pattern_spans(text, e, p, 0.95, "policy-regex") for e, p in chosen])
 
 
-def _scored(text: Column, contents: Column, rule: catalog.Rule, languages: tuple[str, ...]) -> Column:
+def _hits(text: Column, rule: catalog.Rule) -> Column:
     hits = spans.found(text, rule.pattern)
-    if rule.check:
-        hits = F.filter(hits, lambda m: CHECKS[rule.check](m.value))
+    return F.filter(hits, lambda m: CHECKS[rule.check](m.value)) if rule.check else hits
 
+
+def _scored(hits: Column, contents: Column, rule: catalog.Rule, languages: tuple[str, ...]) -> Column:
     def one(m: Column) -> Column:
         near = context.supports(contents, m.start, rule.entity, languages, rule.context)
         return spans.span(rule.entity, m.start, m.end, F.when(near, context.boosted(rule.score)).otherwise(F.lit(rule.score)), "deterministic")
@@ -63,8 +64,15 @@ def scored_rules(policy: Policy, countries: tuple[str, ...] = ()) -> Detector:
     rules = [r for r in (*catalog.RULES, *country_rules(countries)) if r.entity in selected]
     custom = [c for c in policy.custom_recognizers if c.entity in selected and set(c.languages) & set(languages)]
 
+    def scored(text: Column, hits: Column) -> Column:
+        # words are looked for only in texts where a rule has found something that they can support
+        supported = reduce(lambda a, b: a | b, [F.size(hits[f"r{i}"]) > 0 for i, r in enumerate(rules) if context.has_phrases(r.entity, languages, r.context)], F.lit(False))
+        contents = F.when(supported, spans.let(context.words(text), lambda index: context.contents(index, languages)))
+        return spans.let(contents, lambda c: spans.union([_scored(hits[f"r{i}"], c, r, languages) for i, r in enumerate(rules)]))
+
     def run(text: Column) -> Column:
-        built = spans.let(spans.let(context.words(text), lambda index: context.contents(index, languages)), lambda c: spans.union([_scored(text, c, r, languages) for r in rules])) if rules else spans.no_spans()
+        hits = F.struct(*[_hits(text, r).alias(f"r{i}") for i, r in enumerate(rules)]) if rules else None
+        built = spans.let(hits, lambda h: scored(text, h)) if rules else spans.no_spans()
         own = [spans.pattern_spans(text, c.entity, c.regex, c.score, "deterministic") for c in custom]
         return spans.best(F.filter(spans.union([built, *own]), lambda s: (s.score > 0) & (s.score >= policy.score_threshold)))
 

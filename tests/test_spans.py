@@ -241,3 +241,34 @@ def test_consumed_boundaries(spark, tmp_path):
     got = [tuple(r) for r in queries.detect_phone(spark, str(tmp_path)).select("doc_id", "value").collect()]
     assert sorted(got) == sorted(con.execute(queries.SQL["detect_phone"]).fetchall())
     assert (1, "1 (438) 555-5817") in got
+
+
+def test_detections_are_resolved_once(spark):
+    from palimpsest.plans import queries
+
+    seen = F.transform(F.split("t", ","), lambda x: F.struct(F.lit("E0").alias("entity_type"), F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit(0.5).alias("score"), x.alias("source"), F.lit(2).alias("owner_width")))
+    plan = spark.createDataFrame([("a",)], "t string").select(resolve.regions(seen, queries._LINES, F.lit(False)).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_offsets_between_separators(spark):
+    for text in ["", " ", "a", " a  bc ", "\U0001f600 x\ny  z" * 3, " ".join("w" * (i % 5) for i in range(9000))]:
+        got = [(m.start, m.end) for m in one(spark, spans.between(F.col("t"), " "), text)]
+        assert got == [m.span() for m in re.finditer("[^ ]+", text)]
+    assert one(spark, spans.between(F.col("t"), " "), None) is None
+    values = list(range(5000))
+    assert one(spark, spans.running(F.sequence(F.lit(0), F.lit(4999)), F.lit(7), "int", lambda x, y: x + y)) == [7 + sum(values[:i]) for i in values]
+
+
+def test_windows_are_cut_once(spark, tmp_path):
+    from palimpsest.plans import queries
+
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.token_windows(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_words_wait_for_hits(spark, monkeypatch):
+    fails = F.raise_error(F.lit("words were looked for")).cast("array<struct<word:string,start:int>>")
+    monkeypatch.setattr(detect.context, "words", lambda text: fails)
+    rules = detect.scored_rules(P.Policy(analyzer_entities=("PHONE_NUMBER",)))
+    assert one(spark, rules(F.col("t")), "nothing to support") == []
