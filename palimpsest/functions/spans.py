@@ -59,23 +59,38 @@ def found(text: Column, pattern: str) -> Column:
     return F.coalesce(F.when(possible(text, pattern), marked), F.array().cast(f"array<{MATCH}>")).cast(f"array<{MATCH}>")
 
 
+def between(text: Column, separator: str) -> Column:
+    """Offsets (start, end) of all that stands between single separator characters: what ``found`` says of ``[^separator]+``, from one split."""
+    parts = F.split(text, F.lit(f"[{separator}]"), -1)
+
+    def cut(all_: Column) -> Column:
+        starts = running(F.transform(all_, lambda p: F.length(p) + 1), F.lit(0), "int", lambda x, y: x + y)
+        return F.filter(F.zip_with(starts, all_, lambda a, p: F.struct(a.alias("start"), (a + F.length(p)).alias("end"))), lambda t: t.end > t.start)
+
+    return let(parts, cut)
+
+
 def consumed(text: Column, pattern: str) -> Column:
     """Values of a pattern that no letter, number or ``_`` touches, where each neighbour is consumed, as in engines without look-around: one that stood after a match does not stand before the next."""
     outside = r"[^\p{L}\p{N}_]"
     return F.when(possible(text, pattern), F.regexp_extract_all(text, F.lit(rf"(?:^|{outside})({pattern})(?:\z|{outside})"), F.lit(1)))
 
 
-def running(values: Column, zero: Column, kind: str, merge: Callable[[Column, Column], Column], width: int = 256) -> Column:
-    """For each element of an array, the merge of ``zero`` and all elements before it; block by block, so long arrays cost little more than their length."""
+def running(values: Column, zero: Column, kind: str, merge: Callable[[Column, Column], Column], widths: tuple[int, ...] = (16, 256)) -> Column:
+    """For each element of an array, the merge of ``zero`` and all elements before it (``merge`` is associative): by short blocks, whose totals are taken the same way, so long arrays cost little more than their length."""
     state = f"struct<t:{kind},out:array<{kind}>>"
     empty = F.struct(zero.cast(kind).alias("t"), F.array().cast(f"array<{kind}>").alias("out")).cast(state)
     step = lambda acc, x: F.struct(merge(acc.t, x).cast(kind).alias("t"), F.concat(acc.out, F.array(acc.t)).alias("out"))
+    width, wider = widths[0], widths[1:]
 
     def joined(parts: Column) -> Column:
-        def moved(part: Column, i: Column) -> Column:
-            return let(F.aggregate(F.slice(parts, 1, i), zero.cast(kind), lambda acc, x: merge(acc, x.t).cast(kind)), lambda base: F.transform(part.out, lambda o: merge(base, o).cast(kind)))
+        def moved(bases: Column) -> Column:
+            return F.flatten(F.zip_with(parts, bases, lambda part, base: F.transform(part.out, lambda o: merge(base, o).cast(kind))))
+
+        def summed(part: Column, i: Column) -> Column:
+            return F.aggregate(F.slice(parts, 1, i), zero.cast(kind), lambda acc, x: merge(acc, x.t).cast(kind))
 
-        return F.flatten(F.transform(parts, moved))
+        return let(running(F.transform(parts, lambda part: part.t), zero, kind, merge, wider) if wider else F.transform(parts, summed), moved)
 
     def blocks(v: Column) -> Column:
         starts = F.filter(F.transform(v, lambda _, i: i), lambda i: i % width == 0)
