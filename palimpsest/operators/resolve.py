@@ -69,7 +69,7 @@ REGION = "struct<entity_type:string,start:int,end:int,score:double,source:string
 
 def regions(detections: Column, policy: Policy, mcp: Column) -> Column:
     """Regions: connected detections, with the winner's entity, score, source and action, the entities inside, whether they differ, and how many detections (in their order) there are."""
-    keyed = F.array_sort(F.transform(detections, lambda d: F.struct(d.start.alias("a"), d.end.alias("b"), d.entity_type.alias("e"), d.source.alias("s"), d.alias("d"))))
+    keyed = lambda found: F.array_sort(F.transform(found, lambda d: F.struct(d.start.alias("a"), d.end.alias("b"), d.entity_type.alias("e"), d.source.alias("s"), d.alias("d"))))
 
     def connected(items: Column) -> Column:
         reach = running(F.transform(items, lambda k: k.b), F.lit(None), "int", F.greatest)
@@ -87,4 +87,5 @@ def regions(detections: Column, policy: Policy, mcp: Column) -> Column:
             effective_action(policy, w.entity_type, mcp).alias("action"), inside.alias("members"), (F.size(inside) > 1).alias("overlap"), F.size(g).alias("size"),
         ))
 
-    return F.when(F.size(detections) > 0, F.transform(let(keyed, connected), resolved)).otherwise(F.array().cast(f"array<{REGION}>"))
+    # the detections are worked out once, however long their expression is
+    return let(detections, lambda found: F.when(F.size(found) > 0, F.transform(let(keyed(found), connected), resolved)).otherwise(F.array().cast(f"array<{REGION}>")))
