@@ -77,7 +77,7 @@ def consumed(text: Column, pattern: str) -> Column:
 
 
 def running(values: Column, zero: Column, kind: str, merge: Callable[[Column, Column], Column], widths: tuple[int, ...] = (16, 256)) -> Column:
-    """For each element of an array, the merge of ``zero`` and all elements before it (``merge`` is associative): by short blocks, whose totals are taken the same way, so long arrays cost little more than their length."""
+    """For each element of an array, the merge of ``zero`` and all elements before it (``merge`` is associative, ``zero`` changes nothing): by short blocks, whose totals are taken the same way, so long arrays cost little more than their length."""
     state = f"struct<t:{kind},out:array<{kind}>>"
     empty = F.struct(zero.cast(kind).alias("t"), F.array().cast(f"array<{kind}>").alias("out")).cast(state)
     step = lambda acc, x: F.struct(merge(acc.t, x).cast(kind).alias("t"), F.concat(acc.out, F.array(acc.t)).alias("out"))
