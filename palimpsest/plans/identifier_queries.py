@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, identifiers, phones, spans, suffixes
-from .queries import register, span_sql, table
+from .queries import dealt, register, span_sql, table
 
 # ---- national numbers
 #: Digits of the numbers that are made from a key; the last character of some is a letter.
@@ -50,7 +50,8 @@ SELECT c_custkey, name, value, valid AND NOT (name = 'BR_CPF' AND replace(value,
 def country_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check characters of nineteen kinds of national numbers, made from every customer's key."""
     each = [F.struct(F.lit(name).alias("name"), _candidate(name).alias("value")) for name in _DIGITS]
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*each)).alias("x")).select("c_custkey", "x.*")
+    keys = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    rows = keys.select("c_custkey", F.explode(F.array(*each)).alias("x")).select("c_custkey", "x.*")
     valid = F.coalesce(*[F.when(F.col("name") == name, identifiers.IDENTIFIERS[name].valid(F.col("value"))) for name in _DIGITS])
     return rows.withColumn("valid", valid)
 
@@ -97,7 +98,7 @@ def phone_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "bare": part(F.lit(10)),
         "raw": F.concat_ws("-", *[F.substring("d", a, n) for a, n in ((1, 2), (3, 3), (6, 3), (9, 4))]),
     }
-    rows = table(spark, sf_dir, "customer").select("c_custkey", d.alias("d"), code.alias("code"))
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", d.alias("d"), code.alias("code"))
     each = rows.select("c_custkey", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("x")).select("c_custkey", "x.*")
     return each.withColumn("valid", phones.valid(F.col("value")))
 

@@ -9,6 +9,7 @@ from palimpsest import policy as P
 from palimpsest.functions import identifiers, phones, suffixes
 from palimpsest.functions.checks import CHECKS
 from palimpsest.operators import detect
+from palimpsest.plans import identifier_queries
 
 # published or well-known examples
 VALID = [
@@ -124,3 +125,12 @@ def test_suffixes_wildcards_and_exceptions(spark):
     own = suffixes.parsed(["// a list", "", "corp  // remark", "*.lan", "!x.lan"])
     assert asked(spark, own.registrable, ["a.corp", "b.a.lan", "a.lan", "x.lan", "example.com"]) == [True, True, False, True, False]
     assert asked(spark, CHECKS["suffix"], ["alex@example.com", "alex@example.invalidsuffix", "alex@co.uk", "alex@x.co.uk"]) == [True, False, False, True]
+
+
+def test_keys_of_one_row_group_are_dealt_over_all_tasks(spark, tmp_path):
+    spark.range(1, 2001).toDF("c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for query, kinds in ((identifier_queries.country_identifiers, 19), (identifier_queries.phone_numbers, 4)):
+        rows = query(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in rows.groupBy("task").count().collect()]
+        assert sum(sizes) == 2000 * kinds and len(sizes) == tasks and max(sizes) < 2 * 2000 * kinds // tasks
