@@ -14,7 +14,7 @@ from ..operators import decide, detect, session, transform, windows
 from ..sources import provider_json, requests as sources
 from . import queries as q
 from .engine import Engine
-from .queries import KEYS, PLAIN, register, table
+from .queries import KEYS, PLAIN, dealt, register, table
 
 #: A pattern that Java, RE2 and Python read the same way.
 WORD = "[A-Z][a-z]{6,}"
@@ -273,7 +273,7 @@ def context_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.get(F.array(*[F.lit(x) for x, _ in _LEADS]), (F.col("c_custkey") % len(_LEADS)).cast("int"))
     text = F.concat(lead, F.lit("+31 6 "), F.lpad(F.col("c_custkey").cast("string"), 8, "1"))
     pol = P.Policy(analyzer_languages=("en", "de", "nl"), analyzer_entities=("PHONE_NUMBER",))
-    each = table(spark, sf_dir, "customer").select("c_custkey", F.explode(detect.scored_rules(pol)(text)).alias("s"))
+    each = dealt(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.explode(detect.scored_rules(pol)(text)).alias("s"))
     return each.select("c_custkey", F.round("s.score", 6).alias("score"))
 
 

@@ -9,7 +9,7 @@ from palimpsest import policy as P
 from palimpsest.functions import identifiers, phones, suffixes
 from palimpsest.functions.checks import CHECKS
 from palimpsest.operators import detect
-from palimpsest.plans import identifier_queries
+from palimpsest.plans import identifier_queries, queries
 
 # published or well-known examples
 VALID = [
@@ -130,7 +130,7 @@ def test_suffixes_wildcards_and_exceptions(spark):
 def test_keys_of_one_row_group_are_dealt_over_all_tasks(spark, tmp_path):
     spark.range(1, 2001).toDF("c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for query, kinds in ((identifier_queries.country_identifiers, 19), (identifier_queries.phone_numbers, 4)):
+    for query, kinds in ((identifier_queries.country_identifiers, 19), (identifier_queries.phone_numbers, 4), (queries.iban_mod97, 1), (queries.detect_iban, 1), (queries.detect_steuernummer, 1)):
         rows = query(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
         sizes = [r["count"] for r in rows.groupBy("task").count().collect()]
         assert sum(sizes) == 2000 * kinds and len(sizes) == tasks and max(sizes) < 2 * 2000 * kinds // tasks
