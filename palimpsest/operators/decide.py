@@ -102,15 +102,15 @@ def planned(df: DataFrame, policy: Policy, detector: detect.Detector) -> DataFra
     mcp = F.col("request_kind") == "mcp"
 
     def of(s: Column) -> Column:
-        def resolved(found: Column) -> Column:
-            bad = invalid(found, s.text)
-            good = F.when(bad, no_spans()).otherwise(found)
-            return let(resolve.logical(good), lambda d: F.struct(s.id.alias("id"), s.text.alias("text"), bad.alias("bad"), d.alias("logical"), resolve.regions(d, policy, mcp).alias("regions")))
-
-        return let(detector(s.text), resolved)
-
-    scanned = F.when(F.col("scan"), F.transform("segments", of))
-    return df.withColumn("plans", F.coalesce(scanned.cast(f"array<{PLAN}>"), F.array().cast(f"array<{PLAN}>")))
+        bad = invalid(s.found, s.text)
+        good = F.when(bad, no_spans()).otherwise(s.found)
+        return let(resolve.logical(good), lambda d: F.struct(s.id.alias("id"), s.text.alias("text"), bad.alias("bad"), d.alias("logical"), resolve.regions(d, policy, mcp).alias("regions")))
+
+    # two columns, as the analyzer bounds how deep the lambdas of one may go
+    found = F.transform("segments", lambda s: F.struct(s.id.alias("id"), s.text.alias("text"), detector(s.text).alias("found")))
+    df = df.withColumn("__found", F.when(F.col("scan"), found))
+    scanned = F.transform("__found", of)
+    return df.withColumn("plans", F.coalesce(scanned.cast(f"array<{PLAN}>"), F.array().cast(f"array<{PLAN}>"))).drop("__found")
 
 
 def _changes(policy: Policy, regions: Column) -> Column:

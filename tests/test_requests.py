@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest import catalog, policy as P
 from palimpsest.functions import prefilter, spans
 from palimpsest.operators import bundle, decide, detect, resolve, session, transform, windows
-from palimpsest.plans import engine as engines
+from palimpsest.plans import engine as engines, request_queries
 from palimpsest.plans.engine import Engine
 from palimpsest.sources import models, provider_json, sinks
 from palimpsest.streaming import taint
@@ -217,3 +217,9 @@ def test_columns_limit_the_work(spark):
     df = Engine(P.default(), keys=KEYS).analyze(rows(spark, "a@b.com"), columns=("request_id", "decision"))
     assert df.columns == ["request_id", "decision"] and "sha2" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert decide.MAX_ENTITIES == 64
+
+
+def test_a_deep_detector_stays_within_the_analyzer(spark, tmp_path):
+    spark.range(1, 7).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = request_queries.placeholder_clash(spark, str(tmp_path)).collect()
+    assert {int(r.request_id): (r.decision, r.reason) for r in rows} == {k: ("apply_actions", None) if k % 3 else (None, "placeholder") for k in range(1, 7)}
